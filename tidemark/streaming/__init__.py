@@ -1,0 +1,7 @@
+"""Streaming.
+
+The workload this engine covers is bounded batch only: series are read whole,
+and look-back windows slide over rows of a bounded table.  There is no event
+stream, watermark or stateful operator to provide, so this package is empty on
+purpose (see README, "Not built").
+"""
