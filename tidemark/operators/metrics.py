@@ -80,26 +80,29 @@ def weighted_rmse(metrics: DataFrame, keys, weights=RMSE_WEIGHTS) -> DataFrame:
     return j.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("rmse")).alias("weighted_rmse"))
 
 
-def mase(pred: DataFrame, series: DataFrame, keys=("series_id",), y_true: str = "y_true", y_pred: str = "y_pred",
-         value: str = "y", t: str = "t", naive_scope: str = "all", train_end: DataFrame | None = None) -> DataFrame:
-    """mean |e| / mean |diff(y)| per series (M8).
-
-    Empty forecasts -> 1.0; zero naive error -> 1e-10.  The naive error uses the
-    whole series by default (the scored definition), or only rows before
-    ``train_end`` (keys, t_end) with naive_scope="train".
+def mase(pred: DataFrame, series: DataFrame, keys=("series_id",), by=(), y_true: str = "y_true",
+         y_pred: str = "y_pred", value: str = "y", t: str = "t", naive_scope: str = "all",
+         train_end: DataFrame | None = None) -> DataFrame:
+    """mean |e| / mean |diff(y)| per series (and ``by`` groups) (M8).
+
+    Empty forecasts -> 1.0; a series of <= 1 row -> 1.0; zero naive error ->
+    1e-10.  The naive error uses the whole series by default (the scored
+    definition), or only rows before ``train_end`` (keys, t_end) with
+    naive_scope="train".
     """
     from tidemark.operators.features import windowed
 
-    keys = list(keys)
-    d = windowed(series.select(*keys, t, value), lambda w: [(F.col(value) - F.lag(value, 1).over(w)).alias("_d")], 1, 0, keys, t)
+    keys, by = list(keys), list(by)
+    d = windowed(series.select(*keys, t, value), lambda w: [(F.col(value) - F.lag(value, 1).over(w)).alias("_d")],
+                 1, 0, keys, t)
     if naive_scope == "train" and train_end is not None:
         d = d.join(train_end, on=keys).where(F.col(t) < F.col("t_end"))
     naive = d.groupBy(*keys).agg(F.avg(F.abs("_d")).alias("_naive"), F.count("_d").alias("_nd"))
-    err = pred.groupBy(*keys).agg(F.avg(F.abs(F.col(y_true) - F.col(y_pred))).alias("_fe"), F.count(F.lit(1)).alias("_m"))
-    j = naive.join(err, on=keys, how="left")
+    err = pred.groupBy(*keys, *by).agg(F.avg(F.abs(F.col(y_true) - F.col(y_pred))).alias("_fe"))
+    j = err.join(naive, on=keys, how="left")
     nz = F.when(F.col("_naive") == 0, F.lit(1e-10)).otherwise(F.col("_naive"))
-    m = F.when(F.col("_m").isNull() | (F.col("_nd") < 1), F.lit(1.0)).otherwise(F.col("_fe") / nz)
-    return j.select(*keys, m.alias("mase"))
+    m = F.when(F.col("_fe").isNull() | F.coalesce(F.col("_nd") < 1, F.lit(True)), F.lit(1.0)).otherwise(F.col("_fe") / nz)
+    return j.select(*keys, *by, m.alias("mase"))
 
 
 def forecast_errors(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", suffix: str = "") -> DataFrame:

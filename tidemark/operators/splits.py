@@ -41,7 +41,7 @@ def gapped_cv_split(df: DataFrame, n_splits: int = 5, gap: int = 8, keys=("serie
     keys = list(keys)
     staged = dense_index(df.select(*keys, t), keys, order=t, idx="_i", count="_n")
     size = F.floor(F.col("_n") / (n_splits + 1))
-    folds = staged.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits))).cast("long"))
+    folds = staged.withColumn("fold", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_splits).cast("long"))))
     start = F.col("_n") - (F.lit(n_splits) - F.col("fold") + 1) * size
     role = F.when(F.col("_i") < start - gap, "train").when(
         (F.col("_i") >= start) & (F.col("_i") < start + size), "test")

@@ -246,3 +246,536 @@ def sequence_windows_q(spark, sf):
           ") WHERE t >= 8", ["y", *LAG_COLS])
 def ar_design_q(spark, sf):
     return fe.ar_design(fx.events_grid(spark, sf), 8)
+
+
+# ---------------------------------------------------------------- smoothing
+ALPHA = 0.3
+
+
+def es_cte(src: str, alpha: float, name: str, idx: str = "t") -> str:
+    """Recursive oracle of single and double smoothing along ``idx``."""
+    a, d = alpha, 1.0 - alpha
+    return f"""
+{name} AS (
+  SELECT series_id, {idx}, y, y AS s1, y AS s2 FROM {src} WHERE {idx} = 0
+  UNION ALL
+  SELECT g.series_id, g.{idx}, g.y, {a!r} * g.y + {d!r} * r.s1,
+         {a!r} * ({a!r} * g.y + {d!r} * r.s1) + {d!r} * r.s2
+  FROM {name} r JOIN {src} g ON g.series_id = r.series_id AND g.{idx} = r.{idx} + 1)"""
+
+
+def rec(*blocks: str) -> str:
+    return q.with_(*blocks).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("exp_smooth", rec(G, es_cte("events_grid", ALPHA, "es")) + "SELECT series_id, t, y, s1 AS s FROM es",
+          ["y", "s"])
+def exp_smooth_q(spark, sf):
+    return sm.exp_smooth(fx.events_grid(spark, sf).select("series_id", "t", "y"), ALPHA, out="s")
+
+
+@register("double_exp_smooth", rec(G, es_cte("events_grid", ALPHA, "es")) + "SELECT series_id, t, y, s2 FROM es",
+          ["y", "s2"])
+def double_exp_smooth_q(spark, sf):
+    return sm.double_exp_smooth(fx.events_grid(spark, sf).select("series_id", "t", "y"), ALPHA, out="s2")
+
+
+ZP = """
+ev_len AS (SELECT series_id, max(t) + 1 AS n FROM events_grid GROUP BY series_id),
+ev_rev AS (SELECT g.series_id, l.n - 1 - g.t AS r, g.t, g.y FROM events_grid g JOIN ev_len l USING (series_id)),"""
+
+
+def _zp_sql(select: str) -> str:
+    return rec(G, ZP.rstrip(","), es_cte("events_grid", ALPHA, "fw"), es_cte("ev_rev", ALPHA, "bw", "r").replace(
+        "SELECT series_id, r, y,", "SELECT series_id, r, y,")) + f"""
+, zp AS (SELECT f.series_id, f.t, f.y, (f.s2 + b.s2) / 2 AS trend
+       FROM fw f JOIN ev_len l ON f.series_id = l.series_id
+       JOIN bw b ON b.series_id = f.series_id AND b.r = l.n - 1 - f.t)
+{select}"""
+
+
+@register("zero_phase_trend", _zp_sql("SELECT series_id, t, y, trend FROM zp"), ["y", "trend"])
+def zero_phase_trend_q(spark, sf):
+    return sm.zero_phase_trend(fx.events_grid(spark, sf).select("series_id", "t", "y"), ALPHA)
+
+
+@register("detrend", _zp_sql("SELECT series_id, t, trend, y - trend AS residual FROM zp"), ["trend", "residual"])
+def detrend_q(spark, sf):
+    z = sm.zero_phase_trend(fx.events_grid(spark, sf).select("series_id", "t", "y"), ALPHA)
+    return sm.detrend(z).select("series_id", "t", "trend", "residual")
+
+
+N_ALPHA, ALPHA_LO = 20, 0.01
+ALPHA_HI = sm.alpha_max(1.0)
+ALPHA_STEP = (ALPHA_HI - ALPHA_LO) / (N_ALPHA - 1)
+ALPHA_GRID_SQL = f"""
+ids AS (SELECT DISTINCT event_type AS series_id FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+agrid AS (SELECT series_id, CAST(k AS BIGINT) AS alpha_idx, {ALPHA_LO!r} + k * {ALPHA_STEP!r} AS alpha
+          FROM ids, range(0, {N_ALPHA}) AS r(k))"""
+
+
+def alpha_grid(spark, sf) -> DataFrame:
+    """(series_id, alpha_idx, alpha): the linspace(0.01, alpha_max, 20) grid per series."""
+    ev = fx.table(spark, sf, "events").where("event_type IS NOT NULL AND ts IS NOT NULL")
+    ids = ev.select(F.col("event_type").alias("series_id")).distinct()
+    return ids.select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_ALPHA - 1).cast("long"))).alias("alpha_idx")) \
+        .withColumn("alpha", F.lit(ALPHA_LO) + F.col("alpha_idx") * F.lit(ALPHA_STEP))
+
+
+@register("half_life", q.with_(ALPHA_GRID_SQL) +
+          "SELECT series_id, alpha_idx, alpha, CASE WHEN alpha >= 0.999 THEN 'inf'::DOUBLE "
+          "ELSE -ln(2) / ln(1 - alpha) END AS half_life FROM agrid", ["alpha", "half_life"])
+def half_life_q(spark, sf):
+    return sm.with_half_life(alpha_grid(spark, sf))
+
+
+@register("alpha_grid_smooth", rec(G, ALPHA_GRID_SQL, f"""
+ag AS (SELECT g.series_id, a.alpha_idx, a.alpha, g.t, g.y FROM events_grid g JOIN agrid a USING (series_id)),
+ags AS (SELECT series_id, alpha_idx, alpha, t, y, y AS s FROM ag WHERE t = 0
+  UNION ALL SELECT g.series_id, g.alpha_idx, g.alpha, g.t, g.y, g.alpha * g.y + (1 - g.alpha) * r.s
+  FROM ags r JOIN ag g ON g.series_id = r.series_id AND g.alpha_idx = r.alpha_idx AND g.t = r.t + 1),
+agl AS (SELECT *, lag(s, 1) OVER (PARTITION BY series_id, alpha_idx ORDER BY t) AS s_prev FROM ags)""") +
+          "SELECT series_id, alpha_idx, alpha, sum(pow(y - s_prev, 2)) AS sse FROM agl GROUP BY series_id, alpha_idx, alpha",
+          ["alpha", "sse"])
+def alpha_grid_smooth_q(spark, sf):
+    """One-step-ahead SSE of exponential smoothing for every (series, alpha) of the grid.
+
+    The grid fans out by a generator (no join of series x alphas); alpha is a
+    column, so all candidates run in the same scan."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    grid = g.select("series_id", "t", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_ALPHA - 1).cast("long"))).alias("alpha_idx"))
+    grid = grid.withColumn("alpha", F.lit(ALPHA_LO) + F.col("alpha_idx") * F.lit(ALPHA_STEP))
+    keys = ["series_id", "alpha_idx"]
+    s = sm.exp_smooth(grid, F.col("alpha"), out="s", keys=keys, alpha_hi=ALPHA_HI)
+    s = fe.windowed(s, lambda w: [F.lag("s", 1).over(w).alias("s_prev")], 1, 0, keys)
+    return s.groupBy("series_id", "alpha_idx", "alpha").agg(F.sum(F.pow(F.col("y") - F.col("s_prev"), 2)).alias("sse"))
+
+
+# ---------------------------------------------------------------- differencing and inversion
+@register("seasonal_diff", q.with_(G, q.SEASONAL) +
+          "SELECT series_id, t, y, y - lag(y, 96) OVER w AS y_seas FROM events_seasonal" + WIN, ["y", "y_seas"])
+def seasonal_diff_q(spark, sf):
+    return tr.seasonal_diff(fx.events_seasonal(spark, sf).select("series_id", "t", "y"))
+
+
+@register("first_diff", q.with_(G, q.WALK) + "SELECT series_id, t, y, y - lag(y, 1) OVER w AS y_diff FROM events_walk" + WIN,
+          ["y", "y_diff"])
+def first_diff_q(spark, sf):
+    return tr.first_diff(fx.events_walk(spark, sf).select("series_id", "t", "y"))
+
+
+@register("autocorr", q.with_(G, q.SEASONAL, """
+lagged AS (SELECT series_id, y, lag(y, 96) OVER (PARTITION BY series_id ORDER BY t) AS l FROM events_seasonal)""") +
+          "SELECT series_id, corr(y, l) AS autocorr FROM lagged GROUP BY series_id", ["autocorr"])
+def autocorr_q(spark, sf):
+    return tr.autocorr(fx.events_seasonal(spark, sf).select("series_id", "t", "y"))
+
+
+@register("trend_slope_test", q.with_(G, q.WALK, """
+ts_stats AS (SELECT series_id, regr_slope(y, CAST(t AS DOUBLE)) AS slope, stddev_pop(y) AS std FROM events_walk GROUP BY series_id)""") +
+          "SELECT series_id, slope, std, coalesce(abs(slope) > 0.02 * (std + 1e-6), false) AS trending FROM ts_stats",
+          ["slope", "std"])
+def trend_slope_test_q(spark, sf):
+    return tr.trend_slope_test(fx.events_walk(spark, sf).select("series_id", "t", "y"))
+
+
+def _invert_sql(seas: bool, diff: bool) -> str:
+    ytr_s = "(y - y96)" if seas else "y"
+    ytr_prev = "(y1 - y97)" if seas else "y1"
+    ytr = f"({ytr_s} - {ytr_prev})" if diff else ytr_s
+    prev = "CASE WHEN y96 IS NOT NULL THEN y - y96 ELSE y END" if seas else "y"
+    parts = []
+    for h in (1, 2, 3):
+        cum = " + ".join(f"p{j}" for j in range(1, h + 1))
+        level = f"({prev}) + ({cum})" if diff else f"p{h}"
+        out = f"CASE WHEN b{h} IS NOT NULL THEN b{h} + ({level}) ELSE ({level}) END" if seas else f"({level})"
+        parts.append(f"SELECT series_id, t, CAST({h} AS BIGINT) AS step, {out} AS y_pred_orig FROM ok")
+    return q.with_(G, q.SEASONAL, f"""
+base AS (SELECT series_id, t, y, lag(y, 96) OVER w AS y96, lag(y, 1) OVER w AS y1, lag(y, 97) OVER w AS y97,
+                lag(y, 95) OVER w AS b1, lag(y, 94) OVER w AS b2, lag(y, 93) OVER w AS b3
+         FROM events_seasonal WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+trn AS (SELECT *, {ytr} AS ytr FROM base),
+prd AS (SELECT *, ytr AS p1, lag(ytr, 1) OVER w AS p2, lag(ytr, 2) OVER w AS p3
+        FROM trn WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+ok AS (SELECT * FROM prd WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL)""") + " UNION ALL ".join(parts)
+
+
+def _invert_q(seas: bool, diff: bool):
+    def run(spark, sf):
+        """Transformed-domain forecasts p_h = y_tr(t-h+1) mapped back to levels."""
+        series = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+        ytr = tr.difference(series, seas, diff, out="y_tr")
+        p = fe.windowed(ytr, lambda w: [F.array(*[F.lag("y_tr", h - 1).over(w) for h in (1, 2, 3)]).alias("_p")], 2, 0)
+        p = p.where(F.forall("_p", lambda v: v.isNotNull()))
+        pred = p.select("series_id", "t", F.posexplode("_p").alias("_i", "y_pred")).select(
+            "series_id", "t", (F.col("_i") + 1).cast("long").alias("step"), "y_pred")
+        out = tr.invert_forecasts(pred, series, seas, diff)
+        return out.select("series_id", "t", "step", "y_pred_orig")
+    return run
+
+
+for _name, _s, _d in (("invert_none", False, False), ("invert_diff", False, True),
+                      ("invert_seas", True, False), ("invert_seas_diff", True, True)):
+    register(_name, _invert_sql(_s, _d), ["y_pred_orig"])(_invert_q(_s, _d))
+
+
+@register("original_truth", q.with_(G, """
+lt AS (SELECT series_id, t, lead(y, 1) OVER w AS l1, lead(y, 2) OVER w AS l2, lead(y, 3) OVER w AS l3
+       FROM events_grid WINDOW w AS (PARTITION BY series_id ORDER BY t))""") + """
+SELECT series_id, t, CAST(1 AS BIGINT) AS step, l1 AS y_true FROM lt WHERE l1 IS NOT NULL
+UNION ALL SELECT series_id, t, CAST(2 AS BIGINT), l2 FROM lt WHERE l2 IS NOT NULL
+UNION ALL SELECT series_id, t, CAST(3 AS BIGINT), l3 FROM lt WHERE l3 IS NOT NULL""", ["y_true"])
+def original_truth_q(spark, sf):
+    return tr.original_truth(fx.events_grid(spark, sf).select("series_id", "t", "y"))
+
+
+# ---------------------------------------------------------------- splits
+@register("temporal_split", q.with_(G, persist_cte("events_grid")) + "SELECT series_id, t, split FROM sp")
+def temporal_split_q(spark, sf):
+    tg = fe.multistep_targets(fx.events_grid(spark, sf).select("series_id", "t", "y"), 3)
+    return sp.temporal_split(tg).select("series_id", "t", "split")
+
+
+@register("holdout_split", q.with_(G, """
+smp AS (SELECT series_id, t, lead(y, 3) OVER (PARTITION BY series_id ORDER BY t) AS l3 FROM events_grid),
+ok AS (SELECT series_id, t FROM smp WHERE t >= 29 AND l3 IS NOT NULL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i,
+              count(*) OVER (PARTITION BY series_id) AS n FROM ok)""") +
+          "SELECT series_id, t, CASE WHEN i < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM ix")
+def holdout_split_q(spark, sf):
+    tg = fe.multistep_targets(fx.events_grid(spark, sf).select("series_id", "t", "y"), 3).where(F.col("t") >= 29)
+    return sp.holdout_split(tg).select("series_id", "t", "split")
+
+
+@register("gapped_cv_split", q.with_(G, """
+ix AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i,
+              count(*) OVER (PARTITION BY series_id) AS n FROM events_grid),
+fl AS (SELECT ix.*, CAST(f AS BIGINT) AS fold, floor(n / 6) AS sz, n - (5 - f + 1) * floor(n / 6) AS st
+       FROM ix, range(1, 6) AS r(f)),
+rl AS (SELECT series_id, t, fold, CASE WHEN i < st - 8 THEN 'train' WHEN i >= st AND i < st + sz THEN 'test' END AS role
+       FROM fl WHERE sz > 0)""") + "SELECT * FROM rl WHERE role IS NOT NULL")
+def gapped_cv_split_q(spark, sf):
+    return sp.gapped_cv_split(fx.events_grid(spark, sf).select("series_id", "t", "y"))
+
+
+@register("minmax_scale", q.with_(G, """
+ix AS (SELECT series_id, t, y, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i,
+              count(*) OVER (PARTITION BY series_id) AS n FROM events_grid),
+spl AS (SELECT *, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.8) THEN 'val' ELSE 'test' END AS split FROM ix),
+bnd AS (SELECT series_id, min(y) AS lo, max(y) AS hi FROM spl WHERE split = 'train' GROUP BY series_id)""") +
+          "SELECT s.series_id, s.t, s.split, s.y, (s.y - b.lo) / CASE WHEN b.hi = b.lo THEN 1.0 ELSE b.hi - b.lo END AS y_sc "
+          "FROM spl s JOIN bnd b USING (series_id)", ["y", "y_sc"])
+def minmax_scale_q(spark, sf):
+    g = sp.temporal_split(fx.events_grid(spark, sf).select("series_id", "t", "y"))
+    return sp.minmax_scale(g, ["y"]).select("series_id", "t", "split", "y", "y_sc")
+
+
+# ---------------------------------------------------------------- metrics
+SP = q.with_(G, q.SEASONAL, persist_cte("events_seasonal"))
+
+
+def _pf_seasonal(spark, sf):
+    return persistence_forecasts(fx.events_seasonal(spark, sf))
+
+
+def _metric_q(metric: str):
+    def run(spark, sf):
+        return me.forecast_metrics(_pf_seasonal(spark, sf), ["series_id", "split", "step"]).select(
+            "series_id", "split", "step", metric)
+    return run
+
+
+for _m in q.METRIC_COLS:
+    register(_m, f"SELECT series_id, split, step, {_m} FROM (" + SP + q.metrics_sql("pl", "series_id, split, step") + ")",
+             [_m])(_metric_q(_m))
+
+
+@register("weighted_f24", SP + """, mt AS (""" + q.metrics_sql("pl", "series_id, split, step") + """)
+SELECT series_id, split, sum(CASE step WHEN 1 THEN 5.0 WHEN 2 THEN 3.0 WHEN 3 THEN 2.0 END * f24) / 10.0 AS weighted_f24
+FROM mt GROUP BY series_id, split""", ["weighted_f24"])
+def weighted_f24_q(spark, sf):
+    m = me.forecast_metrics(_pf_seasonal(spark, sf), ["series_id", "split", "step"])
+    return me.weighted_f24(m, ["series_id", "split"])
+
+
+@register("weighted_rmse", SP + """, mt AS (""" + q.metrics_sql("pl", "series_id, split, step") + """)
+SELECT series_id, split, sum(CASE step WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.2 END * rmse) AS weighted_rmse
+FROM mt GROUP BY series_id, split""", ["weighted_rmse"])
+def weighted_rmse_q(spark, sf):
+    m = me.forecast_metrics(_pf_seasonal(spark, sf), ["series_id", "split", "step"])
+    return me.weighted_rmse(m, ["series_id", "split"])
+
+
+@register("mase", SP + """,
+nv AS (SELECT series_id, avg(abs(d)) AS naive FROM (SELECT series_id, y - lag(y, 1) OVER (PARTITION BY series_id ORDER BY t) AS d
+       FROM events_seasonal) WHERE d IS NOT NULL GROUP BY series_id),
+fe AS (SELECT series_id, step, avg(abs(y_true - y_pred)) AS fe FROM pl WHERE split = 'test' GROUP BY series_id, step)
+SELECT f.series_id, f.step, f.fe / CASE WHEN n.naive = 0 THEN 1e-10 ELSE n.naive END AS mase
+FROM fe f JOIN nv n USING (series_id)""", ["mase"])
+def mase_q(spark, sf):
+    series = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    pf = persistence_forecasts(series).where(F.col("split") == "test")
+    return me.mase(pf, series, by=["step"])
+
+
+@register("performance_summary", q.with_(G, q.SEASONAL, """
+dt AS (SELECT series_id, t, y, y - lag(y, 1) OVER w AS ytr, lead(y, 1) OVER w AS o1, lead(y, 2) OVER w AS o2,
+              lead(y, 3) OVER w AS o3 FROM events_seasonal WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+dt2 AS (SELECT *, lead(ytr, 1) OVER w AS r1, lead(ytr, 2) OVER w AS r2, lead(ytr, 3) OVER w AS r3
+        FROM dt WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+ok AS (SELECT * FROM dt2 WHERE ytr IS NOT NULL AND r3 IS NOT NULL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i,
+              count(*) OVER (PARTITION BY series_id) AS n FROM ok),
+te AS (SELECT * FROM ix WHERE i >= floor(n * 0.8)),
+pl AS (
+  SELECT series_id, 'transformed' AS domain, CAST(1 AS BIGINT) AS step, r1 AS y_true, ytr AS y_pred FROM te
+  UNION ALL SELECT series_id, 'transformed', 2, r2, ytr FROM te
+  UNION ALL SELECT series_id, 'transformed', 3, r3, ytr FROM te
+  UNION ALL SELECT series_id, 'original', 1, o1, y + ytr FROM te
+  UNION ALL SELECT series_id, 'original', 2, o2, y + 2 * ytr FROM te
+  UNION ALL SELECT series_id, 'original', 3, o3, y + 3 * ytr FROM te),
+mt AS (""" + q.metrics_sql("pl", "series_id, domain, step") + """)""") +
+          "SELECT mt.*, CASE step WHEN 1 THEN 5.0 WHEN 2 THEN 3.0 WHEN 3 THEN 2.0 END AS weight FROM mt",
+          ["weight", *q.METRIC_COLS])
+def performance_summary_q(spark, sf):
+    """Persistence in the differenced domain of the seasonal series, scored in both domains
+    (transformed truths, and levels recovered by the exact inversion)."""
+    from tidemark.plans.forecast import long_targets
+    series = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    d = tr.difference(series, False, True, out="y_tr")
+    tg = fe.multistep_targets(d.where(F.col("y_tr").isNotNull()), 3, value="y_tr")
+    tg = sp.temporal_split(tg).where(F.col("split") == "test")
+    trans = long_targets(tg, 3, "y_tr", extra=["y_tr"]).withColumnRenamed("y_tr", "y_pred")
+    pred = trans.select("series_id", "t", "step", "y_pred")
+    levels = tr.invert_forecasts(pred, series, False, True)
+    truth = tr.original_truth(series)
+    orig = levels.join(truth, on=["series_id", "t", "step"]).select(
+        "series_id", "step", "y_true", F.col("y_pred_orig").alias("y_pred"))
+    both = trans.select("series_id", "step", "y_true", "y_pred").withColumn("domain", F.lit("transformed")).unionByName(
+        orig.withColumn("domain", F.lit("original")))
+    m = me.forecast_metrics(both, ["series_id", "domain", "step"])
+    return me.performance_summary(m)
+
+
+RUNS = """
+runs AS (SELECT event_type AS series_id, CAST(user_id % 8 AS BIGINT) AS run, avg(value) AS score
+         FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _runs(spark, sf):
+    ev = fx.table(spark, sf, "events").where("event_type IS NOT NULL")
+    return ev.groupBy(F.col("event_type").alias("series_id"), F.pmod("user_id", F.lit(8)).cast("long").alias("run")) \
+        .agg(F.avg("value").alias("score"))
+
+
+@register("run_stats", q.with_(RUNS) + """
+SELECT series_id, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max,
+       quantile_cont(score, 0.5) AS median, CAST(count(*) AS BIGINT) AS n_runs FROM runs GROUP BY series_id""",
+          ["mean", "std", "min", "max", "median"])
+def run_stats_q(spark, sf):
+    return me.run_stats(_runs(spark, sf), ["series_id"], "score")
+
+
+@register("best_run", q.with_(RUNS) + """
+SELECT series_id, arg_min(run, (score, run)) AS best_run, min(score) AS best_score FROM runs GROUP BY series_id""",
+          ["best_score"])
+def best_run_q(spark, sf):
+    return me.best_run(_runs(spark, sf), ["series_id"], "score")
+
+
+@register("convergence_curve", q.with_("""
+daily AS (SELECT event_type AS series_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS iteration,
+          avg(value) AS score FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)""") + """
+SELECT series_id, iteration, min(score) OVER (PARTITION BY series_id ORDER BY iteration
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_score FROM daily""", ["best_score"])
+def convergence_curve_q(spark, sf):
+    ev = fx.table(spark, sf, "events").where("event_type IS NOT NULL AND ts IS NOT NULL")
+    hist = ev.groupBy(F.col("event_type").alias("series_id"),
+                      F.unix_date(F.col("ts").cast("date")).cast("long").alias("iteration")).agg(F.avg("value").alias("score"))
+    return me.convergence_curve(hist, ["series_id"])
+
+
+@register("forecast_errors", SP + """
+SELECT series_id, t, step, y_true, y_pred, y_pred - y_true AS error, abs(y_pred - y_true) AS abs_error,
+       100.0 * (y_pred - y_true) / (y_true + 1e-8) AS pct_error FROM pl WHERE split = 'test'""",
+          ["y_true", "y_pred", "error", "abs_error", "pct_error"])
+def forecast_errors_q(spark, sf):
+    pf = _pf_seasonal(spark, sf).where(F.col("split") == "test")
+    return me.forecast_errors(pf).drop("split")
+
+
+@register("data_info", q.with_(G, persist_cte("events_grid")) +
+          "SELECT series_id, split, CAST(count(*) AS BIGINT) AS n_rows FROM sp GROUP BY series_id, split")
+def data_info_q(spark, sf):
+    tg = fe.multistep_targets(fx.events_grid(spark, sf).select("series_id", "t", "y"), 3)
+    return me.data_info(sp.temporal_split(tg), ["series_id"])
+
+
+# ---------------------------------------------------------------- decomposition quality
+from tidemark.operators import quality as qa  # noqa: E402
+
+C = q.with_(G, q.COMPONENTS, """
+pt AS (SELECT series_id, t, sum(value) AS c_sum,
+              sum(CASE WHEN component <> 'residual' THEN value * value ELSE 0 END) AS m_sq,
+              sum(CASE WHEN component = 'residual' THEN value * value ELSE 0 END) AS r_sq
+       FROM events_components GROUP BY series_id, t),
+pairs AS (SELECT a.series_id, sum(a.value * b.value) AS cross_sum FROM events_components a
+          JOIN events_components b ON a.series_id = b.series_id AND a.t = b.t AND a.k < b.k
+          WHERE a.component <> 'residual' AND b.component <> 'residual' GROUP BY a.series_id),
+kc AS (SELECT series_id, CAST(count(DISTINCT component) AS BIGINT) AS K FROM events_components
+       WHERE component <> 'residual' GROUP BY series_id),
+st AS (SELECT g.series_id, avg(pow(g.y - p.c_sum, 2)) AS mse, avg(g.y * g.y) AS power, var_pop(g.y) AS var_x,
+              stddev_pop(g.y) AS std_x, sum(g.y * g.y) AS e_signal, sum(p.m_sq) AS e_modes, sum(p.r_sq) AS e_resid
+       FROM events_grid g JOIN pt p ON g.series_id = p.series_id AND g.t = p.t GROUP BY g.series_id),
+sx AS (SELECT st.*, kc.K, pairs.cross_sum,
+              CASE WHEN e_modes > 0 THEN 2 * abs(cross_sum) / e_modes ELSE 0.0 END AS oi,
+              CASE WHEN power > 0 THEN sqrt(mse / power) ELSE 0.0 END AS rrmse_power,
+              sqrt(mse) / CASE WHEN std_x > 0 THEN std_x ELSE 1e-8 END AS rrmse_std,
+              abs(K - 6) / 6.0 + 0.1 * greatest(K - 10, 0) AS cpx,
+              CASE WHEN e_signal > 0 THEN abs(e_modes + e_resid - e_signal) / e_signal ELSE 0.0 END AS energy_gap
+       FROM st JOIN kc USING (series_id) JOIN pairs USING (series_id)),
+mlen AS (SELECT series_id, component, max(t) + 1 AS n FROM events_components WHERE component <> 'residual'
+         GROUP BY series_id, component),
+mw AS (SELECT c.series_id, c.component, c.value, m.n, least(50, m.n // 10) AS w, c.t
+       FROM events_components c JOIN mlen m USING (series_id, component)),
+wv AS (SELECT series_id, component, t // w AS j, var_pop(value) AS v FROM mw
+       WHERE w > 0 AND (t // w) * w < n - w GROUP BY series_id, component, t // w),
+vs AS (SELECT m.series_id, m.component,
+              CASE WHEN count(wv.v) <= 1 THEN 0.0 WHEN avg(wv.v) > 0 THEN stddev_pop(wv.v) / avg(wv.v) ELSE 1.0 END AS variance_stability
+       FROM mlen m LEFT JOIN wv USING (series_id, component) GROUP BY m.series_id, m.component),
+lc AS (SELECT series_id, component, value, lag(value, 1) OVER (PARTITION BY series_id, component ORDER BY t) AS prev
+       FROM events_components WHERE component <> 'residual'),
+ac AS (SELECT series_id, component, CASE WHEN count(*) > 10 THEN coalesce(abs(corr(prev, value)), 0.0) ELSE 0.0 END AS lag1_autocorr
+       FROM lc GROUP BY series_id, component),
+mq AS (SELECT series_id, avg(variance_stability + 1 - lag1_autocorr) AS mode_quality FROM vs JOIN ac USING (series_id, component)
+       GROUP BY series_id),
+pq AS (SELECT sx.*, 0.4 * mse / CASE WHEN var_x > 0 THEN var_x ELSE 1e-8 END + 0.3 * coalesce(mode_quality, 0.0)
+              + 0.2 * cpx + 0.1 * energy_gap AS predictive_quality FROM sx LEFT JOIN mq USING (series_id))""")
+
+
+def _comp(spark, sf):
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    return fx.rolling_bands(g), g
+
+
+@register("components_wide", q.with_(G, q.COMPONENTS, WIDE) + "SELECT series_id, t, IMF_1, IMF_2, residual FROM wide",
+          ["IMF_1", "IMF_2", "residual"])
+def components_wide_q(spark, sf):
+    from tidemark.sources.series import components_to_wide
+    return components_to_wide(fx.events_components(spark, sf))
+
+
+@register("row_sum_target", q.with_(G, q.COMPONENTS, WIDE) +
+          "SELECT series_id, t, coalesce(IMF_1, 0) + coalesce(IMF_2, 0) + coalesce(residual, 0) AS sum FROM wide", ["sum"])
+def row_sum_target_q(spark, sf):
+    from tidemark.sources.series import components_to_wide, row_sum_target
+    w = components_to_wide(fx.events_components(spark, sf))
+    return row_sum_target(w, ["IMF_1", "IMF_2", "residual"], "sum").select("series_id", "t", "sum")
+
+
+@register("reconstruction_error", C + "SELECT series_id, mse AS reconstruction_mse FROM sx", ["reconstruction_mse"])
+def reconstruction_error_q(spark, sf):
+    return qa.reconstruction_error(*_comp(spark, sf))
+
+
+@register("orthogonality_index", C + "SELECT series_id, oi AS orthogonality_index FROM sx", ["orthogonality_index"])
+def orthogonality_index_q(spark, sf):
+    return qa.orthogonality_index(*_comp(spark, sf))
+
+
+@register("energy_distribution", C + """
+, en AS (SELECT series_id, component, sum(value * value) AS energy FROM events_components GROUP BY series_id, component
+         UNION ALL SELECT series_id, 'Total', sum(value * value) FROM events_components GROUP BY series_id)
+SELECT en.series_id, en.component, en.energy, en.energy / st.e_signal * 100 AS energy_pct
+FROM en JOIN st USING (series_id)""", ["energy", "energy_pct"])
+def energy_distribution_q(spark, sf):
+    return qa.energy_distribution(*_comp(spark, sf))
+
+
+@register("rrmse_power", C + "SELECT series_id, rrmse_power FROM sx", ["rrmse_power"])
+def rrmse_power_q(spark, sf):
+    return qa.rrmse(*_comp(spark, sf), by="power")
+
+
+@register("rrmse_std", C + "SELECT series_id, rrmse_std FROM sx", ["rrmse_std"])
+def rrmse_std_q(spark, sf):
+    return qa.rrmse(*_comp(spark, sf), by="std")
+
+
+@register("variance_stability", C + "SELECT series_id, component, variance_stability FROM vs", ["variance_stability"])
+def variance_stability_q(spark, sf):
+    return qa.variance_stability(_comp(spark, sf)[0])
+
+
+@register("lag1_autocorr", C + "SELECT series_id, component, lag1_autocorr FROM ac", ["lag1_autocorr"])
+def lag1_autocorr_q(spark, sf):
+    return qa.lag1_autocorr(_comp(spark, sf)[0])
+
+
+@register("complexity_penalty", C + "SELECT series_id, K, CAST(cpx AS DOUBLE) AS complexity_penalty FROM sx",
+          ["complexity_penalty"])
+def complexity_penalty_q(spark, sf):
+    return qa.complexity_penalty(_comp(spark, sf)[0])
+
+
+@register("energy_gap", C + "SELECT series_id, energy_gap FROM sx", ["energy_gap"])
+def energy_gap_q(spark, sf):
+    return qa.energy_gap(*_comp(spark, sf))
+
+
+@register("predictive_quality", C + "SELECT series_id, predictive_quality FROM pq", ["predictive_quality"])
+def predictive_quality_q(spark, sf):
+    return qa.predictive_quality(*_comp(spark, sf))
+
+
+@register("quality_report", C + """
+, rep AS (SELECT series_id, [
+    {'i': 1, 'm': 'Number of IMFs', 'v': CAST(K AS VARCHAR)},
+    {'i': 2, 'm': 'Optimized Epsilon', 'v': printf('%.6f', 0.0)},
+    {'i': 3, 'm': 'Optimization Strategy', 'v': 'predictive'},
+    {'i': 4, 'm': 'Reconstruction Error (RRMSE)', 'v': printf('%.6e', CASE WHEN rrmse_std < 1e-12 THEN 0.0 ELSE rrmse_std END)},
+    {'i': 5, 'm': 'Orthogonality Index (OI)', 'v': printf('%.6f', oi)},
+    {'i': 6, 'm': 'Predictive Quality Score', 'v': printf('%.6f', predictive_quality)},
+    {'i': 7, 'm': 'Signal Energy', 'v': printf('%.6e', e_signal)},
+    {'i': 8, 'm': 'Total Decomposition Energy', 'v': printf('%.6e', e_modes + e_resid)},
+    {'i': 9, 'm': 'Energy Preservation Ratio', 'v': printf('%.6f', (e_modes + e_resid) / e_signal)},
+    {'i': 10, 'm': 'Noise Type', 'v': 'Laplace_White_Noise'},
+    {'i': 11, 'm': 'Bayesian Optimization Status', 'v': 'Disabled'}] AS r FROM pq)
+SELECT series_id, CAST(e.i AS BIGINT) AS metric_idx, e.m AS metric, e.v AS value
+FROM (SELECT series_id, unnest(r) AS e FROM rep)""")
+def quality_report_q(spark, sf):
+    return qa.quality_report(*_comp(spark, sf))
+
+
+@register("main_period", q.with_(G, q.SEASONAL, """
+ms AS (SELECT series_id, count(*) AS n, avg(y) AS mu FROM events_seasonal GROUP BY series_id),
+xs AS (SELECT s.series_id, s.t, s.y - m.mu AS x FROM events_seasonal s JOIN ms m USING (series_id)),
+bins AS (SELECT series_id, n, unnest(range(1, n // 2)) AS k FROM ms),
+pw AS (SELECT b.series_id, b.n, b.k,
+              pow(sum(x.x * cos((2 * pi() / b.n) * ((x.t * b.k) % b.n))), 2)
+              + pow(sum(x.x * sin((2 * pi() / b.n) * ((x.t * b.k) % b.n))), 2) AS p
+       FROM bins b JOIN xs x USING (series_id) GROUP BY b.series_id, b.n, b.k),
+rk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p DESC, k) AS r FROM pw)""") + """
+SELECT m.series_id, CASE WHEN m.n < 4 OR rk.k IS NULL THEN CAST(m.n AS DOUBLE) ELSE m.n / rk.k END AS main_period
+FROM ms m LEFT JOIN rk ON rk.series_id = m.series_id AND rk.r = 1""", ["main_period"])
+def main_period_q(spark, sf):
+    return qa.main_period(fx.events_seasonal(spark, sf).select("series_id", "t", "y"))
+
+
+@register("frequency_band_weight", q.with_("""
+per AS (SELECT event_type AS series_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day,
+               count(*) / 4.0 AS period FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)""") + """
+SELECT series_id, day, period, CAST(h AS BIGINT) AS horizon,
+       CASE WHEN period < 1.5 * h THEN 0.25 WHEN period <= 8 * h THEN 1.0 ELSE 0.5 END AS weight
+FROM per, (VALUES (1), (4)) AS hs(h)""", ["period", "weight"])
+def frequency_band_weight_q(spark, sf):
+    ev = fx.table(spark, sf, "events").where("event_type IS NOT NULL AND ts IS NOT NULL")
+    per = ev.groupBy(F.col("event_type").alias("series_id"), F.unix_date(F.col("ts").cast("date")).cast("long").alias("day")) \
+        .agg((F.count(F.lit(1)) / 4.0).alias("period"))
+    return qa.frequency_band_weights(per)
+
+
+@register("balanced_score", C + "SELECT series_id, 0.2 * oi + 0.5 * rrmse_power * 100 + 0.3 * abs(K - 6) / 6.0 AS balanced_score FROM sx",
+          ["balanced_score"])
+def balanced_score_q(spark, sf):
+    return qa.balanced_score(*_comp(spark, sf))
