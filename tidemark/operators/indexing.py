@@ -22,25 +22,21 @@ def chunk_of(t: str, size: int) -> Column:
 def with_halo(df: DataFrame, before: int, after: int = 0, t: str = "t", size: int | None = None) -> DataFrame:
     """Add ``_c`` (chunk id) and ``_home`` (False for halo copies).
 
-    A row at position p of chunk c is copied into chunk c+1 when it lies in the
-    last ``before`` rows of c, and into chunk c-1 when it lies in the first
-    ``after`` rows, so that a window over ``(series_id, _c)`` sees ``before``
-    rows back and ``after`` rows ahead across chunk borders.  ``t`` must be the
+    Chunk c holds rows [cC, cC+C); its windows need rows back to cC-before and
+    up to cC+C-1+after.  Row t is therefore copied into every chunk from
+    floor((t-after)/C) to floor((t+before)/C), so a window over
+    ``(series_id, _c)`` sees ``before`` rows back and ``after`` rows ahead
+    across chunk borders (halos may be wider than a chunk).  ``t`` must be the
     contiguous row index.
     """
     size = size or chunk_rows(df.sparkSession)
-    if before > size or after > size:
-        raise ValueError("halo wider than a chunk")
     c = chunk_of(t, size)
-    p = F.col(t) - c * size
-    targets = F.array(
-        c,
-        F.when(p >= size - before, c + 1) if before > 0 else F.lit(None).cast("long"),
-        F.when((p < after) & (c > 0), c - 1) if after > 0 else F.lit(None).cast("long"),
-    )
+    lo = F.greatest(F.floor((F.col(t) - F.lit(after)) / F.lit(size)).cast("long"), F.lit(0).cast("long"))
+    hi = F.floor((F.col(t) + F.lit(before)) / F.lit(size)).cast("long")
+    targets = F.sequence(lo, hi) if (before or after) else F.array(c)
     return (
         df.withColumn("_c0", c)
-        .withColumn("_c", F.explode(F.array_compact(targets)))
+        .withColumn("_c", F.explode(targets))
         .withColumn("_home", F.col("_c") == F.col("_c0"))
         .drop("_c0")
     )

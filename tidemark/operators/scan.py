@@ -104,14 +104,15 @@ def _scan(df: DataFrame, keys, idx: str, b: str, d: Column, dmin: float, n_max:
     dmin_next = 0.0 if dmin <= 0 else dmin ** size
     if dmin_next < 1e-300:
         dmin_next = 0.0
+    inner, carry_col = f"_s{level + 1}", f"_carry{level}"
     scanned = _scan(
         ends.withColumnRenamed(c_col, "_ci"), keys, "_ci", "_end", dn, dmin_next,
-        -(-n_max // size), cap, "_carry", level + 1,
+        -(-n_max // size), cap, inner, level + 1,
     )
-    carry = scanned.select(*keys, (F.col("_ci") + 1).alias(c_col), "_carry")
+    carry = scanned.select(*keys, (F.col("_ci") + 1).alias(c_col), F.col(inner).alias(carry_col))
     joined = staged.join(carry, on=[*keys, c_col], how="left")
-    s = F.col(loc) + F.pow(d, F.col(p_col) + 1) * F.coalesce(F.col("_carry"), F.lit(0.0))
-    return joined.withColumn(out, s).drop(c_col, p_col, loc, "_carry")
+    s = F.col(loc) + F.pow(d, F.col(p_col) + 1) * F.coalesce(F.col(carry_col), F.lit(0.0))
+    return joined.withColumn(out, s).drop(c_col, p_col, loc, carry_col)
 
 
 def running_sum(df: DataFrame, keys, idx: str, value: Column, out: str, **kw) -> DataFrame:
