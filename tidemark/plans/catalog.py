@@ -779,3 +779,73 @@ def frequency_band_weight_q(spark, sf):
           ["balanced_score"])
 def balanced_score_q(spark, sf):
     return qa.balanced_score(*_comp(spark, sf))
+
+
+# ---------------------------------------------------------------- search rules
+from tidemark.operators import search as se  # noqa: E402
+
+LAGF = q.with_(G, q.SEASONAL, "lg AS (SELECT series_id, y, " + ", ".join(
+    f"lag(y, {k}) OVER (PARTITION BY series_id ORDER BY t) AS l{k}" for k in range(2, 9)) + """ FROM events_seasonal),
+fl AS (SELECT series_id, """ + ", ".join(f"corr(y, l{k}) AS f{k}" for k in range(2, 9)) + """ FROM lg GROUP BY series_id),
+sel AS (SELECT series_id, list_concat([1], list_filter([""" + ", ".join(
+    f"CASE WHEN f{k} > 0.5 THEN {k} ELSE NULL END" for k in range(2, 9)) + """], lambda x: x IS NOT NULL)) AS lags FROM fl)""")
+
+
+@register("lag_subset_rule", LAGF + """
+SELECT series_id, array_to_string(lags[1:6], ',') AS lags, CAST(len(lags[1:6]) AS BIGINT) AS n_lags FROM sel""")
+def lag_subset_rule_q(spark, sf):
+    """Lag flags = autocorrelation at lags 2..8 of the seasonal series; the rule keeps lag 1
+    plus flagged lags, at most six, smallest first."""
+    s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    lagged = fe.lags(s, 8)
+    from tidemark.functions.columns import safe_corr
+    flags = lagged.groupBy("series_id").agg(
+        F.array(*[safe_corr(F.col("y"), F.col(f"y_lag_{k}")) for k in range(2, 9)]).alias("flags"))
+    chosen = flags.select("series_id", se.lag_subset(F.col("flags")).alias("lags"))
+    return chosen.select("series_id", F.array_join(F.col("lags").cast("array<string>"), ",").alias("lags"),
+                         F.size("lags").cast("long").alias("n_lags"))
+
+
+AG = rec(G, ALPHA_GRID_SQL, f"""
+ag AS (SELECT g.series_id, a.alpha_idx, a.alpha, g.t, g.y FROM events_grid g JOIN agrid a USING (series_id)),
+ags AS (SELECT series_id, alpha_idx, alpha, t, y, y AS s FROM ag WHERE t = 0
+  UNION ALL SELECT g.series_id, g.alpha_idx, g.alpha, g.t, g.y, g.alpha * g.y + (1 - g.alpha) * r.s
+  FROM ags r JOIN ag g ON g.series_id = r.series_id AND g.alpha_idx = r.alpha_idx AND g.t = r.t + 1),
+agl AS (SELECT *, lag(s, 1) OVER (PARTITION BY series_id, alpha_idx ORDER BY t) AS s_prev FROM ags),
+sse AS (SELECT series_id, alpha_idx, alpha, sum(pow(y - s_prev, 2)) AS sse FROM agl GROUP BY series_id, alpha_idx, alpha),
+coarse AS (SELECT series_id, arg_min(alpha, (sse, alpha)) AS ref_alpha, min(sse) AS ref_sse FROM sse
+           WHERE alpha_idx IN (0, 5, 10, 15, 19) GROUP BY series_id),
+fine AS (SELECT series_id, arg_min(alpha, (sse, alpha)) AS fine_alpha, min(sse) AS fine_sse FROM sse GROUP BY series_id)""")
+
+
+def _alpha_sse(spark, sf):
+    return alpha_grid_smooth_q(spark, sf)
+
+
+@register("refine_bounds", AG + """
+SELECT series_id, ref_alpha, ref_sse, greatest(0.1, ref_alpha - 0.15) AS lower, least(0.8, ref_alpha + 0.15) AS upper
+FROM coarse""", ["ref_alpha", "ref_sse", "lower", "upper"])
+def refine_bounds_q(spark, sf):
+    """Best of a coarse reference grid (every fifth alpha) and the refined search window around it."""
+    sse = _alpha_sse(spark, sf)
+    coarse = se.best_by(sse.where(F.col("alpha_idx").isin(0, 5, 10, 15, 19)), ["series_id"], "alpha", "sse", "ref")
+    lo, hi = se.refine_bounds(F.col("ref_alpha"))
+    return coarse.select("series_id", "ref_alpha", "ref_sse", lo.alias("lower"), hi.alias("upper"))
+
+
+@register("improvement_gate", AG + """
+SELECT series_id, ref_alpha, fine_alpha, (ref_sse - fine_sse) / ref_sse AS gain,
+       CASE WHEN (ref_sse - fine_sse) / ref_sse > 0 THEN fine_alpha ELSE ref_alpha END AS chosen_p1,
+       CASE WHEN (ref_sse - fine_sse) / ref_sse >= 0.05 THEN fine_alpha ELSE ref_alpha END AS chosen_p2
+FROM coarse JOIN fine USING (series_id)""", ["ref_alpha", "fine_alpha", "gain", "chosen_p1", "chosen_p2"])
+def improvement_gate_q(spark, sf):
+    """Refined (all 20 alphas) vs reference (every fifth) best: keep the refined value only on enough gain."""
+    sse = _alpha_sse(spark, sf).cache()
+    coarse = se.best_by(sse.where(F.col("alpha_idx").isin(0, 5, 10, 15, 19)), ["series_id"], "alpha", "sse", "ref")
+    fine = se.best_by(sse, ["series_id"], "alpha", "sse", "fine")
+    j = coarse.join(fine, on="series_id")
+    r, f = F.col("ref_sse"), F.col("fine_sse")
+    return j.select(
+        "series_id", "ref_alpha", "fine_alpha", ((r - f) / r).alias("gain"),
+        se.improvement_gate(F.col("ref_alpha"), r, F.col("fine_alpha"), f, se.P1_MIN_GAIN).alias("chosen_p1"),
+        se.improvement_gate(F.col("ref_alpha"), r, F.col("fine_alpha"), f, se.P2_MIN_GAIN).alias("chosen_p2"))
