@@ -849,3 +849,32 @@ def improvement_gate_q(spark, sf):
         "series_id", "ref_alpha", "fine_alpha", ((r - f) / r).alias("gain"),
         se.improvement_gate(F.col("ref_alpha"), r, F.col("fine_alpha"), f, se.P1_MIN_GAIN).alias("chosen_p1"),
         se.improvement_gate(F.col("ref_alpha"), r, F.col("fine_alpha"), f, se.P2_MIN_GAIN).alias("chosen_p2"))
+
+
+# ---------------------------------------------------------------- backtests and unit-root tests (rows-only checks)
+from tidemark.operators import backtest as bt  # noqa: E402
+
+
+@register("rolling_ar_backtest")
+def rolling_ar_backtest_q(spark, sf):
+    """Expanding-window AR(8) MASE per series for horizons 1 and 4 on the seasonal series."""
+    s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    return bt.rolling_ar_backtest(s, horizon=1).unionByName(bt.rolling_ar_backtest(s, horizon=4))
+
+
+@register("adf_test")
+def adf_test_q(spark, sf):
+    """ADF statistics of the walk (integrated) and of the 15-minute grid (stationary)."""
+    walk = fx.events_walk(spark, sf).select(F.concat(F.col("series_id"), F.lit("/walk")).alias("series_id"), "t", "y")
+    grid = fx.events_grid(spark, sf).select(F.concat(F.col("series_id"), F.lit("/grid")).alias("series_id"), "t", "y")
+    return bt.adf_test(walk.unionByName(grid))
+
+
+@register("choose_transform")
+def choose_transform_q(spark, sf):
+    """Seasonal and difference flags per series, on the seasonal series and on the walk."""
+    seas = fx.events_seasonal(spark, sf).select(F.concat(F.col("series_id"), F.lit("/seasonal")).alias("series_id"), "t", "y")
+    walk = fx.events_walk(spark, sf).select(F.concat(F.col("series_id"), F.lit("/walk")).alias("series_id"), "t", "y")
+    out = bt.choose_transform(seas.unionByName(walk))
+    return out.select("series_id", "seas", "diff", "autocorr", "p_value", "used_lag",
+                      F.to_json("ops").alias("ops"))
