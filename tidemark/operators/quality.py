@@ -284,3 +284,53 @@ def normalize_and_combine(scores: DataFrame, keys=("series_id",), setting: str =
         norm = F.when(hi - lo < F.lit(1e-10), F.lit(0.0)).otherwise((F.col(m) - lo) / (hi - lo + F.lit(1e-10)))
         total = total + F.lit(wt) * norm
     return scores.select(*keys, setting, total.alias("combined_score"))
+
+
+# ---------------------------------------------------------------- forecastability (needs the backtest)
+PROXY_HORIZONS = (1, 4)
+
+
+def pred_error_proxy(components: DataFrame, keys=("series_id",), horizons=PROXY_HORIZONS, t: str = "t") -> DataFrame:
+    """Energy-share x band-weight weighted MASE of AR backtests over all
+    components (modes and residual), averaged over horizons; 1.0 without
+    energy (G16).  Weights are normalised per horizon, equal when all zero."""
+    from tidemark.operators.backtest import rolling_ar_backtest
+
+    keys = list(keys)
+    ck = [*keys, "component"]
+    long = components.select(*ck, t, F.col("value").alias("y"))
+    energy = long.groupBy(*ck).agg(F.sum(F.col("y") * F.col("y")).alias("_ce"))
+    tot = energy.groupBy(*keys).agg(F.sum("_ce").alias("_tot"), F.count(F.lit(1)).alias("_nc"))
+    period = main_period(long, "y", ck, t)
+    mase = None
+    for h in horizons:
+        m = rolling_ar_backtest(long, ck, "y", t, horizon=h).select(*ck, "horizon", "mase")
+        mase = m if mase is None else mase.unionByName(m)
+    j = mase.join(energy, on=ck).join(period, on=ck).join(tot, on=keys)
+    share = F.when(F.col("_tot") > 0, F.col("_ce") / F.col("_tot")).otherwise(F.lit(0.0))
+    j = j.withColumn("_w", share * band_weight(F.col("main_period"), F.col("horizon")))
+    per_h = j.groupBy(*keys, "horizon").agg(
+        F.sum("_w").alias("_W"), F.sum(F.col("_w") * F.col("mase")).alias("_wm"), F.avg("mase").alias("_em"),
+        F.first("_tot").alias("_tot"))
+    eh = F.when(F.col("_W") > 0, F.col("_wm") / F.col("_W")).otherwise(F.col("_em"))
+    out = per_h.groupBy(*keys).agg(F.avg(eh).alias("_p"), F.first("_tot").alias("_tot"))
+    return out.select(*keys, F.when(F.col("_tot") > 0, F.col("_p")).otherwise(F.lit(1.0)).alias("pred_err_proxy"))
+
+
+def forecastability_components(components: DataFrame, signal: DataFrame, keys=("series_id",)) -> DataFrame:
+    """The five parts of the forecastability score per series."""
+    keys = list(keys)
+    st = series_stats(components, signal, keys).select(
+        *keys, rrmse_power_col().alias("rrmse"), oi_col().alias("oi"), cpx_col().cast("double").alias("cpx"),
+        energy_gap_col().alias("energy_gap"))
+    return pred_error_proxy(components, keys).join(st, on=keys)
+
+
+def forecastability_score(components: DataFrame, signal: DataFrame, keys=("series_id",),
+                          weights=FORECASTABILITY_WEIGHTS) -> DataFrame:
+    """0.55 proxy + 0.15 rrmse(power) + 0.10 OI + 0.10 cpx + 0.10 energy gap."""
+    parts = forecastability_components(components, signal, keys)
+    score = F.lit(0.0)
+    for m, w in weights.items():
+        score = score + F.lit(w) * F.col(m)
+    return parts.withColumn("forecastability_score", score)

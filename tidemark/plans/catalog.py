@@ -878,3 +878,28 @@ def choose_transform_q(spark, sf):
     out = bt.choose_transform(seas.unionByName(walk))
     return out.select("series_id", "seas", "diff", "autocorr", "p_value", "used_lag",
                       F.to_json("ops").alias("ops"))
+
+
+@register("pred_error_proxy")
+def pred_error_proxy_q(spark, sf):
+    """G16 over the three rolling bands of every event series."""
+    comps, _ = _comp(spark, sf)
+    return qa.pred_error_proxy(comps)
+
+
+@register("forecastability_score")
+def forecastability_score_q(spark, sf):
+    comps, g = _comp(spark, sf)
+    return qa.forecastability_score(comps, g)
+
+
+@register("normalize_and_combine")
+def normalize_and_combine_q(spark, sf):
+    """The five forecastability parts of three band settings (short window 6, 12, 24),
+    min-max normalised across the settings of each series and combined (G19)."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    parts = None
+    for short in (6, 12, 24):
+        p = qa.forecastability_components(fx.rolling_bands(g, short=short), g).withColumn("setting", F.lit(short).cast("long"))
+        parts = p if parts is None else parts.unionByName(p)
+    return qa.normalize_and_combine(parts)
