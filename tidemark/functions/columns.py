@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ __all__ = [
     "normal_noise",
     "slot_of",
     "day_of",
+    "laplace_noise_np",
+    "xxhash64_longs_np",
     "safe_div",
 ]
 
@@ -73,8 +77,11 @@ def hash_uniform(*cols: Column) -> Column:
 
 
 def laplace_noise(*cols: Column) -> Column:
-    """Zero-mean Laplace draw with unit standard deviation (scale 1/sqrt 2)."""
-    u = hash_uniform(*cols)
+    """Zero-mean Laplace draw with unit standard deviation (scale 1/sqrt 2).
+
+    Keys are hashed as 64-bit integers (see ``laplace_noise_np`` for the same
+    draw inside Arrow tasks)."""
+    u = hash_uniform(*[c.cast("long") for c in cols])
     b = 1.0 / math.sqrt(2.0)
     return -b * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
@@ -100,3 +107,41 @@ def slot_of(ts: Column, minutes: int = 15) -> Column:
 def day_of(ts: Column) -> Column:
     """Days since 1970-01-01 of a timestamp or date."""
     return F.unix_date(ts.cast("date")).cast("long")
+
+
+# ---------------------------------------------------------------- the same draws in NumPy
+# fixed values: the 64-bit xxHash primes and Spark's default hash seed
+XXH_P1 = 0x9E3779B185EBCA87
+XXH_P2 = 0xC2B2AE3D27D4EB4F
+XXH_P3 = 0x165667B19E3779F9
+XXH_P4 = 0x85EBCA77C2B2AE63
+XXH_P5 = 0x27D4EB2F165667C5
+SPARK_HASH_SEED = 42
+
+
+def _rotl(x, r):
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def xxhash64_longs_np(*values) -> "np.ndarray":
+    """NumPy twin of Spark ``xxhash64`` over BIGINT arguments (broadcasting)."""
+    with np.errstate(over="ignore"):
+        h = np.uint64(SPARK_HASH_SEED)
+        for v in values:
+            v = np.asarray(v, dtype=np.int64).astype(np.uint64)
+            acc = h + np.uint64(XXH_P5) + np.uint64(8)
+            acc = acc ^ (_rotl(v * np.uint64(XXH_P2), 31) * np.uint64(XXH_P1))
+            acc = _rotl(acc, 27) * np.uint64(XXH_P1) + np.uint64(XXH_P4)
+            acc = acc ^ (acc >> np.uint64(33))
+            acc = acc * np.uint64(XXH_P2)
+            acc = acc ^ (acc >> np.uint64(29))
+            acc = acc * np.uint64(XXH_P3)
+            h = acc ^ (acc >> np.uint64(32))
+        return h
+
+
+def laplace_noise_np(*values) -> "np.ndarray":
+    """Same draws as ``laplace_noise`` for integer keys, computed inside a task."""
+    h = xxhash64_longs_np(*values)
+    u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / TWO_POW_53 - 0.5
+    return -(1.0 / math.sqrt(2.0)) * np.sign(u) * np.log(1 - 2 * np.abs(u))

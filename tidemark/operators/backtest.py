@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import windowed
-from tidemark.operators.indexing import series_length
+from tidemark.operators.indexing import series_length, key_schema
 from tidemark.operators.linalg import gram_columns, running_sums, solve_batched, unpack_gram
 from tidemark.operators.scan import max_group_length
 from tidemark.operators.transform import trend_slope_test
@@ -63,7 +63,7 @@ def rolling_ar_forecasts(df: DataFrame, keys=("series_id",), value: str = "y", t
     actual = F.array(F.col("_x"), *[F.col(f"_a{h}") for h in range(1, horizon)])
     joined = origins.select(*keys, F.col(t).alias("origin"), "_j", "_mu", F.array(*[F.col(c) for c in lag_cols]).alias("_lags"),
                             actual.alias("_act")).join(cum, on=[*keys, "_j"], how="inner")
-    out_schema = ", ".join([f"{k} string" for k in keys] + ["origin long", "h long", "actual double", "forecast double"])
+    out_schema = ", ".join(key_schema(df, keys) + ["origin long", "h long", "actual double", "forecast double"])
 
     def forecast(batches):
         for pdf in batches:
@@ -168,7 +168,7 @@ def adf_test(df: DataFrame, keys=("series_id",), value: str = "y", t: str = "t",
     per = n.join(packed, on=keys, how="left").join(head, on=keys, how="left")
     slope = trend_slope_test(df, value, keys, t).select(*keys, "trending")
     per = per.join(slope, on=keys, how="left")
-    schema = ", ".join([f"{k} string" for k in keys] + ["n long", "used_lag long", "adf_stat double", "p_value double",
+    schema = ", ".join(key_schema(df, keys) + ["n long", "used_lag long", "adf_stat double", "p_value double",
                                                        "need_diff boolean"])
 
     def run(batches):

@@ -78,3 +78,8 @@ def dense_index(df: DataFrame, keys, order: str = "t", size: int | None = None,
 def series_length(df: DataFrame, keys=("series_id",), t: str = "t", name: str = "n") -> DataFrame:
     """One row per series with its length ``max(t) + 1`` (partial aggregation, no window)."""
     return df.groupBy(*keys).agg((F.max(t) + 1).cast("long").alias(name))
+
+
+def key_schema(df: DataFrame, keys) -> list[str]:
+    """DDL fragments ``name type`` of key columns, for Arrow UDF output schemas."""
+    return [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]

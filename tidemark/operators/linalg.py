@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.indexing import chunk_of
+from tidemark.operators.indexing import chunk_of, key_schema
 from tidemark.operators.scan import max_group_length
 from tidemark.session import chunk_rows
 
@@ -85,7 +85,7 @@ def partial_gram(df: DataFrame, keys, cols, size: int | None = None) -> DataFram
     staged = staged.withColumn("_gc", F.floor(F.col("_rid") / size).cast("long")).drop("_rid")
     m = len(cols)
     iu = np.triu_indices(m)
-    schema = ", ".join([f"{k} string" for k in keys] + ["i long", "j long", "v double"])
+    schema = ", ".join(key_schema(df, keys) + ["i long", "j long", "v double"])
 
     def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[cols].to_numpy(dtype=np.float64)

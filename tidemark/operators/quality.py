@@ -239,7 +239,7 @@ def main_period(signal: DataFrame, value: str = "y", keys=("series_id",), t: str
     stats = signal.groupBy(*keys).agg((F.max(t) + 1).cast("long").alias("_n"), F.avg(value).alias("_mean"))
     staged = signal.select(*keys, t, value).join(stats, on=keys).select(
         *keys, t, (F.col(value) - F.col("_mean")).alias("_x"), "_n", chunk_of(t, size).alias("_c"))
-    schema = ", ".join([f"{k} string" for k in keys] + ["_c long", "k long", "re double", "im double"])
+    schema = ", ".join(key_schema(signal, keys) + ["_c long", "k long", "re double", "im double"])
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         part = _dft_partials("_n")(pdf)

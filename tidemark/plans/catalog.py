@@ -903,3 +903,67 @@ def normalize_and_combine_q(spark, sf):
         p = qa.forecastability_components(fx.rolling_bands(g, short=short), g).withColumn("setting", F.lit(short).cast("long"))
         parts = p if parts is None else parts.unionByName(p)
     return qa.normalize_and_combine(parts)
+
+
+# ---------------------------------------------------------------- ensemble decomposition (rows-only checks)
+from tidemark.operators import decompose as dc  # noqa: E402
+
+DECOMP_EPSILON = 0.2
+SEARCH_TRIALS = 20
+
+
+@register("laplace_noise")
+def laplace_noise_q(spark, sf):
+    """Noise of trial 0..3 for every grid row, with its running moments per series and trial."""
+    g = fx.events_grid(spark, sf).select("series_id", "t")
+    rows = g.select("series_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("trial"))
+    rows = rows.withColumn("w", dc.noise_column(F.lit(dc.DEFAULT_SEED), F.col("trial"), F.col("t")))
+    return rows.groupBy("series_id", "trial").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"),
+                                                 F.stddev_pop("w").alias("std"), F.min("w").alias("min"), F.max("w").alias("max"))
+
+
+@register("ensemble_decompose")
+def ensemble_decompose_q(spark, sf):
+    """100-trial noise-assisted decomposition of every 15-minute series."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    return dc.ensemble_decompose(g, trials=dc.DEFAULT_TRIALS, epsilon=DECOMP_EPSILON)
+
+
+@register("decomposition_residual")
+def decomposition_residual_q(spark, sf):
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    return dc.decomposition_residual(dc.ensemble_decompose(g, trials=SEARCH_TRIALS, epsilon=DECOMP_EPSILON), g)
+
+
+@register("trend_decompose")
+def trend_decompose_q(spark, sf):
+    """Zero-phase trend (alpha 0.3) plus decomposition of the smoothing residual."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    return dc.trend_decompose(g, ALPHA, epsilon=DECOMP_EPSILON, trials=SEARCH_TRIALS)
+
+
+@register("batch_status")
+def batch_status_q(spark, sf):
+    """Per series status of the decomposition of the raw (gapped) daily order series
+    and of the 15-minute grid; too-short series are reported, not dropped."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    o = fx.orders_daily(spark, sf).select(F.concat(F.lit("orders/"), F.col("series_id")).alias("series_id"), "t", "y")
+    allx = g.unionByName(o)
+    return dc.batch_status(dc.ensemble_decompose(allx, trials=SEARCH_TRIALS, epsilon=DECOMP_EPSILON, min_len=2500), allx)
+
+
+@register("epsilon_grid_search")
+def epsilon_grid_search_q(spark, sf):
+    """Direct pipeline's epsilon search: reference grid, refinement, 2 seeded runs,
+    5 % gate, scored by the predictive quality."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    return se.epsilon_search(g, qa.predictive_quality, trials=SEARCH_TRIALS)
+
+
+@register("alpha_search")
+def alpha_search_q(spark, sf):
+    """Trend pipeline's search: 8 smoothing factors in [0.01, 0.5] x 5 epsilons per series,
+    scored by the balanced decomposition score."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    alphas = [ALPHA_LO + i * (ALPHA_HI - ALPHA_LO) / 7 for i in range(8)]
+    return se.alpha_search(g, alphas, qa.balanced_score, trials=SEARCH_TRIALS)
