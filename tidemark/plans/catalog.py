@@ -967,3 +967,91 @@ def alpha_search_q(spark, sf):
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
     alphas = [ALPHA_LO + i * (ALPHA_HI - ALPHA_LO) / 7 for i in range(8)]
     return se.alpha_search(g, alphas, qa.balanced_score, trials=SEARCH_TRIALS)
+
+
+# ---------------------------------------------------------------- lag subset search (rows-only check)
+def _seasonal_train_val(spark, sf):
+    s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    feats = fe.multistep_targets(fe.lags(s, 8), 3)
+    feats = feats.na.drop()
+    return sp.temporal_split(feats)
+
+
+@register("lag_subset_search")
+def lag_subset_search_q(spark, sf):
+    """All 120 legal lag sets of an AR(8) ridge proxy scored by validation weighted F24."""
+    sp_ = _seasonal_train_val(spark, sf)
+    return se.lag_subset_search(sp_.where(F.col("split") == "train"), sp_.where(F.col("split") == "val"))
+
+
+# ---------------------------------------------------------------- models (rows-only checks)
+from tidemark.operators import models as mo  # noqa: E402
+from tidemark.plans import pipelines as pl  # noqa: E402
+
+MODEL_TREES = 20
+MODEL_LR = 0.3
+
+
+@register("fit_boosted_multistep")
+def fit_boosted_multistep_q(spark, sf):
+    """Per-step boosters on the seasonal series (transform chosen per series); test-split forecasts."""
+    out = pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)
+    test = out["table"].where(F.col("split") == "test")
+    return mo.predict_multistep(out["models"], test, out["features"], extra=["split"])
+
+
+@register("evaluate_splits")
+def evaluate_splits_q(spark, sf):
+    """Metrics per split, domain and step of the trend-forecast flow."""
+    return pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)["summary"]
+
+
+@register("feature_importance")
+def feature_importance_q(spark, sf):
+    """Per-step importances and their mean (step NULL), sorted; the top 20 of each kept."""
+    out = pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)
+    from pyspark.sql import Window
+    imp = mo.importance_frame(spark, out["models"], out["features"])
+    w = Window.partitionBy("step").orderBy(F.desc("importance"), "feature")
+    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)
+
+
+@register("booster_search")
+def booster_search_q(spark, sf):
+    """Three (learning rate, trees) candidates scored by validation weighted F24; running best."""
+    table, features = pl.booster_features(fx.events_seasonal(spark, sf), seas=True, diff=False)
+    from tidemark.session import cut_lineage
+    table = cut_lineage(table)
+    cands = [(0.05, 20), (0.1, 20), (0.3, 20)]
+    return mo.booster_search(table.where("split = 'train'"), table.where("split = 'val'"), features, cands,
+                             target=pl.BOOSTER_TARGET)
+
+
+@register("fit_sequence_regressor")
+def fit_sequence_regressor_q(spark, sf):
+    """Look-back-30 windows of the three bands -> per-step linear models -> metrics per series and step."""
+    out = pl.sequence_forecast(fx.events_components(spark, sf))
+    return out["metrics"].join(out["weighted_rmse"], on="series_id")
+
+
+@register("stability_runs")
+def stability_runs_q(spark, sf):
+    """Three seeded refits of the step-1..3 boosters; weighted RMSE per run, with run statistics."""
+    table, features = pl.booster_features(fx.events_seasonal(spark, sf), seas=True, diff=False)
+    from tidemark.session import cut_lineage
+    table = cut_lineage(table)
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+
+    def fit(df, seed):
+        return mo.fit_boosted_multistep(df, features, 3, pl.BOOSTER_TARGET, MODEL_LR, MODEL_TREES, seed)["models"]
+
+    def predict(models, df):
+        p = mo.predict_multistep(models, df, features)
+        truth = df.select("series_id", "t", F.posexplode(F.array(*[F.col(f"{pl.BOOSTER_TARGET}_step_{h}") for h in (1, 2, 3)]))
+                          .alias("_i", "y_true")).select("series_id", "t", (F.col("_i") + 1).cast("long").alias("step"), "y_true")
+        return p.join(truth, on=["series_id", "t", "step"])
+
+    runs = mo.stability_runs(train, test, fit, predict, seeds=[42, 43, 44]).withColumn("_all", F.lit(1))
+    stats = me.run_stats(runs, ["_all"], "weighted_rmse")
+    best = me.best_run(runs, ["_all"], "weighted_rmse")
+    return runs.join(stats, on="_all").join(best, on="_all").drop("_all")
