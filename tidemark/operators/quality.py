@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import band_weight, safe_corr
 from tidemark.operators.features import windowed
-from tidemark.operators.indexing import chunk_of, series_length
+from tidemark.operators.indexing import chunk_of, key_schema, series_length
 from tidemark.session import chunk_rows
 
 RESIDUAL = "residual"

@@ -87,17 +87,20 @@ def sequence_forecast(components: DataFrame, look_back: int = 30, steps: int = 3
     """L4: component columns -> row-sum target -> min-max scaling -> look-back
     windows -> 80/20 holdout -> per-step linear models -> weighted RMSE in
     the original scale."""
-    wide = components_to_wide(components)
+    from tidemark.session import cut_lineage
+
+    wide = cut_lineage(components_to_wide(components))
     comp_cols = [c for c in wide.columns if c not in ("series_id", "t")]
     wide = row_sum_target(wide, comp_cols, "sum")
     samples0 = fe.sequence_windows(wide, comp_cols, look_back, steps, "sum")
     split = sp.holdout_split(samples0.select("series_id", "t")).withColumnRenamed("split", "split")
     marks = wide.join(split, on=["series_id", "t"], how="left").withColumn(
         "split", F.coalesce(F.col("split"), F.lit("train")))
-    bounds = sp.minmax_fit(marks, [*comp_cols, "sum"], split_col="split", fit_on=fit_on)
+    bounds = cut_lineage(sp.minmax_fit(marks, [*comp_cols, "sum"], split_col="split", fit_on=fit_on))
     scaled = sp.minmax_scale(marks, [*comp_cols, "sum"], bounds=bounds)
     sc_cols = [f"{c}_sc" for c in comp_cols]
-    samples = fe.sequence_windows(scaled, sc_cols, look_back, steps, "sum_sc").join(split, on=["series_id", "t"])
+    # the windows feed one fit per step and the scoring: materialise once
+    samples = cut_lineage(fe.sequence_windows(scaled, sc_cols, look_back, steps, "sum_sc").join(split, on=["series_id", "t"]))
     train = samples.where(F.col("split") == "train")
     test = samples.where(F.col("split") == "test")
     models = mo.fit_sequence_regressor(train, steps)
