@@ -34,36 +34,43 @@ def _center(df: DataFrame, keys, value: str) -> DataFrame:
 
 
 def rolling_ar_forecasts(df: DataFrame, keys=("series_id",), value: str = "y", t: str = "t", p: int = AR_ORDER,
-                         horizon: int = 1, min_train: int = MIN_TRAIN, step: int = ORIGIN_STEP) -> DataFrame:
-    """Recursive H-step AR(p)+intercept forecasts from every origin min_train, +step, ...
-    with origin + H < n.  Returns (keys, origin, h, actual, forecast)."""
+                         horizons=(1,), min_train: int = MIN_TRAIN, step: int = ORIGIN_STEP) -> DataFrame:
+    """Recursive H-step AR(p)+intercept forecasts from every origin min_train,
+    +step, ... with origin + H < n, for every H in ``horizons`` at once (the
+    expanding-window Grams do not depend on H).  Returns (keys, horizon,
+    origin, h, actual, forecast)."""
     keys = list(keys)
+    horizons = sorted(set(int(h) for h in horizons))
+    hmax = max(horizons)
     x = _center(df.select(*keys, t, value), keys, value)
     lag_cols = [f"_l{k}" for k in range(1, p + 1)]
 
     def make(w):
         cols = [F.lag("_x", k).over(w).alias(f"_l{k}") for k in range(1, p + 1)]
-        cols += [F.lead("_x", h).over(w).alias(f"_a{h}") for h in range(1, horizon)]
+        cols += [F.lead("_x", h).over(w).alias(f"_a{h}") for h in range(1, hmax)]
         return cols
-    rows = windowed(x, make, p, max(horizon - 1, 0), keys, t)
+    rows = windowed(x, make, p, max(hmax - 1, 0), keys, t)
     rows = rows.withColumn("_one", F.lit(1.0))
     design = ["_one", *lag_cols, "_x"]
     m = len(design)
-    # bucket j collects targets t with origin 128 + 8j the first to train on them
+    # bucket j collects targets t with origin min_train + step*j the first to train on them
     bucket = F.greatest(F.lit(0), F.ceil((F.col(t) - F.lit(min_train - 1)) / F.lit(step))).cast("long")
     targets = rows.where(F.col(t) >= p).withColumn("_j", bucket)
     grams = targets.groupBy(*keys, "_j").agg(*gram_columns(design))
     gcols = [c for c in grams.columns if c.startswith("g_")]
     cum = running_sums(grams, keys, "_j", gcols)
     n = series_length(df, keys, t, "_n")
+    hmin = min(horizons)
     origins = rows.join(n, on=keys).where(
-        (F.col(t) >= min_train) & (F.pmod(F.col(t) - min_train, F.lit(step)) == 0) & (F.col(t) < F.col("_n") - horizon)
-        & (F.col("_n") >= min_train + p + horizon))
+        (F.col(t) >= min_train) & (F.pmod(F.col(t) - min_train, F.lit(step)) == 0) & (F.col(t) < F.col("_n") - hmin)
+        & (F.col("_n") >= min_train + p + hmin))
     origins = origins.withColumn("_j", ((F.col(t) - min_train) / step).cast("long"))
-    actual = F.array(F.col("_x"), *[F.col(f"_a{h}") for h in range(1, horizon)])
-    joined = origins.select(*keys, F.col(t).alias("origin"), "_j", "_mu", F.array(*[F.col(c) for c in lag_cols]).alias("_lags"),
+    actual = F.array(F.col("_x"), *[F.col(f"_a{h}") for h in range(1, hmax)])
+    joined = origins.select(*keys, F.col(t).alias("origin"), "_n", "_j", "_mu",
+                            F.array(*[F.col(c) for c in lag_cols]).alias("_lags"),
                             actual.alias("_act")).join(cum, on=[*keys, "_j"], how="inner")
-    out_schema = ", ".join(key_schema(df, keys) + ["origin long", "h long", "actual double", "forecast double"])
+    out_schema = ", ".join(key_schema(df, keys) + ["horizon long", "origin long", "h long", "actual double",
+                                                   "forecast double"])
 
     def forecast(batches):
         for pdf in batches:
@@ -73,37 +80,48 @@ def rolling_ar_forecasts(df: DataFrame, keys=("series_id",), value: str = "y", t
             coef = solve_batched(g[:, :-1, :-1], g[:, :-1, -1])
             hist = np.stack(pdf["_lags"].to_numpy())  # x_{s-1}, ..., x_{s-p}
             preds = []
-            for _ in range(horizon):
+            for _ in range(hmax):
                 nxt = coef[:, 0] + np.einsum("ki,ki->k", coef[:, 1:], hist)
                 preds.append(nxt)
                 hist = np.concatenate([nxt[:, None], hist[:, :-1]], axis=1)
-            pred = np.stack(preds, axis=1) + pdf["_mu"].to_numpy()[:, None]
-            act = np.stack(pdf["_act"].to_numpy()) + pdf["_mu"].to_numpy()[:, None]
-            k = len(pdf)
-            out = pd.DataFrame({"origin": np.repeat(pdf["origin"].to_numpy(), horizon),
-                                "h": np.tile(np.arange(1, horizon + 1), k),
-                                "actual": act.reshape(-1), "forecast": pred.reshape(-1)})
-            for key in reversed(keys):
-                out.insert(0, key, np.repeat(pdf[key].to_numpy(), horizon))
-            yield out
+            mu = pdf["_mu"].to_numpy()[:, None]
+            pred = np.stack(preds, axis=1) + mu
+            act = np.stack([np.asarray(a, dtype=float) for a in pdf["_act"].to_numpy()]) + mu
+            origin, nrow = pdf["origin"].to_numpy(), pdf["_n"].to_numpy()
+            for hz in horizons:
+                ok = (origin < nrow - hz) & (nrow >= min_train + p + hz)
+                k = int(ok.sum())
+                if k == 0:
+                    continue
+                out = pd.DataFrame({"horizon": hz, "origin": np.repeat(origin[ok], hz),
+                                    "h": np.tile(np.arange(1, hz + 1), k),
+                                    "actual": act[ok, :hz].reshape(-1), "forecast": pred[ok, :hz].reshape(-1)})
+                for key in reversed(keys):
+                    out.insert(0, key, np.repeat(pdf[key].to_numpy()[ok], hz))
+                yield out
 
     return joined.mapInPandas(forecast, out_schema)
 
 
 def rolling_ar_backtest(df: DataFrame, keys=("series_id",), value: str = "y", t: str = "t", p: int = AR_ORDER,
-                        horizon: int = 1, min_train: int = MIN_TRAIN, step: int = ORIGIN_STEP) -> DataFrame:
+                        horizon: int = 1, min_train: int = MIN_TRAIN, step: int = ORIGIN_STEP,
+                        horizons=None) -> DataFrame:
     """MASE of all backtest forecasts against the naive error of the whole series;
-    1.0 when the series is too short or yields no forecast (G15)."""
+    1.0 when the series is too short or yields no forecast (G15).  One row per
+    (keys, horizon) for every horizon in ``horizons`` (default: ``horizon``)."""
     keys = list(keys)
-    fc = rolling_ar_forecasts(df, keys, value, t, p, horizon, min_train, step)
-    err = fc.groupBy(*keys).agg(F.avg(F.abs(F.col("actual") - F.col("forecast"))).alias("_fe"),
-                                F.count(F.lit(1)).alias("n_forecasts"))
+    hs = sorted(set(horizons or [horizon]))
+    fc = rolling_ar_forecasts(df, keys, value, t, p, hs, min_train, step)
+    err = fc.groupBy(*keys, "horizon").agg(F.avg(F.abs(F.col("actual") - F.col("forecast"))).alias("_fe"),
+                                           F.count(F.lit(1)).alias("n_forecasts"))
     d = windowed(df.select(*keys, t, value), lambda w: [(F.col(value) - F.lag(value, 1).over(w)).alias("_d")], 1, 0, keys, t)
     naive = d.groupBy(*keys).agg(F.avg(F.abs("_d")).alias("_nv"), F.count(F.lit(1)).alias("_n"))
-    j = naive.join(err, on=keys, how="left")
+    grid = naive.select("*", F.explode(F.array(*[F.lit(h).cast("long") for h in hs])).alias("horizon"))
+    j = grid.join(err, on=[*keys, "horizon"], how="left")
     nv = F.when(F.col("_nv") == 0, F.lit(1e-10)).otherwise(F.col("_nv"))
-    mase = F.when(F.col("_fe").isNull() | (F.col("_n") < min_train + p + horizon), F.lit(1.0)).otherwise(F.col("_fe") / nv)
-    return j.select(*keys, F.lit(horizon).cast("long").alias("horizon"), mase.alias("mase"),
+    short = F.col("_n") < F.lit(min_train + p) + F.col("horizon")
+    mase = F.when(F.col("_fe").isNull() | short, F.lit(1.0)).otherwise(F.col("_fe") / nv)
+    return j.select(*keys, "horizon", mase.alias("mase"),
                     F.coalesce(F.col("n_forecasts"), F.lit(0)).cast("long").alias("n_forecasts"))
 
 

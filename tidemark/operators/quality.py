@@ -302,10 +302,7 @@ def pred_error_proxy(components: DataFrame, keys=("series_id",), horizons=PROXY_
     energy = long.groupBy(*ck).agg(F.sum(F.col("y") * F.col("y")).alias("_ce"))
     tot = energy.groupBy(*keys).agg(F.sum("_ce").alias("_tot"), F.count(F.lit(1)).alias("_nc"))
     period = main_period(long, "y", ck, t)
-    mase = None
-    for h in horizons:
-        m = rolling_ar_backtest(long, ck, "y", t, horizon=h).select(*ck, "horizon", "mase")
-        mase = m if mase is None else mase.unionByName(m)
+    mase = rolling_ar_backtest(long, ck, "y", t, horizons=horizons).select(*ck, "horizon", "mase")
     j = mase.join(energy, on=ck).join(period, on=ck).join(tot, on=keys)
     share = F.when(F.col("_tot") > 0, F.col("_ce") / F.col("_tot")).otherwise(F.lit(0.0))
     j = j.withColumn("_w", share * band_weight(F.col("main_period"), F.col("horizon")))

@@ -859,7 +859,7 @@ from tidemark.operators import backtest as bt  # noqa: E402
 def rolling_ar_backtest_q(spark, sf):
     """Expanding-window AR(8) MASE per series for horizons 1 and 4 on the seasonal series."""
     s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
-    return bt.rolling_ar_backtest(s, horizon=1).unionByName(bt.rolling_ar_backtest(s, horizon=4))
+    return bt.rolling_ar_backtest(s, horizons=(1, 4))
 
 
 @register("adf_test")
