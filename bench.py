@@ -30,6 +30,63 @@ HEADLINE = [
 ]
 
 
+def _timed(df) -> float:
+    t0 = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return round(time.perf_counter() - t0, 3)
+
+
+def compare_baselines(spark, sf_dir: str) -> dict:
+    """Our plans against the straightforward per-series loops they replace
+    (the loops run as grouped maps, one series per task)."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import backtest as bt
+    from tidemark.operators import smoothing as sm
+    from tidemark.sources import fixtures as fx
+    from tidemark.session import cut_lineage
+
+    s = cut_lineage(fx.events_seasonal(spark, sf_dir).select("series_id", "t", "y"))
+
+    def loop_smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        x, out, acc = pdf["y"].to_numpy(), [], 0.0
+        for i, v in enumerate(x):
+            acc = v if i == 0 else 0.3 * v + 0.7 * acc
+            out.append(acc)
+        return pdf.assign(s=out)
+
+    def loop_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["y"].to_numpy()
+        n, p, errs = len(x), 8, []
+        for st in range(128, n - 1, 8):
+            tr = x[:st]
+            a = np.c_[np.ones(st - p), np.array([tr[p - 1 - i:st - 1 - i] for i in range(p)]).T]
+            coef = np.linalg.lstsq(a, tr[p:], rcond=None)[0]
+            errs.append(abs(x[st] - (coef[0] + coef[1:] @ tr[-1:-p - 1:-1])))
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]],
+                             "mase": [np.mean(errs) / np.mean(np.abs(np.diff(x)))]})
+
+    long = cut_lineage(fx.events_grid_minutes(spark, sf_dir, 1).select("series_id", "t", "y"))
+    return {
+        "series_rows_15min": s.count(),
+        "series_rows_1min": long.count(),
+        "exp_smooth_chunked_scan": _timed(sm.exp_smooth(s, 0.3)),
+        "exp_smooth_grouped_loop": _timed(s.groupBy("series_id").applyInPandas(
+            loop_smooth, "series_id string, t long, y double, s double")),
+        "ar_backtest_prefix_gram": _timed(bt.rolling_ar_backtest(s, horizon=1)),
+        "ar_backtest_refit_loop": _timed(s.groupBy("series_id").applyInPandas(
+            loop_backtest, "series_id string, mase double")),
+        "exp_smooth_chunked_scan_1min": _timed(sm.exp_smooth(long, 0.3)),
+        "exp_smooth_grouped_loop_1min": _timed(long.groupBy("series_id").applyInPandas(
+            loop_smooth, "series_id string, t long, y double, s double")),
+        "ar_backtest_prefix_gram_1min": _timed(bt.rolling_ar_backtest(long, horizon=1)),
+        "ar_backtest_refit_loop_1min": _timed(long.groupBy("series_id").applyInPandas(
+            loop_backtest, "series_id string, mase double")),
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -49,8 +106,9 @@ def main() -> None:
         entry.fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    comparisons = {} if os.environ.get("BENCH_SKIP_COMPARE") else compare_baselines(spark, sf_dir)
     print(json.dumps({"metric": "total_wall_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": int(cpus)}))
+                      "queries": times, "sf": sf, "cpus": int(cpus), "comparisons": comparisons}))
     spark.stop()
 
 
