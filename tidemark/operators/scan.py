@@ -4,8 +4,9 @@
 recurrence.  It is evaluated without ever ordering a whole series in one task:
 
 1. rows are cut into chunks of ``C`` consecutive indices; inside a chunk
-   ``loc_p = d^p * sum_{j<=p} b_j d^{-j}`` is a plain running-sum window over
-   ``(keys, chunk)`` (``C`` is chosen so ``d^{-C}`` stays finite), or, when
+   ``loc_p = d^(p-m) * sum_{j<=p} b_j d^(m-j)`` (m = C/2) is a plain
+   running-sum window over ``(keys, chunk)`` (``C`` is chosen so
+   ``d^(-C/2)`` stays finite), or, when
    ``d`` is tiny, ``loc_p = sum_k d^k b_{p-k}`` from ``C`` lags;
 2. the chunk ends ``L_c`` obey the same recurrence with decay ``d^C``; that
    much smaller table is scanned by the same function (recursively);
@@ -39,7 +40,8 @@ def _chunk_size(dmin: float, cap: int) -> tuple[int, str]:
         return cap, "pow"
     if dmin <= 0.0:
         return POLY_CHUNK, "poly"
-    c = int(EXP_BUDGET / abs(math.log10(dmin)))
+    # exponents run from -C/2 to +C/2 around the chunk middle
+    c = int(2 * EXP_BUDGET / abs(math.log10(dmin)))
     if c >= POLY_CHUNK:
         return max(2, min(cap, c)), "pow"
     return POLY_CHUNK, "poly"
@@ -81,8 +83,10 @@ def _scan(df: DataFrame, keys, idx: str, b: str, d: Column, dmin: float, n_max:
     )
     w = Window.partitionBy(*keys, c_col).orderBy(p_col)
     if how == "pow":
-        acc = F.sum(F.col(b) * F.pow(d, -F.col(p_col))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        staged = staged.withColumn(loc, F.pow(d, F.col(p_col)) * acc)
+        mid = F.lit(float(size // 2))
+        # earlier terms through centred powers; the current term added exactly
+        prior = F.sum(F.col(b) * F.pow(d, mid - F.col(p_col))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        staged = staged.withColumn(loc, F.col(b) + F.coalesce(F.pow(d, F.col(p_col) - mid) * prior, F.lit(0.0)))
     else:
         terms = [F.col(b)] + [
             F.coalesce(F.pow(d, F.lit(float(k))) * F.lag(F.col(b), k).over(w), F.lit(0.0))
