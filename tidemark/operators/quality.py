@@ -9,6 +9,8 @@ statistic is a grouped aggregation; per-t sums over components come first
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -226,30 +228,99 @@ def _dft_partials(n_col: str):
     return fn
 
 
+FFT_GROUP_MAX = 1 << 16
+
+
+def fft_split(n: int) -> int:
+    """Divisor n1 of n closest to sqrt(n) from below (n = n1 * n2, n1 <= n2)."""
+    if n <= 0:
+        return 1
+    for d in range(math.isqrt(n), 0, -1):
+        if n % d == 0:
+            return d
+    return 1
+
+
+def _periodogram_four_step(x: DataFrame, keys, t: str) -> DataFrame:
+    """Exact |DFT|^2 at bins 1..n//2-1 by a two-pass (four-step) FFT.
+
+    x: (keys, t, _x, _n, _n1, _n2).  Pass 1 groups (keys, j2 = t mod n2) and
+    FFTs the n1 values x[j1*n2 + j2] over j1, then applies the twiddle
+    exp(-2 pi i j2 k1 / n).  Pass 2 groups (keys, k1) and FFTs the n2 values
+    over j2, giving X[k1 + n1*k2].  Groups hold n1 or n2 ~ sqrt(n) rows."""
+    ks = key_schema(x, keys)
+    staged = x.withColumn("_j2", F.pmod(F.col(t), F.col("_n2"))).withColumn(
+        "_j1", F.floor(F.col(t) / F.col("_n2")).cast("long"))
+
+    def pass1(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_j1")
+        n, n1, j2 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_j2"].iloc[0])
+        y = np.fft.fft(pdf["_x"].to_numpy(dtype=np.float64), n=n1)
+        k1 = np.arange(n1)
+        y = y * np.exp(-2j * np.pi * ((j2 * k1) % n) / n)
+        out = pd.DataFrame({"_k1": k1.astype("int64"), "_j2": j2, "re": y.real, "im": y.imag,
+                            "_n": n, "_n1": n1, "_n2": int(pdf["_n2"].iloc[0])})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    s1 = ", ".join(ks + ["_k1 long", "_j2 long", "re double", "im double", "_n long", "_n1 long", "_n2 long"])
+    mid = staged.select(*keys, t, "_x", "_n", "_n1", "_n2", "_j1", "_j2").groupBy(*keys, "_j2").applyInPandas(pass1, s1)
+
+    def pass2(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_j2")
+        n, n1, n2, k1 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_n2"].iloc[0]), int(pdf["_k1"].iloc[0])
+        z = np.fft.fft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), n=n2)
+        k = k1 + n1 * np.arange(n2)
+        keep = (k >= 1) & (k <= n // 2 - 1)
+        out = pd.DataFrame({"k": k[keep].astype("int64"), "_p": np.abs(z[keep]) ** 2})
+        for kk in reversed(keys):
+            out.insert(0, kk, pdf[kk].iloc[0])
+        return out
+
+    s2 = ", ".join(ks + ["k long", "_p double"])
+    return mid.groupBy(*keys, "_k1").applyInPandas(pass2, s2)
+
+
+def _periodogram_partial_dft(x: DataFrame, keys, t: str, size: int) -> DataFrame:
+    """Exact |DFT|^2 from partial sums of bounded chunks (for lengths without a
+    usable factorisation); O(n^2/2) work, spread over (series, chunk) tasks."""
+    staged = x.select(*keys, t, "_x", "_n", chunk_of(t, size).alias("_c"))
+    schema = ", ".join(key_schema(x, keys) + ["_c long", "k long", "re double", "im double"])
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = _dft_partials("_n")(pdf)
+        for kcol in reversed(keys):
+            part.insert(0, kcol, pdf[kcol].iloc[0])
+        part["_c"] = int(pdf["_c"].iloc[0])
+        return part[[*keys, "_c", "k", "re", "im"]]
+
+    partial = staged.groupBy(*keys, "_c").applyInPandas(per_group, schema)
+    return partial.groupBy(*keys, "k").agg((F.pow(F.sum("re"), 2) + F.pow(F.sum("im"), 2)).alias("_p"))
+
+
 def main_period(signal: DataFrame, value: str = "y", keys=("series_id",), t: str = "t") -> DataFrame:
     """Dominant period n / k of the mean-removed periodogram over bins 1..n//2-1;
     first maximum wins; n < 4 or no bins gives n (G14).
 
-    Distributed DFT: each (series, chunk) group (bounded rows) emits partial
-    sums for every bin from an Arrow grouped map; a sum per (series, bin)
-    combines chunks; ``max_by`` picks the bin.
+    Distributed: a four-step FFT with groups of ~sqrt(n) rows when n factors
+    into n1*n2 with n2 <= 65536, else partial DFT sums over bounded chunks.
+    ``max_by`` picks the bin.
     """
     keys = list(keys)
     size = min(chunk_rows(signal.sparkSession), 4096)
     stats = signal.groupBy(*keys).agg((F.max(t) + 1).cast("long").alias("_n"), F.avg(value).alias("_mean"))
-    staged = signal.select(*keys, t, value).join(stats, on=keys).select(
-        *keys, t, (F.col(value) - F.col("_mean")).alias("_x"), "_n", chunk_of(t, size).alias("_c"))
-    schema = ", ".join(key_schema(signal, keys) + ["_c long", "k long", "re double", "im double"])
 
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = _dft_partials("_n")(pdf)
-        for kcol in keys:
-            part.insert(0, kcol, pdf[kcol].iloc[0])
-        part["_c"] = int(pdf["_c"].iloc[0])
-        return part[[*keys, "_c", "k", "re", "im"]]
+    @F.pandas_udf("long")
+    def split_of(n: pd.Series) -> pd.Series:
+        return n.map(lambda v: fft_split(int(v))).astype("int64")
 
-    partial = staged.groupBy(*keys, "_c").applyInPandas(per_group, schema)
-    power = partial.groupBy(*keys, "k").agg((F.pow(F.sum("re"), 2) + F.pow(F.sum("im"), 2)).alias("_p"))
+    stats = stats.withColumn("_n1", split_of(F.col("_n"))).withColumn("_n2", (F.col("_n") / F.col("_n1")).cast("long"))
+    x = signal.select(*keys, t, value).join(stats, on=keys).select(
+        *keys, t, (F.col(value) - F.col("_mean")).alias("_x"), "_n", "_n1", "_n2")
+    fast = F.col("_n2") <= F.lit(FFT_GROUP_MAX)
+    power = _periodogram_four_step(x.where(fast), keys, t).unionByName(
+        _periodogram_partial_dft(x.where(~fast), keys, t, size))
     rank = F.struct(F.col("_p").alias("p"), (-F.col("k")).alias("nk"))
     best = power.groupBy(*keys).agg(F.max_by(rank, rank).alias("_b"))
     out = stats.join(best, on=keys, how="left")

@@ -1055,3 +1055,37 @@ def stability_runs_q(spark, sf):
     stats = me.run_stats(runs, ["_all"], "weighted_rmse")
     best = me.best_run(runs, ["_all"], "weighted_rmse")
     return runs.join(stats, on="_all").join(best, on="_all").drop("_all")
+
+
+# ---------------------------------------------------------------- result tables
+@register("abs_error_nullsafe", q.with_(G, """
+ah AS (SELECT series_id, t, y, lead(y, 1) OVER w AS l1, lead(y, 2) OVER w AS l2, lead(y, 3) OVER w AS l3
+       FROM events_grid WINDOW w AS (PARTITION BY series_id ORDER BY t))""") + """
+SELECT series_id, t, CAST(1 AS BIGINT) AS step, l1 AS y_true, y AS y_pred, abs(l1 - y) AS abs_error FROM ah
+UNION ALL SELECT series_id, t, 2, l2, y, abs(l2 - y) FROM ah
+UNION ALL SELECT series_id, t, 3, l3, y, abs(l3 - y) FROM ah""", ["y_true", "y_pred", "abs_error"])
+def abs_error_nullsafe_q(spark, sf):
+    """Persistence forecasts from every origin; the error is NULL where the truth lies past the end."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    wide = fe.windowed(g, lambda w: [F.array(*[F.lead("y", h).over(w) for h in (1, 2, 3)]).alias("_l")], 0, 3)
+    long = wide.select("series_id", "t", "y", F.posexplode("_l").alias("_i", "y_true")).select(
+        "series_id", "t", (F.col("_i") + 1).cast("long").alias("step"), "y_true", F.col("y").alias("y_pred"))
+    return long.withColumn("abs_error", me.abs_error_nullsafe("y_true", "y_pred"))
+
+
+@register("prediction_table", SP + """
+SELECT pl.series_id, pl.t,
+  max(CASE WHEN step = 1 THEN y_true END) AS true_step_1, max(CASE WHEN step = 1 THEN y_pred END) AS pred_step_1,
+  max(CASE WHEN step = 2 THEN y_true END) AS true_step_2, max(CASE WHEN step = 2 THEN y_pred END) AS pred_step_2,
+  max(CASE WHEN step = 3 THEN y_true END) AS true_step_3, max(CASE WHEN step = 3 THEN y_pred END) AS pred_step_3,
+  max(f.y_lag_1) AS y_lag_1, max(f.y_lag_2) AS y_lag_2
+FROM pl JOIN (SELECT series_id, t, lag(y, 1) OVER w AS y_lag_1, lag(y, 2) OVER w AS y_lag_2 FROM events_seasonal
+              WINDOW w AS (PARTITION BY series_id ORDER BY t)) f ON f.series_id = pl.series_id AND f.t = pl.t
+WHERE pl.split = 'test' GROUP BY pl.series_id, pl.t""",
+          ["true_step_1", "pred_step_1", "true_step_2", "pred_step_2", "true_step_3", "pred_step_3", "y_lag_1", "y_lag_2"])
+def prediction_table_q(spark, sf):
+    """Wide per-row report of the test-split persistence forecasts with two lag features."""
+    s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    pf = persistence_forecasts(s).where(F.col("split") == "test")
+    feats = fe.lags(s, 2)
+    return me.prediction_table(pf, features=feats, feature_cols=["y_lag_1", "y_lag_2"])
