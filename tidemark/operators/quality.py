@@ -241,45 +241,58 @@ def fft_split(n: int) -> int:
     return 1
 
 
+FFT_BATCH_ROWS = 1 << 16
+
+
 def _periodogram_four_step(x: DataFrame, keys, t: str) -> DataFrame:
     """Exact |DFT|^2 at bins 1..n//2-1 by a two-pass (four-step) FFT.
 
-    x: (keys, t, _x, _n, _n1, _n2).  Pass 1 groups (keys, j2 = t mod n2) and
-    FFTs the n1 values x[j1*n2 + j2] over j1, then applies the twiddle
-    exp(-2 pi i j2 k1 / n).  Pass 2 groups (keys, k1) and FFTs the n2 values
-    over j2, giving X[k1 + n1*k2].  Groups hold n1 or n2 ~ sqrt(n) rows."""
+    x: (keys, t, _x, _n, _n1, _n2).  Pass 1 FFTs, for every j2 = t mod n2,
+    the n1 values x[j1*n2 + j2] over j1 and applies the twiddle
+    exp(-2 pi i j2 k1 / n); pass 2 FFTs, for every k1, the n2 pass-1 values
+    over j2, giving X[k1 + n1*k2].  Each Arrow task takes a block of columns
+    (at most ~65k rows) and transforms them with one 2-D FFT; the shuffle
+    between the passes is the transpose."""
     ks = key_schema(x, keys)
+    cap = F.lit(FFT_BATCH_ROWS)
     staged = x.withColumn("_j2", F.pmod(F.col(t), F.col("_n2"))).withColumn(
         "_j1", F.floor(F.col(t) / F.col("_n2")).cast("long"))
+    staged = staged.withColumn("_g", F.floor(F.col("_j2") / F.greatest(F.lit(1), F.floor(cap / F.col("_n1")))).cast("long"))
 
     def pass1(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_j1")
-        n, n1, j2 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_j2"].iloc[0])
-        y = np.fft.fft(pdf["_x"].to_numpy(dtype=np.float64), n=n1)
+        n, n1, n2 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_n2"].iloc[0])
+        pdf = pdf.sort_values(["_j2", "_j1"])
+        j2 = pdf["_j2"].to_numpy()[::n1]
+        mat = pdf["_x"].to_numpy(dtype=np.float64).reshape(len(j2), n1)
+        y = np.fft.fft(mat, axis=1)
         k1 = np.arange(n1)
-        y = y * np.exp(-2j * np.pi * ((j2 * k1) % n) / n)
-        out = pd.DataFrame({"_k1": k1.astype("int64"), "_j2": j2, "re": y.real, "im": y.imag,
-                            "_n": n, "_n1": n1, "_n2": int(pdf["_n2"].iloc[0])})
+        y = y * np.exp(-2j * np.pi * (np.outer(j2, k1) % n) / n)
+        out = pd.DataFrame({"_k1": np.tile(k1, len(j2)).astype("int64"), "_j2": np.repeat(j2, n1).astype("int64"),
+                            "re": y.real.reshape(-1), "im": y.imag.reshape(-1), "_n": n, "_n1": n1, "_n2": n2})
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
     s1 = ", ".join(ks + ["_k1 long", "_j2 long", "re double", "im double", "_n long", "_n1 long", "_n2 long"])
-    mid = staged.select(*keys, t, "_x", "_n", "_n1", "_n2", "_j1", "_j2").groupBy(*keys, "_j2").applyInPandas(pass1, s1)
+    mid = staged.select(*keys, "_x", "_n", "_n1", "_n2", "_j1", "_j2", "_g").groupBy(*keys, "_g").applyInPandas(pass1, s1)
+    mid = mid.withColumn("_g", F.floor(F.col("_k1") / F.greatest(F.lit(1), F.floor(cap / F.col("_n2")))).cast("long"))
 
     def pass2(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_j2")
-        n, n1, n2, k1 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_n2"].iloc[0]), int(pdf["_k1"].iloc[0])
-        z = np.fft.fft(pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy(), n=n2)
-        k = k1 + n1 * np.arange(n2)
+        n, n1, n2 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_n2"].iloc[0])
+        pdf = pdf.sort_values(["_k1", "_j2"])
+        k1 = pdf["_k1"].to_numpy()[::n2]
+        mat = (pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()).reshape(len(k1), n2)
+        z = np.fft.fft(mat, axis=1)
+        k = (k1[:, None] + n1 * np.arange(n2)[None, :]).reshape(-1)
+        p = (np.abs(z) ** 2).reshape(-1)
         keep = (k >= 1) & (k <= n // 2 - 1)
-        out = pd.DataFrame({"k": k[keep].astype("int64"), "_p": np.abs(z[keep]) ** 2})
+        out = pd.DataFrame({"k": k[keep].astype("int64"), "_p": p[keep]})
         for kk in reversed(keys):
             out.insert(0, kk, pdf[kk].iloc[0])
         return out
 
     s2 = ", ".join(ks + ["k long", "_p double"])
-    return mid.groupBy(*keys, "_k1").applyInPandas(pass2, s2)
+    return mid.groupBy(*keys, "_g").applyInPandas(pass2, s2)
 
 
 def _periodogram_partial_dft(x: DataFrame, keys, t: str, size: int) -> DataFrame:
