@@ -154,3 +154,24 @@ def test_degenerate_inputs(spark):
     const = series_df(spark, [2.0] * 20)
     ac = tr.autocorr(const, lag=2).first()["autocorr"]
     assert ac is None
+
+
+def test_scan_single_carry_path_across_chunks(spark):
+    """decay^C underflows to 0 -> the one-join carry path; compare with the loop over several chunks."""
+    from tidemark.operators import scan
+    from tidemark.session import CHUNK_CONF
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=8000) * 100
+    size, how = scan._chunk_size(0.7, 1 << 17)
+    assert how == "pow" and 0.7 ** size == 0.0 and size < 8000 / 2
+    got = col(sm.exp_smooth(series_df(spark, x), 0.3), "s")
+    assert got == pytest.approx(loop_smooth(x, 0.3), rel=1e-9, abs=1e-9)
+    spark.conf.set(CHUNK_CONF, "40")
+    try:
+        alpha = 1 - 1e-9
+        assert (1 - alpha) ** scan._chunk_size(1 - alpha, 40)[0] == 0.0
+        got = col(sm.exp_smooth(series_df(spark, x[:300]), alpha), "s")
+        assert got == pytest.approx(loop_smooth(x[:300], alpha), rel=1e-12, abs=1e-9)
+    finally:
+        spark.conf.unset(CHUNK_CONF)

@@ -66,14 +66,34 @@ def affine_scan(df: DataFrame, keys, idx: str, b: Column, decay, out: str,
             raise ValueError("decay_min is required when decay is a column")
         decay_min = float(decay)
     cap = chunk or chunk_rows(df.sparkSession)
-    if max_len is None:
-        max_len = max_group_length(df, keys, idx)
     d = _lit(decay)
     tmp = f"_b_{out}"
     frame = df.withColumn(tmp, b.cast("double"))
+    size, how = _chunk_size(float(decay_min), cap)
+    if max_len is None and not isinstance(decay, Column) and how == "pow" and float(decay) ** size == 0.0:
+        # d^C underflows: the carry into a chunk is exactly the previous chunk's
+        # end, so one shifted join finishes the scan (no length probe, no recursion)
+        return _scan_one_carry(frame, keys, idx, tmp, d, size, out).drop(tmp)
+    if max_len is None:
+        max_len = max_group_length(df, keys, idx)
     return _scan(frame, keys, idx, tmp, d, float(decay_min), max_len, cap, out).drop(tmp)
 
 
+def _scan_one_carry(df: DataFrame, keys, idx: str, b: str, d: Column, size: int, out: str) -> DataFrame:
+    c_col, p_col, loc = "_c0", "_p0", "_loc0"
+    staged = df.withColumn(c_col, F.floor(F.col(idx) / F.lit(size)).cast("long")).withColumn(
+        p_col, F.col(idx) - F.col(c_col) * F.lit(size))
+    w = Window.partitionBy(*keys, c_col).orderBy(p_col)
+    mid = F.lit(float(size // 2))
+    prior = F.sum(F.col(b) * F.pow(d, mid - F.col(p_col))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    staged = staged.withColumn(loc, F.col(b) + F.coalesce(F.pow(d, F.col(p_col) - mid) * prior, F.lit(0.0)))
+    ends = staged.groupBy(*keys, c_col).agg(F.max_by(F.col(loc), F.col(p_col)).alias("_end"))
+    carry = ends.select(*keys, (F.col(c_col) + 1).alias(c_col), F.col("_end").alias("_carry0"))
+    joined = staged.join(carry, on=[*keys, c_col], how="left")
+    s = F.col(loc) + F.pow(d, F.col(p_col) + 1) * F.coalesce(F.col("_carry0"), F.lit(0.0))
+    return joined.withColumn(out, s).drop(c_col, p_col, loc, "_carry0")
+
+
 def _scan(df: DataFrame, keys, idx: str, b: str, d: Column, dmin: float, n_max: int,
           cap: int, out: str, level: int = 0) -> DataFrame:
     size, how = _chunk_size(dmin, cap)
