@@ -65,7 +65,9 @@ def ensemble_decompose(series: DataFrame, candidates: DataFrame | None = None, t
     rows = base.join(n, on=keys).join(cands, on=keys)
     # one task per (series, candidate): spread them over every core explicitly
     # (data-size based coalescing would pack these compute-heavy groups together)
-    rows = rows.repartition(task_partitions(spark), *keys, "cand_id")
+    # (range partitioning keeps whole keys together and balances them, where
+    # hashing a few keys into a few partitions can stack two tasks in one)
+    rows = rows.repartitionByRange(task_partitions(spark), *keys, "cand_id")
     out_schema = ", ".join(key_schema(base, keys) + [
         "cand_id long", "epsilon double", "seed long", "t long", "component string", "k long", "value double",
         "status string", "error_message string"])
