@@ -64,3 +64,18 @@ def test_sinks_and_models(spark):
     p1 = mo.predict_multistep(fit["models"], train, ["x1"]).orderBy("t").toPandas()["y_pred"]
     p2 = mo.predict_multistep(loaded, train, ["x1"]).orderBy("t").toPandas()["y_pred"]
     np.testing.assert_allclose(p1, p2)
+
+
+def test_read_series_batch_keeps_order_across_many_splits(spark):
+    d = tempfile.mkdtemp(prefix="tidemark-test-")
+    vals = np.arange(2000, dtype=float) * 1.5
+    pd.DataFrame({"value": vals}).to_csv(os.path.join(d, "long.csv"), index=False)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        df = read_series_batch(spark, os.path.join(d, "*.csv"), value_col="value")
+        got = df.orderBy("t").toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got["t"].tolist() == list(range(2000))
+    np.testing.assert_allclose(got["y"].to_numpy(), vals)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,11 +74,16 @@ def read_series_batch(spark: SparkSession, paths, value_col: str | None = None,
         F.monotonically_increasing_id().alias("_pos"),
     )
     if ts_col:
-        order = F.unix_micros(F.col("ts").cast("timestamp"))
+        ordered = ordered.withColumn("_ord", F.unix_micros(F.col("ts").cast("timestamp")).cast("long"))
     else:
-        # block start dominates; position inside a block keeps the file order
-        order = F.col("_blk") * F.lit(1 << 20) + (F.col("_pos") % F.lit(1 << 20))
-    ordered = ordered.withColumn("_ord", order.cast("long"))
+        # Stored order: splits of a file are ranked by their start offset (a
+        # tiny table: one row per split); inside a split the record number of
+        # monotonically_increasing_id (its low 33 bits) keeps the file order.
+        splits = ordered.select("series_id", "_blk").distinct().withColumn(
+            "_rank", F.dense_rank().over(Window.partitionBy("series_id").orderBy("_blk")) - 1)
+        ordered = ordered.join(splits, on=["series_id", "_blk"]).withColumn(
+            "_ord", (F.col("_rank").cast("long") * F.lit(1 << 33)
+                     + F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
     out = dense_index(ordered, ["series_id"], order="_ord", idx="t", count="_len")
     return out.select("series_id", "t", "ts", "y")
 
