@@ -88,3 +88,41 @@ def test_lag_subset_rule_fixture(spark):
     got = [r[0] for r in df.select(se.lag_subset(F.col("flags"))).collect()]
     assert got == [[1, 2, 3, 4, 5, 6], [1, 3, 8]]
     assert len(se.legal_subsets()) == 120
+
+
+def test_lag_subset_search_equals_per_subset_refits(spark):
+    """All 120 candidates: one-Gram scoring equals a direct fit per subset."""
+    from tidemark.operators import features as fe
+    from tidemark.operators import splits as sp
+
+    rng = np.random.default_rng(3)
+    n = 260
+    named = {"ar": np.convolve(rng.normal(size=n + 5), [1, 0.6, 0.3, 0.1], "valid")[:n] + 50,
+             "sine": 5 * np.sin(np.arange(n) * 2 * np.pi / 12) + rng.normal(size=n) + 30}
+    df = _series(spark, named)
+    feats = sp.temporal_split(fe.multistep_targets(fe.lags(df, 8), 3).na.drop())
+    got = se.lag_subset_search(feats.where("split = 'train'"), feats.where("split = 'val'")).toPandas()
+    pdf = feats.toPandas()
+    weights = np.array([5.0, 3.0, 2.0])
+    for sid in named:
+        part = pdf[pdf.series_id == sid]
+        tr, va = part[part.split == "train"], part[part.split == "val"]
+        for ci, sub in enumerate(se.legal_subsets()):
+            cols = [f"y_lag_{k}" for k in sub]
+            xt = np.c_[np.ones(len(tr)), tr[cols].to_numpy()]
+            xv = np.c_[np.ones(len(va)), va[cols].to_numpy()]
+            a = xt.T @ xt
+            a = a + 1e-8 * np.trace(a) / a.shape[0] * np.eye(a.shape[0])
+            f24s = []
+            for h in (1, 2, 3):
+                yt, yv = tr[f"y_step_{h}"].to_numpy(), va[f"y_step_{h}"].to_numpy()
+                beta = np.linalg.solve(a, xt.T @ yt)
+                e = xv @ beta - yv
+                f24s.append((np.mean(e ** 2) + np.mean(np.abs(e)) + np.mean(np.abs(e) / (np.abs(yv) + 1e-10))) / 3)
+            want = float(weights @ np.array(f24s) / weights.sum())
+            row = got[(got.series_id == sid) & (got.cand_id == ci)]
+            assert row["lags"].iloc[0] == ",".join(map(str, sub))
+            assert row["weighted_f24"].iloc[0] == pytest.approx(want, rel=1e-6)
+        best = got[(got.series_id == sid) & got.best]
+        assert len(best) == 1
+        assert best["weighted_f24"].iloc[0] == pytest.approx(got[got.series_id == sid]["weighted_f24"].min())

@@ -37,20 +37,21 @@ def fit_boosted_multistep(train: DataFrame, features, steps: int = 3, target: st
     data = _assemble(train.withColumn("_val", F.lit(False)), features)
     if early_stopping and val is not None:
         data = data.unionByName(_assemble(val.withColumn("_val", F.lit(True)), features))
-    models, status = [], []
-    for h in range(1, steps + 1):
+    def fit_step(h):
         params = dict(BOOSTER, stepSize=float(learning_rate), maxIter=int(n_trees), seed=int(seed),
                       labelCol=f"{target}_step_{h}", featuresCol="features", predictionCol="prediction")
         if early_stopping and val is not None:
             params.update(validationIndicatorCol="_val", validationTol=VALIDATION_TOL)
         try:
-            models.append(GBTRegressor(**params).fit(data))
-            status.append("ok")
+            return GBTRegressor(**params).fit(data), "ok"
         except Exception as exc:  # noqa: BLE001 - the retry is the documented behaviour
             params.update(FALLBACK)
-            models.append(GBTRegressor(**params).fit(data))
-            status.append(f"fallback: {type(exc).__name__}")
-    return {"models": models, "status": status}
+            return GBTRegressor(**params).fit(data), f"fallback: {type(exc).__name__}"
+
+    # the step models are independent: submit their Spark jobs concurrently
+    with ThreadPoolExecutor(max_workers=steps) as pool:
+        fitted = list(pool.map(fit_step, range(1, steps + 1)))
+    return {"models": [m for m, _ in fitted], "status": [st for _, st in fitted]}
 
 
 def predict_multistep(models, df: DataFrame, features, keys=("series_id", "t"), extra=()) -> DataFrame:
@@ -104,7 +105,7 @@ def importance_frame(spark, models, features, top: int = 20) -> DataFrame:
 
 
 def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps: int = 3, target: str = "y_tr",
-                   seed: int = 42, parallelism: int = 2) -> DataFrame:
+                   seed: int = 42, parallelism: int | None = None) -> DataFrame:
     """Score (learning_rate, n_trees) candidates by validation weighted F24 (H8).
 
     Each candidate is a set of distributed fits; a small driver thread pool
@@ -122,7 +123,7 @@ def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps
         w = me.weighted_f24(m, ["_all"]).first()["weighted_f24"]
         return (i, float(lr), int(nt), float(w))
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+    with ThreadPoolExecutor(max_workers=parallelism or max(1, len(candidates))) as pool:
         results = list(pool.map(run, list(enumerate(candidates, start=1))))
     hist = spark.createDataFrame(results, "iteration long, learning_rate double, n_trees long, weighted_f24 double")
     return me.convergence_curve(hist.withColumn("_all", F.lit(1)), ["_all"], "iteration", "weighted_f24").join(
@@ -159,13 +160,17 @@ def stability_runs(train: DataFrame, test: DataFrame, fit_fn, predict_fn, seeds,
 
     Returns (run, seed, weighted_rmse); feed to run_stats / best_run."""
     spark = train.sparkSession
-    rows = []
-    for run, seed in enumerate(seeds):
+
+    def one(item):
+        run, seed = item
         models = fit_fn(train, seed)
         pred = predict_fn(models, test).withColumn("_all", F.lit(1))
         m = me.forecast_metrics(pred, ["_all", "step"])
-        w = me.weighted_rmse(m, ["_all"], weights).first()["weighted_rmse"]
-        rows.append((run, int(seed), float(w)))
+        return (run, int(seed), float(me.weighted_rmse(m, ["_all"], weights).first()["weighted_rmse"]))
+
+    # independent refits: their jobs run concurrently
+    with ThreadPoolExecutor(max_workers=max(1, len(seeds))) as pool:
+        rows = list(pool.map(one, list(enumerate(seeds))))
     return spark.createDataFrame(rows, "run long, seed long, weighted_rmse double")
 
 

@@ -182,14 +182,20 @@ QUALITY_METRICS = (
 )
 
 
-def quality_report(components: DataFrame, signal: DataFrame, epsilon: Column | float = 0.0,
+def quality_report(components: DataFrame, signal: DataFrame, epsilon: DataFrame | float = 0.0,
                    strategy: str = "predictive", optimized: bool = False, keys=("series_id",)) -> DataFrame:
-    """The 11 Metric/Value rows of a decomposition, values formatted as text."""
+    """The 11 Metric/Value rows of a decomposition, values formatted as text.
+
+    ``epsilon``: one number for all series, or a (keys, epsilon) table."""
     keys = list(keys)
     st = series_stats(components, signal, keys)
     pq = predictive_quality(components, signal, keys)
     j = st.join(pq, on=keys)
-    eps = epsilon if isinstance(epsilon, Column) else F.lit(float(epsilon))
+    if isinstance(epsilon, DataFrame):
+        j = j.join(epsilon.select(*keys, F.col("epsilon").alias("_eps")), on=keys, how="left")
+        eps = F.col("_eps")
+    else:
+        eps = F.lit(float(epsilon))
     total = F.col("e_modes") + F.col("e_resid")
     values = [
         F.col("K").cast("string"),

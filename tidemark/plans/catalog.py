@@ -286,8 +286,7 @@ ev_rev AS (SELECT g.series_id, l.n - 1 - g.t AS r, g.t, g.y FROM events_grid g J
 
 
 def _zp_sql(select: str) -> str:
-    return rec(G, ZP.rstrip(","), es_cte("events_grid", ALPHA, "fw"), es_cte("ev_rev", ALPHA, "bw", "r").replace(
-        "SELECT series_id, r, y,", "SELECT series_id, r, y,")) + f"""
+    return rec(G, ZP.rstrip(","), es_cte("events_grid", ALPHA, "fw"), es_cte("ev_rev", ALPHA, "bw", "r")) + f"""
 , zp AS (SELECT f.series_id, f.t, f.y, (f.s2 + b.s2) / 2 AS trend
        FROM fw f JOIN ev_len l ON f.series_id = l.series_id
        JOIN bw b ON b.series_id = f.series_id AND b.r = l.n - 1 - f.t)

@@ -17,12 +17,24 @@ from tidemark.operators import transform as tr
 from tidemark.sources.series import components_to_wide, row_sum_target
 
 
-def trend_decomposition(series: DataFrame, alphas, trials: int = 20, seed: int = 42) -> dict:
-    """L1: alpha search (smoothing x decomposition x score) then the final
-    trend decomposition at the winning (alpha, epsilon) of each series."""
-    scores = se.alpha_search(series, alphas, qa.forecastability_score, trials=trials, seed=seed)
-    best = scores.select("series_id", "best_alpha", "best_epsilon").distinct()
-    return {"scores": scores, "best": best}
+def trend_decomposition(series: DataFrame, alphas, trials: int = 20, seed: int = 42, max_modes: int = 8) -> dict:
+    """L1: alpha search (smoothing x decomposition x forecastability score),
+    then the final trend decomposition at each series' winning (alpha, epsilon)."""
+    from tidemark.operators.smoothing import detrend, zero_phase_trend
+    from tidemark.session import cut_lineage
+
+    scores = cut_lineage(se.alpha_search(series, alphas, qa.forecastability_score, trials=trials, seed=seed,
+                                         max_modes=max_modes))
+    best = scores.select("series_id", "best_alpha", "best_epsilon", "best_score").distinct()
+    s = series.select("series_id", "t", "y").join(best.select("series_id", F.col("best_alpha").alias("alpha")), on="series_id")
+    trend = detrend(zero_phase_trend(s, F.col("alpha"), alpha_hi=max(alphas)), out="_sr")
+    trend = cut_lineage(trend)
+    cands = best.select("series_id", F.lit(0).cast("long").alias("cand_id"), F.col("best_epsilon").alias("epsilon"),
+                        F.lit(seed).cast("long").alias("seed"))
+    dec = dc.ensemble_decompose(trend.select("series_id", "t", F.col("_sr").alias("y")), cands, trials=trials,
+                                max_modes=max_modes)
+    return {"scores": scores, "best": best, "trend": trend.select("series_id", "t", "y", "trend", F.col("_sr").alias("residual")),
+            "decomposition": dec}
 
 
 def direct_decomposition(series: DataFrame, trials: int = 20, seed: int = 42, min_len: int = 100) -> dict:
@@ -37,8 +49,7 @@ def direct_decomposition(series: DataFrame, trials: int = 20, seed: int = 42, mi
         "epsilon": chosen,
         "components": comps,
         "energy": qa.energy_distribution(comps, series),
-        "quality": qa.quality_report(comps.join(chosen.select("series_id", "epsilon"), on="series_id"), series,
-                                     F.col("epsilon"), optimized=True),
+        "quality": qa.quality_report(comps, series, chosen.select("series_id", "epsilon"), optimized=True),
         "status": dc.batch_status(dec, series),
     }
 
