@@ -34,3 +34,25 @@ def test_trend_decomposition_flow(spark):
     recon = dec.groupBy("series_id", "t").agg(F.sum("value").alias("s")).join(
         out["trend"].select("series_id", "t", "residual"), on=["series_id", "t"])
     assert recon.where(F.abs(F.col("s") - F.col("residual")) > 1e-8).count() == 0
+
+
+def test_booster_features_take_component_columns(spark):
+    from tidemark.sources.series import components_to_wide
+
+    wide = components_to_wide(fx.events_components(spark, SF)).withColumn(
+        "y", F.col("IMF_1") + F.col("IMF_2") + F.col("residual"))
+    table, features = pl.booster_features(wide, seas=False, diff=True)
+    assert {"IMF_1", "IMF_2", "residual", "y", "y_lag_8"} <= set(features)
+    assert table.where(F.col("y_tr_step_3").isNull()).count() == 0
+
+
+def test_score_strategies(spark):
+    from tidemark.operators import quality as qa
+
+    comps = fx.events_components(spark, SF)
+    g = fx.events_grid(spark, SF).select("series_id", "t", "y")
+    oi = {r.series_id: r.score for r in qa.score_by_strategy(comps, g, "other").collect()}
+    ref = {r.series_id: r.orthogonality_index for r in qa.orthogonality_index(comps, g).collect()}
+    assert oi == ref
+    bal = qa.score_by_strategy(comps, g, "balanced").columns
+    assert bal[-1] == "score"

@@ -154,3 +154,8 @@ def trend_decompose(series: DataFrame, alpha, epsilon: float = DEFAULT_EPSILON,
                       )).alias("_c")).select(*keys, "cand_id", "epsilon", "seed", t, "_c.*",
                                              F.lit("Success").alias("status"), F.lit(None).cast("string").alias("error_message"))
     return dec.unionByName(extra)
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    """Number of series per status (the success count of a batch)."""
+    return status.groupBy("status").agg(F.count(F.lit(1)).cast("long").alias("n_series"))

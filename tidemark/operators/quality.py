@@ -421,3 +421,16 @@ def forecastability_score(components: DataFrame, signal: DataFrame, keys=("serie
     for m, w in weights.items():
         score = score + F.lit(w) * F.col(m)
     return parts.withColumn("forecastability_score", score)
+
+
+def score_by_strategy(components: DataFrame, signal: DataFrame, strategy: str = "predictive",
+                      keys=("series_id",)) -> DataFrame:
+    """Decomposition score by strategy name (G18): ``predictive`` and
+    ``comprehensive`` use the forecastability score, ``balanced`` the balanced
+    score, any other name the orthogonality index alone.  Score column last."""
+    keys = list(keys)
+    if strategy in ("predictive", "comprehensive"):
+        return forecastability_score(components, signal, keys).select(*keys, F.col("forecastability_score").alias("score"))
+    if strategy == "balanced":
+        return balanced_score(components, signal, keys).select(*keys, F.col("balanced_score").alias("score"))
+    return orthogonality_index(components, signal, keys).select(*keys, F.col("orthogonality_index").alias("score"))

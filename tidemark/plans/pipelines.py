@@ -57,19 +57,25 @@ def direct_decomposition(series: DataFrame, trials: int = 20, seed: int = 42, mi
 BOOSTER_TARGET = "y_tr"
 
 
-def booster_features(series: DataFrame, flags: DataFrame | None = None, seas=None, diff=None, steps: int = 3):
+def booster_features(series: DataFrame, flags: DataFrame | None = None, seas=None, diff=None, steps: int = 3,
+                     extra=None):
     """Features from the original series (documented choice), targets from the
     transformed one; rows with any missing feature or target dropped; 60/20/20
-    split.  Returns (table, feature column names)."""
+    split.  Every other numeric column of ``series`` (e.g. decomposition
+    components) is a feature too, unless ``extra`` names them.  Returns
+    (table, feature column names)."""
     cols = fe.feature_columns("y")
-    feats = fe.build_features(series.select("series_id", "t", "y"))
+    if extra is None:
+        extra = [c for c, dt in series.dtypes if c not in ("series_id", "t", "ts", "y")
+                 and dt in ("double", "float", "int", "bigint")]
+    feats = fe.build_features(series.select("series_id", "t", "y", *extra))
     src = series.select("series_id", "t", "y")
     if flags is not None:
         src = src.join(flags.select("series_id", "seas", "diff"), on="series_id")
     ytr = tr.difference(src, seas, diff, out=BOOSTER_TARGET).select("series_id", "t", BOOSTER_TARGET)
     tg = fe.multistep_targets(ytr, steps, BOOSTER_TARGET, drop_incomplete=False)
     table = feats.join(tg, on=["series_id", "t"])
-    features = ["y", *cols["base"], *cols["lags"]]
+    features = ["y", *extra, *cols["base"], *cols["lags"]]
     table = table.na.drop(subset=[*features, BOOSTER_TARGET, *[f"{BOOSTER_TARGET}_step_{h}" for h in range(1, steps + 1)]])
     return sp.temporal_split(table), features
 
