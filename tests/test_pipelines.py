@@ -56,3 +56,33 @@ def test_score_strategies(spark):
     assert oi == ref
     bal = qa.score_by_strategy(comps, g, "balanced").columns
     assert bal[-1] == "score"
+
+
+def test_booster_beats_persistence_on_seasonal_ar(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators import metrics as me
+    from tidemark.operators import models as mo
+
+    rng = np.random.default_rng(42)
+    n = 1500
+    e = rng.normal(size=n)
+    x = np.zeros(n)
+    for i in range(2, n):
+        x[i] = 0.6 * x[i - 1] - 0.2 * x[i - 2] + e[i]
+    y = x + 8 * np.sin(2 * np.pi * np.arange(n) / 24) + 100
+    pdf = pd.DataFrame({"series_id": "s", "t": np.arange(n), "y": y})
+    series = spark.createDataFrame(pdf, "series_id string, t long, y double")
+    table, features = pl.booster_features(series, seas=False, diff=False)
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+    models = mo.fit_boosted_multistep(train, features, 3, "y_tr", 0.1, 60, seed=7)["models"]
+    pred = mo.predict_multistep(models, test, features)
+    truth = test.select("series_id", "t", F.posexplode(F.array("y_tr_step_1", "y_tr_step_2", "y_tr_step_3"))
+                        .alias("i", "y_true")).select("series_id", "t", (F.col("i") + 1).cast("long").alias("step"), "y_true")
+    model_rmse = me.forecast_metrics(pred.join(truth, on=["series_id", "t", "step"]), ["step"]).orderBy("step").collect()
+    naive = test.select(F.posexplode(F.array("y_tr_step_1", "y_tr_step_2", "y_tr_step_3")).alias("i", "y_true"),
+                        F.col("y").alias("y_pred")).withColumn("step", F.col("i") + 1)
+    naive_rmse = me.forecast_metrics(naive, ["step"]).orderBy("step").collect()
+    for m, b in zip(model_rmse, naive_rmse):
+        assert m.rmse < b.rmse
