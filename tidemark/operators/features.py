@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import slot_of
 from tidemark.operators.indexing import chunk_window, with_halo
-from tidemark.operators.scan import max_group_length
 from tidemark.operators.smoothing import ewm
 
 # fixed values of the feature set
@@ -138,8 +137,6 @@ def build_features(df: DataFrame, value: str = "y", ts: str | None = None, keys=
     """
     keys = _keys(keys)
     before = max(MAX_LAG, max(ROLL_WINDOWS) - 1, max(DIFF_ORDERS))
-    if max_len is None:
-        max_len = max_group_length(df, keys, t)
 
     def make(w):
         cols = [F.lag(value, k).over(w).alias(f"{value}_lag_{k}") for k in range(1, MAX_LAG + 1)]

@@ -70,7 +70,8 @@ def affine_scan(df: DataFrame, keys, idx: str, b: Column, decay, out: str,
     tmp = f"_b_{out}"
     frame = df.withColumn(tmp, b.cast("double"))
     size, how = _chunk_size(float(decay_min), cap)
-    if max_len is None and not isinstance(decay, Column) and how == "pow" and float(decay) ** size == 0.0:
+    single_chunk = max_len is not None and max_len <= size
+    if not single_chunk and not isinstance(decay, Column) and how == "pow" and float(decay) ** size == 0.0:
         # d^C underflows: the carry into a chunk is exactly the previous chunk's
         # end, so one shifted join finishes the scan (no length probe, no recursion)
         return _scan_one_carry(frame, keys, idx, tmp, d, size, out).drop(tmp)
