@@ -17,6 +17,9 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from tidemark.session import ship_package
+
+    ship_package(s)
     yield s
 
 

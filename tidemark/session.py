@@ -32,6 +32,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "tide
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,27 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidemark`` importable in every Python worker of the session.
+
+    Arrow UDFs reference functions of this package; executors (and local
+    Python workers started from another working directory) need it on their
+    path.  The package is zipped once per driver process and registered with
+    ``addPyFile``, which distributes it through Spark itself.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if _SHIPPED.get(key):
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="tidemark-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "tidemark"), "zip", os.path.dirname(pkg_dir), "tidemark")
+    sc.addPyFile(archive)
+    _SHIPPED[key] = archive
