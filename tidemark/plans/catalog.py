@@ -1088,3 +1088,53 @@ def prediction_table_q(spark, sf):
     pf = persistence_forecasts(s).where(F.col("split") == "test")
     feats = fe.lags(s, 2)
     return me.prediction_table(pf, features=feats, feature_cols=["y_lag_1", "y_lag_2"])
+
+
+# ---------------------------------------------------------------- G19 on the SQL-expressible parts
+QUALITY_PART_WEIGHTS = {"rrmse": 0.15, "oi": 0.10, "cpx": 0.10, "energy_gap": 0.10}
+BAND_SETTINGS = (6, 12, 24)
+
+
+def _settings_sql() -> str:
+    blocks = []
+    for short in BAND_SETTINGS:
+        blocks.append(f"""
+b{short} AS (SELECT series_id, t, y,
+   avg(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN {short - 1} PRECEDING AND CURRENT ROW) AS ms,
+   avg(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) AS ml FROM events_grid),
+s{short} AS (SELECT series_id, CAST({short} AS BIGINT) AS setting,
+   avg(pow(y - ((y - ms) + (ms - ml) + ml), 2)) AS mse, avg(y * y) AS power, sum(y * y) AS e_signal,
+   sum((y - ms) * (y - ms) + (ms - ml) * (ms - ml)) AS e_modes, sum(ml * ml) AS e_resid,
+   sum((y - ms) * (ms - ml)) AS cross_sum FROM b{short} GROUP BY series_id)""")
+    union = " UNION ALL ".join(f"SELECT * FROM s{short}" for short in BAND_SETTINGS)
+    return ",".join(blocks) + f""",
+parts AS (SELECT series_id, setting,
+   CASE WHEN power > 0 THEN sqrt(mse / power) ELSE 0.0 END AS rrmse,
+   CASE WHEN e_modes > 0 THEN 2 * abs(cross_sum) / e_modes ELSE 0.0 END AS oi,
+   abs(2 - 6) / 6.0 + 0.1 * greatest(2 - 10, 0) AS cpx,
+   CASE WHEN e_signal > 0 THEN abs(e_modes + e_resid - e_signal) / e_signal ELSE 0.0 END AS energy_gap
+   FROM ({union}))"""
+
+
+def _norm_sql() -> str:
+    terms = []
+    for m, w in QUALITY_PART_WEIGHTS.items():
+        lo = f"min({m}) OVER (PARTITION BY series_id)"
+        hi = f"max({m}) OVER (PARTITION BY series_id)"
+        terms.append(f"{w!r} * CASE WHEN {hi} - {lo} < 1e-10 THEN 0.0 ELSE ({m} - {lo}) / ({hi} - {lo} + 1e-10) END")
+    return "SELECT series_id, setting, 0.0 + " + " + ".join(terms) + " AS combined_score FROM parts"
+
+
+@register("normalize_and_combine_parts", q.with_(G, _settings_sql()) + _norm_sql(), ["combined_score"])
+def normalize_and_combine_parts_q(spark, sf):
+    """G19's min-max normalisation and weighting across three band settings, on
+    the four parts SQL can state (rrmse, OI, complexity, energy gap)."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    parts = None
+    for short in BAND_SETTINGS:
+        comps = fx.rolling_bands(g, short=short)
+        st = qa.series_stats(comps, g).select(
+            "series_id", F.lit(short).cast("long").alias("setting"), qa.rrmse_power_col().alias("rrmse"),
+            qa.oi_col().alias("oi"), qa.cpx_col().cast("double").alias("cpx"), qa.energy_gap_col().alias("energy_gap"))
+        parts = st if parts is None else parts.unionByName(st)
+    return qa.normalize_and_combine(parts, weights=QUALITY_PART_WEIGHTS)
