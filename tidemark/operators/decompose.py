@@ -91,7 +91,8 @@ def ensemble_decompose(series: DataFrame, candidates: DataFrame | None = None, t
                 return fail("series index is not contiguous from 0")
             tt = xs.index.to_numpy(dtype=np.int64)
             noise = laplace_noise_np(meta["seed"], np.arange(trials, dtype=np.int64)[:, None], tt[None, :])
-            modes, residue = ceemdan(xs.to_numpy(), noise, meta["epsilon"], max_modes)
+            modes, residue = ceemdan(xs.to_numpy(), noise, meta["epsilon"], max_modes,
+                                     noise_key=(meta["seed"], trials, n_rows, max_modes))
         except Exception as exc:  # reported per task, the job goes on
             return fail(f"{type(exc).__name__}: {exc}")
         parts = []

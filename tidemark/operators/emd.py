@@ -6,6 +6,8 @@ solve), sifting, and the complete-ensemble scheme of Torres et al. (2011).
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 
 MAX_SIFT = 10
@@ -96,7 +98,28 @@ def emd(x: np.ndarray, max_modes: int) -> list[np.ndarray]:
     return modes
 
 
-def ceemdan(x: np.ndarray, noise: np.ndarray, epsilon: float, max_modes: int):
+_NOISE_CACHE: "OrderedDict[tuple, tuple]" = OrderedDict()
+NOISE_CACHE_SIZE = 8
+
+
+def noise_modes(noise: np.ndarray, max_modes: int, key=None):
+    """EMD modes of every noise realisation (and the norms of their first
+    modes).  They depend only on (seed, trials, length, max_modes), so a Python
+    worker that runs several tasks of one search keeps the last few in memory."""
+    if key is not None and key in _NOISE_CACHE:
+        _NOISE_CACHE.move_to_end(key)
+        return _NOISE_CACHE[key]
+    modes = [emd(noise[i], max_modes) for i in range(noise.shape[0])]
+    norms = [float(np.std(nm[0])) if nm and np.std(nm[0]) > 0 else 1.0 for nm in modes]
+    out = (modes, norms)
+    if key is not None:
+        _NOISE_CACHE[key] = out
+        while len(_NOISE_CACHE) > NOISE_CACHE_SIZE:
+            _NOISE_CACHE.popitem(last=False)
+    return out
+
+
+def ceemdan(x: np.ndarray, noise: np.ndarray, epsilon: float, max_modes: int, noise_key=None):
     """Complete ensemble EMD with adaptive noise.
 
     noise: (trials, n) white-noise realisations.  Works on x / std(x) and
@@ -110,8 +133,7 @@ def ceemdan(x: np.ndarray, noise: np.ndarray, epsilon: float, max_modes: int):
         return [], x.copy()
     xs = x / scale
     trials = noise.shape[0]
-    noise_modes = [emd(noise[i], max_modes) for i in range(trials)]
-    norms = [float(np.std(nm[0])) if nm and np.std(nm[0]) > 0 else 1.0 for nm in noise_modes]
+    nmodes, norms = noise_modes(noise, max_modes, noise_key)
     modes = []
     r = xs.copy()
     for k in range(max_modes):
@@ -123,7 +145,7 @@ def ceemdan(x: np.ndarray, noise: np.ndarray, epsilon: float, max_modes: int):
             if k == 0:
                 term = noise[i] / (np.std(noise[i]) or 1.0)
             else:
-                nm = noise_modes[i]
+                nm = nmodes[i]
                 term = nm[k] / norms[i] if k < len(nm) else np.zeros_like(r)
             acc += first_mode(r + beta * term)
         mode = acc / trials
