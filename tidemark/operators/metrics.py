@@ -170,3 +170,16 @@ def convergence_curve(history: DataFrame, keys, iteration: str = "iteration", sc
 def data_info(df: DataFrame, keys, split: str = "split") -> DataFrame:
     """Row counts per split."""
     return df.groupBy(*keys, split).agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+def data_info_summary(df: DataFrame, keys, n_features: int, steps: int, lags: DataFrame | None = None,
+                      split: str = "split") -> DataFrame:
+    """One row per series: rows per split, number of features, forecast steps
+    and the selected lags (M14)."""
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(
+        *[F.count(F.when(F.col(split) == s, 1)).cast("long").alias(f"n_{s}") for s in ("train", "val", "test")])
+    out = counts.withColumn("n_features", F.lit(n_features).cast("long")).withColumn("steps", F.lit(steps).cast("long"))
+    if lags is not None:
+        out = out.join(lags.select(*keys, "lags"), on=keys, how="left")
+    return out

@@ -1138,3 +1138,19 @@ def normalize_and_combine_parts_q(spark, sf):
             qa.oi_col().alias("oi"), qa.cpx_col().cast("double").alias("cpx"), qa.energy_gap_col().alias("energy_gap"))
         parts = st if parts is None else parts.unionByName(st)
     return qa.normalize_and_combine(parts, weights=QUALITY_PART_WEIGHTS)
+
+
+@register("data_info_summary", LAGF + "," + persist_cte("events_seasonal") + """
+SELECT sp.series_id,
+       CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train,
+       CAST(count(*) FILTER (WHERE split = 'val') AS BIGINT) AS n_val,
+       CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
+       CAST(1 AS BIGINT) AS n_features, CAST(3 AS BIGINT) AS steps,
+       any_value(array_to_string(sel.lags[1:6], ',')) AS lags
+FROM sp JOIN sel ON sel.series_id = sp.series_id GROUP BY sp.series_id""")
+def data_info_summary_q(spark, sf):
+    """Rows per split of the persistence set-up (one feature: the current value,
+    three steps) with the lags the rule selects for each series."""
+    tg = fe.multistep_targets(fx.events_seasonal(spark, sf).select("series_id", "t", "y"), 3)
+    lags = lag_subset_rule_q(spark, sf).select("series_id", "lags")
+    return me.data_info_summary(sp.temporal_split(tg), ["series_id"], n_features=1, steps=3, lags=lags)
