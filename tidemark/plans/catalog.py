@@ -962,10 +962,11 @@ def epsilon_grid_search_q(spark, sf):
 @register("alpha_search")
 def alpha_search_q(spark, sf):
     """Trend pipeline's search: 8 smoothing factors in [0.01, 0.5] x 5 epsilons per series,
-    scored by the balanced decomposition score."""
+    scored by the forecastability score (the pipeline's ``predictive`` strategy)."""
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
     alphas = [ALPHA_LO + i * (ALPHA_HI - ALPHA_LO) / 7 for i in range(8)]
-    return se.alpha_search(g, alphas, qa.balanced_score, trials=SEARCH_TRIALS)
+    return se.alpha_search(g, alphas, qa.forecastability_score, trials=SEARCH_TRIALS,
+                           alpha_bounds=(ALPHA_LO, ALPHA_HI))
 
 
 # ---------------------------------------------------------------- lag subset search (rows-only check)
