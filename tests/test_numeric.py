@@ -126,3 +126,10 @@ def test_lag_subset_search_equals_per_subset_refits(spark):
         best = got[(got.series_id == sid) & got.best]
         assert len(best) == 1
         assert best["weighted_f24"].iloc[0] == pytest.approx(got[got.series_id == sid]["weighted_f24"].min())
+
+
+def test_status_counts(spark):
+    df = _series(spark, {"ok": np.sin(np.arange(60) / 3.0), "tiny": [1.0, 2.0]})
+    st = dc.batch_status(dc.ensemble_decompose(df, trials=2, max_modes=3), df)
+    counts = {r.status: r.n_series for r in dc.status_counts(st).collect()}
+    assert counts == {"Success": 1, "Error": 1}
