@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 
 def content_hash(text: Column) -> Column:
     """128 bits of the text's UTF-8 bytes, in hexadecimal."""
@@ -46,16 +48,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = base.select("_id", F.unhex("_k").alias("h")).groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), pick("_id").alias("keep"))
     several = sizes.where(F.col("n") > 1).select(F.lower(F.hex("h")).alias("_k"))
+    # only members of groups of two or more are looked at again
+    members = written(base.select("_id", "_k", "_text", "_row").join(several, "_k", "left_semi"), "copies")
     collided = (
-        base.select("_k", "_text").join(several, "_k", "left_semi")
-        .groupBy(F.unhex("_k").alias("h")).agg(F.min("_text").alias("least"), F.max("_text").alias("most"))
+        members.groupBy(F.unhex("_k").alias("h")).agg(F.min("_text").alias("least"), F.max("_text").alias("most"))
         .where(F.col("least") != F.col("most")).select("h")
     )
     flagged = sizes.join(collided.withColumn("clash", F.lit(True)), "h", "left").select(
         F.lower(F.hex("h")).alias("_k"), "n", "keep", "clash")
     rows = base.select("_id", "_k", "_row").join(flagged, "_k", "left")
     whole = rows.where(F.col("clash").isNull()).select("_id", "_row", "keep", "n")
-    apart = base.join(collided.select(F.lower(F.hex("h")).alias("_k")), "_k", "left_semi")
+    apart = members.join(collided.select(F.lower(F.hex("h")).alias("_k")), "_k", "left_semi")
     by_text = apart.groupBy("_text").agg(F.count(F.lit(1)).alias("n"), pick("_id").alias("keep"))
     split = apart.join(by_text, "_text").select("_id", "_row", "keep", "n")
     return whole.unionByName(split).select(
