@@ -24,12 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare, slices, text_bytes
-from tidemark.llm.pretoken import spans
+from tidemark.llm.pretoken import LETTER, classes, spans
 
 # Entries of a worker's caches (words, arcs); a full cache starts anew.
 CACHE_WORDS = 200_000
@@ -86,10 +85,11 @@ class Automaton:
                 self.inner[text] = i
         if not suffix:
             self.final = self.inner
-        self.longest: dict[str, int] = {}
+        # the longest label that starts with these three characters
+        self.reach: dict[str, int] = {}
         for text in [*self.inner, *self.final]:
-            if text:
-                self.longest[text[0]] = max(self.longest.get(text[0], 0), len(text))
+            if len(text) > 2:
+                self.reach[text[:3]] = max(self.reach.get(text[:3], 0), len(text))
 
     def allows(self, token: int, nxt: int) -> bool:
         """Whether the state after ``token`` has an arc ``nxt``."""
@@ -115,7 +115,8 @@ class Automaton:
         """The accepted path that spells ``word`` (in byte characters): longest
         arcs first, stepping back where no arc goes on."""
         n, path, at, dead = len(word), [], 0, set()
-        tries = [min(self.longest.get(word[0], 1), n)] if n else []
+        inner, final, reach = self.inner, self.final, self.reach
+        tries = [min(reach.get(word[:3], 2), n)] if n else []
         marks = []
         while at < n:
             size, last = tries[-1], path[-1] if path else -1
@@ -123,7 +124,7 @@ class Automaton:
             if (at, last) not in dead:
                 while size:
                     end = at + size
-                    x = (self.final if end == n else self.inner).get(word[at:end], -1)
+                    x = (final if end == n else inner).get(word[at:end], -1)
                     if x >= 0 and (last < 0 or self.allows(last, x)):
                         step = x
                         break
@@ -134,7 +135,7 @@ class Automaton:
                 path.append(step)
                 at += size
                 if at < n:
-                    tries.append(min(self.longest.get(word[at], 1), n - at))
+                    tries.append(min(reach.get(word[at:at + 3], 2), n - at))
             else:
                 dead.add((at, last))
                 tries.pop()
@@ -161,16 +162,14 @@ def load(path: str) -> tuple[Automaton, dict[str, int]]:
 
 
 @lru_cache(maxsize=1)
-def newer_lower() -> dict[int, str]:
-    """Lower case of capital letters that are newer than Python's own tables."""
+def newer_lower() -> dict[str, str]:
+    """Lower case of letters that are newer than Python's own tables."""
     from tokenizers.normalizers import Lowercase
 
-    found = {}
-    for run in regex.findall(r"\p{Lu}+", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))):
-        for c in run:
-            if unicodedata.category(c) == "Cn":
-                found[ord(c)] = Lowercase().normalize_str(c)
-    return found
+    known = classes()
+    newer = [chr(c) for c in np.flatnonzero(known == LETTER).tolist() if unicodedata.category(chr(c)) == "Cn"]
+    found = {c: Lowercase().normalize_str(c) for c in newer}
+    return {c: low for c, low in found.items() if c != low}
 
 
 def normalize(text: str) -> str:
@@ -178,7 +177,9 @@ def normalize(text: str) -> str:
     if not text.isascii():
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").translate(newer_lower())
+        text = text.replace("Σ", "σ")
+        for capital, small in newer_lower().items():
+            text = text.replace(capital, small)
     return text.lower()
 
 

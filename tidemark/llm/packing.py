@@ -8,8 +8,9 @@ whatever the corpus.  The plan is made from it on the driver:
    cardinality and rounded up to the longest of their group.
 2. The few rounded sizes are packed by configurations: a linear programme over
    them, its columns generated by a knapsack on the dual prices, rounded down.
-3. Actual lengths take the places of their rounded size; the room that this
-   leaves is known for every sequence.
+3. Actual lengths take the places of the rounded sizes, in a configuration's
+   last place the longest that fits beside the others; so the room that
+   rounding left is used, and what remains is known for every sequence.
 4. Large pieces left over, then the small ones, longest first, go where they
    leave the least room; new sequences open only when nothing fits.
 
@@ -32,8 +33,9 @@ from tidemark.llm.bpe import WordCoder, split_specials
 from tidemark.llm.common import partitions, prepare, slices, text_bytes, written
 from tidemark.llm.pretoken import spans
 
-GROUPS = 64  # rounded sizes of the linear grouping
-SMALL = 1 / 8  # lengths up to this share of a sequence are small
+GROUPS = 96  # rounded sizes of the linear grouping
+SMALL = 0.45  # lengths up to this share of a sequence are small
+SHARE = 0.8  # of each configuration; best fit places what the rest would hold
 
 
 # --- the plan, from the histogram of lengths --------------------------------
@@ -77,8 +79,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, size: int, most: int =
         basis[:, out] = column
         x = np.linalg.solve(basis, demand.astype(float))
         x = np.maximum(x, 0)
-    return [(basis[:, p].round().astype(np.int64), int(np.floor(x[p] + 1e-6))) for p in range(k)
-            if int(np.floor(x[p] + 1e-6)) > 0]
+    return [(basis[:, p].round().astype(np.int64), int(np.floor(SHARE * x[p] + 1e-6))) for p in range(k)
+            if int(np.floor(SHARE * x[p] + 1e-6)) > 0]
 
 
 class Plan:
@@ -89,6 +91,7 @@ class Plan:
         self.rank: dict[int, int] = defaultdict(int)
         self.places: list[tuple[int, int, int, int, int]] = []
         self.room: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.empty: list[tuple[int, int]] = []
 
     def open(self, count: int) -> tuple[int, int]:
         first = self.sequences
@@ -105,7 +108,14 @@ class Plan:
             fit = next((r for r in range(length, self.size + 1) if self.room.get(r)), None)
             if fit is None:
                 per = self.size // length
-                first, opened = self.open(-(-count // per))
+                if self.empty:  # opened by a configuration that found no pieces
+                    first, opened = self.empty.pop()
+                    spare = opened - -(-count // per)
+                    if spare > 0:
+                        opened -= spare
+                        self.empty.append((first + opened, spare))
+                else:
+                    first, opened = self.open(-(-count // per))
                 for i in range(per):
                     took = min(count, opened)
                     if took < opened:
@@ -137,48 +147,43 @@ def plan_packing(histogram: dict[int, int], size: int, groups: int = GROUPS, sma
     large = sorted((n for n in left if n > small * size), reverse=True)
     total = sum(left[n] for n in large)
     if total:
-        # runs of each group: (length, count), the longest first
-        each, members = -(-total // groups), [[]]
-        room = each
-        for n in large:
-            count = left[n]
-            while count:
-                took = min(count, room)
-                members[-1].append([n, took])
-                count -= took
-                room -= took
-                if not room:
-                    members.append([])
-                    room = each
-        members = [m for m in members if m]
-        sizes = np.array([m[0][0] for m in members])
-        demand = np.array([sum(c for _, c in m) for m in members])
-        # groups whose longest lengths are equal are one size
+        # the rounded size of a group is its longest length; equal ones are one size
+        each, upto, need = -(-total // groups), 0, {}
+        ranks = np.cumsum([left[n] for n in large])
+        while upto < total:
+            top = large[int(np.searchsorted(ranks, upto, "right"))]
+            took = min(each, total - upto)
+            need[top] = need.get(top, 0) + took
+            upto += took
+        sizes, demand = np.array(list(need)), np.array(list(need.values()))
+        def longest(most: int) -> int:
+            """The longest large length left, at most ``most`` (0: none)."""
+            return next((n for n in range(min(most, large[0]), large[-1] - 1, -1) if left.get(n)), 0)
+
         for counts, sequences in configurations(sizes, demand, size):
+            places = [int(sizes[g]) for g in np.flatnonzero(counts) for _ in range(int(counts[g]))]
             first, todo = plan.open(sequences)
             runs = [(first, todo, 0)]
-            for g in np.flatnonzero(counts):
-                for _ in range(int(counts[g])):
-                    after = []
-                    for start, many, used in runs:
-                        while many:
-                            if not members[g]:
-                                after.append((start, many, used))
-                                break
-                            n, have = members[g][0]
-                            took = min(have, many)
-                            plan.put(n, took, start, used)
-                            after.append((start, took, used + n))
-                            start, many = start + took, many - took
-                            if took == have:
-                                members[g].pop(0)
-                            else:
-                                members[g][0][1] -= took
-                    runs = after
+            for k, rounded in enumerate(places):
+                after = []
+                for start, many, used in runs:
+                    while many:
+                        # its own size; the last place takes what the others left free
+                        n = longest(size - used if k == len(places) - 1 else rounded)
+                        if not n:
+                            after.append((start, many, used))
+                            break
+                        took = min(left[n], many)
+                        plan.put(n, took, start, used)
+                        left[n] -= took
+                        after.append((start, took, used + n))
+                        start, many = start + took, many - took
+                runs = after
             for start, many, used in runs:
-                plan.room[size - used].append((start, many))
-        for n in large:
-            left[n] = sum(c for m in members for length, c in m if length == n)
+                if used:
+                    plan.room[size - used].append((start, many))
+                else:
+                    plan.empty.append((start, many))
     for n in sorted(left, reverse=True):
         plan.best_fit(n, left[n])
     return plan

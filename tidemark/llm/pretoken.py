@@ -10,23 +10,24 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import regex
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
-_SPACE, _LETTER, _NUMBER, _OTHER, _EDGE = range(5)
+SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 # White_Space of Unicode (fixed values).
-_SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CLASSES: np.ndarray | None = None
 
 
 def classes() -> np.ndarray:
     global _CLASSES
     if _CLASSES is None:
-        found = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+        found = np.full(sys.maxunicode + 1, OTHER, np.uint8)
         every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
-        for pattern, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
-            for run in regex.findall(pattern, every):
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):  # the library's own tables
+            for run, _ in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
                 found[np.frombuffer(run.encode("utf-32-le"), np.uint32)] = kind
-        found[_SPACES] = _SPACE
+        found[WHITE] = SPACE
         _CLASSES = found
     return _CLASSES
 
@@ -38,20 +39,20 @@ def spans(texts: list[str], rule: str) -> tuple[str, np.ndarray, np.ndarray, np.
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     edges = np.cumsum(sizes + 1) - 1
     kind = classes()[code]
-    kind[edges] = _EDGE
+    kind[edges] = EDGE
     n = len(code)
     before = np.empty(n, np.uint8)
-    before[:1], before[1:] = _EDGE, kind[:-1]
+    before[:1], before[1:] = EDGE, kind[:-1]
     after = np.empty(n, np.uint8)
-    after[-1:], after[:-1] = _EDGE, kind[1:]
+    after[-1:], after[:-1] = EDGE, kind[1:]
     begins = kind != before
-    begins[kind == _EDGE] = True  # two empty texts in a row
+    begins[kind == EDGE] = True  # two empty texts in a row
     if rule == "word":
-        begins |= kind == _NUMBER
+        begins |= kind == NUMBER
     # contractions: an apostrophe that starts a match, then these letters
-    quote = np.flatnonzero((code == 39) & begins & (after == _LETTER))
+    quote = np.flatnonzero((code == 39) & begins & (after == LETTER))
     if rule == "byte" and len(quote):
-        quote = quote[~((quote > 0) & (code[quote - 1] == 32) & (before[quote] == _SPACE))]
+        quote = quote[~((quote > 0) & (code[quote - 1] == 32) & (before[quote] == SPACE))]
     if len(quote):
         second = code[quote + 1]
         third = np.where(quote + 2 < n, code[np.minimum(quote + 2, n - 1)], 0)
@@ -62,18 +63,18 @@ def spans(texts: list[str], rule: str) -> tuple[str, np.ndarray, np.ndarray, np.
         for picked, size in ((quote[one], 2), (quote[two], 3)):
             begins[picked + 1] = False
             rest = picked + size
-            begins[rest[kind[rest] == _LETTER]] = True
+            begins[rest[kind[rest] == LETTER]] = True
     if rule == "byte":
-        inner = (kind == _SPACE) & (after != _SPACE) & (after != _EDGE)  # last white space before a match
+        inner = (kind == SPACE) & (after != SPACE) & (after != EDGE)  # last white space before a match
         begins |= inner
         joins = np.flatnonzero(inner & (code == 32)) + 1
         begins[joins] = False
         at = np.flatnonzero(begins)
         ends = np.append(at[1:], n)
-        keep = kind[at] != _EDGE
+        keep = kind[at] != EDGE
     else:
         at = np.flatnonzero(begins)
         ends = np.append(at[1:], n)
-        keep = (kind[at] != _EDGE) & (kind[at] != _SPACE)
+        keep = (kind[at] != EDGE) & (kind[at] != SPACE)
     at, ends = at[keep], ends[keep]
     return joined, at, ends, np.searchsorted(edges, at)

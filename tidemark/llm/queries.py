@@ -90,3 +90,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined.alias("loss"), F.sum("chars").alias("formatted_chars"))
     return per.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"),
                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op4_bpe_automaton")
+def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.bpe import encode_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
