@@ -110,3 +110,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring import remove_repeats
+
+    out = remove_repeats(read_table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
