@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, read_table
+from tidemark.llm.common import crc_remainder, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+# Texts with a lower quality score are rejected.
+QUALITY_CUT = 0.3
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -118,3 +121,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(read_table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import fit_quality, score_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (crc_remainder("doc_id") == 0).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.license import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
