@@ -209,20 +209,22 @@ class WordCoder:
     def look_up(self, joined: str, start: np.ndarray, end: np.ndarray) -> list:
         words = [joined[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
         known, older = self.known, self.older
-        missing = {w for w in words if w not in known}
-        if missing:
+        found = list(map(known.get, words))
+        if None in found:
+            missing = {w for w, f in zip(words, found, strict=True) if f is None}
             if len(known) + len(missing) > self.most:
                 self.older, older, kept = known, known, {w: known[w] for w in words if w in known}
                 known = self.known = kept
             new = []
             for w in missing:
-                found = older.get(w)
-                if found is None:
+                value = older.get(w)
+                if value is None:
                     new.append(w)
                 else:
-                    known[w] = found
+                    known[w] = value
             known.update(zip(new, self.code(new), strict=True))
-        return [known[w] for w in words]
+            found = [known[w] for w in words]
+        return found
 
 
 def encoded_rows(texts: list[str], path: str, coder: WordCoder) -> list[tuple[int, bytes, str]]:

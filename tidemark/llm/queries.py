@@ -139,3 +139,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.license import scan_licenses
 
     return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_permutation_index")
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann import nearest_neighbours
+
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
