@@ -31,7 +31,7 @@ from tidemark.llm.common import prepare, slices, text_bytes
 from tidemark.llm.pretoken import LETTER, classes, spans
 
 # Entries of a worker's caches (words, arcs); a full cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 CACHE_ARCS = 400_000
 
 

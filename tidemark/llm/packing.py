@@ -21,6 +21,7 @@ Pieces are numbered within their length by Spark and look their place up.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 
@@ -204,7 +205,9 @@ def id_coder(path: str) -> tuple[WordCoder, dict[str, int]]:
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
     def code(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        pack = struct.pack
+        found = (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        return [pack(f"<{len(i)}I", *i) for i in found]
 
     return WordCoder(code), specials
 
