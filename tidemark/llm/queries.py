@@ -147,3 +147,10 @@ def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import jaccard_groups
+
+    return jaccard_groups(read_table(spark, sf_dir, "documents"), threshold=0.8, size=5)
