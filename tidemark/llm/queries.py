@@ -154,3 +154,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import jaccard_groups
 
     return jaccard_groups(read_table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
+@query("op5_maxent_scoring")
+def op5_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lm import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"), fold=1, folds=5)
