@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     prepare(spark)
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, score_col="_score").where(F.col("_score") >= QUALITY_CUT).select(*docs.columns)
+    return score_quality(docs, model, score_col="_tidemark_score").where(F.col("_tidemark_score") >= QUALITY_CUT).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     prepare(spark)
     rows = jaccard_groups(docs)
-    heads = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi").select(*docs.columns)
+    heads = rows.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_tidemark_head")).distinct()
+    return docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_tidemark_head")), "left_semi").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
