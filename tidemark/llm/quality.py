@@ -22,6 +22,7 @@ from tidemark.llm.common import SPACE, Words, crc_remainder, mix, pack, prepare,
 GRAM_BITS, WORD_BITS = 17, 16  # buckets of character n-grams and of words
 BUCKETS = (1 << GRAM_BITS) + (1 << WORD_BITS)
 GRAMS = (3, 4, 5)
+STEPS = 2000  # mini-batches of training
 MAX_TRAIN = 4000  # labelled rows learned from, at most (those with the least hash of their id)
 
 _CODES = (mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
@@ -75,16 +76,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, epochs: int = 8, batch: int = 16,
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, steps: int = STEPS, batch: int = 16,
           rate: float = 4.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent over (label, buckets, weights that sum to 1)."""
+    """``steps`` mini-batches of gradient descent over (label, buckets, weights that sum to 1)."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
     output, bias = ((rng.random((2, dim)) - 0.5) / dim).astype(np.float32), np.zeros(2, np.float32)
-    steps, done = max(1, epochs * -(-len(rows) // batch)), 0
-    for _ in range(epochs if rows else 0):
+    done = 0
+    while rows and done < steps:
         order = rng.permutation(len(rows))
-        for b in range(0, len(order), batch):
+        for b in range(0, min(len(order), batch * (steps - done)), batch):
             picked = [rows[k] for k in order[b:b + batch]]
             label = np.array([r[0] for r in picked])
             size = [len(r[1]) for r in picked]
