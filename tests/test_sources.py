@@ -79,3 +79,37 @@ def test_read_series_batch_keeps_order_across_many_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got["t"].tolist() == list(range(2000))
     np.testing.assert_allclose(got["y"].to_numpy(), vals)
+
+
+def _write(folder, name, text):
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_read_series_batch_goes_by_each_files_header(spark):
+    from tidemark.sources.series import batch_file_status
+
+    d = tempfile.mkdtemp(prefix="tidemark-test-")
+    _write(d, "a.csv", "a,v\n1,10\n2,20\n3,30\n")
+    _write(d, "b.csv", "v,a\n5,1\n6,2\n")
+    _write(d, "c.csv", "x,y\n1,1\n")
+    got = {(r.series_id, r.t): r.y for r in read_series_batch(spark, f"{d}/*.csv", value_col="v").collect()}
+    assert got == {("a", 0): 10.0, ("a", 1): 20.0, ("a", 2): 30.0, ("b", 0): 5.0, ("b", 1): 6.0}
+    status = {r.series_id: (r.status, r.n_rows) for r in batch_file_status(spark, f"{d}/*.csv", "v").collect()}
+    assert status == {"a": ("Success", 3), "b": ("Success", 2), "c": ("Error", 1)}
+    first = {(r.series_id, r.t): r.y for r in read_series_batch(spark, f"{d}/*.csv").collect()}
+    assert first[("a", 0)] == 1.0 and first[("b", 0)] == 5.0 and first[("c", 0)] == 1.0
+
+
+def test_read_series_batch_orders_by_timestamp(spark, small_chunks):
+    from tidemark.sources.series import batch_file_status
+
+    d = tempfile.mkdtemp(prefix="tidemark-test-")
+    rows = [(f"2024-01-01 00:{59 - k:02d}:00", k) for k in range(30)]
+    rows[4:4] = [("", 100), ("2024-01-01 00:59:00", 200)]  # one without, one repeated timestamp
+    _write(d, "s.csv", "ts,v\n" + "".join(f"{a},{b}\n" for a, b in rows))
+    got = read_series_batch(spark, f"{d}/*.csv", value_col="v", ts_col="ts").orderBy("t").collect()
+    assert [r.t for r in got] == list(range(31))
+    assert [r.y for r in got] == [float(k) for k in range(29, 0, -1)] + [0.0, 200.0]
+    status = batch_file_status(spark, f"{d}/*.csv", "v", "ts").first()
+    assert (status.n_rows, status.n_without_ts) == (32, 1)

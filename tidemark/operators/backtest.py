@@ -179,7 +179,7 @@ def adf_test(df: DataFrame, keys=("series_id",), value: str = "y", t: str = "t",
     m = len(design)
     common = rows.where((F.col(t) > F.col("_L")) & F.col("_dx").isNotNull())
     from tidemark.operators.linalg import partial_gram
-    g = partial_gram(common, keys, design)
+    g = partial_gram(common, keys, design, t=t)
     packed = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("_g"))
     head = rows.where((F.col(t) >= 1) & (F.col(t) <= F.col("_L"))).groupBy(*keys).agg(
         F.collect_list(F.struct(F.col(t).alias("t"), F.array(*[F.col(c) for c in design]).alias("z"))).alias("_head"))

@@ -46,17 +46,19 @@ def chunk_window(keys, t: str = "t") -> Window:
     return Window.partitionBy(*keys, "_c").orderBy(t)
 
 
-def dense_index(df: DataFrame, keys, order: str = "t", size: int | None = None,
-                idx: str = "_idx", count: str = "_n") -> DataFrame:
+def dense_index(df: DataFrame, keys, order="t", size: int | None = None,
+                idx: str = "_idx", count: str = "_n", block: Column | None = None) -> DataFrame:
     """0-based position ``idx`` of each row inside its key group and group size ``count``.
 
-    ``order`` must be an integer column, unique within a group.  Rows are
-    numbered per ``(keys, order div size)`` block; block offsets come from a
-    running sum over the per-block counts (one row per block).
+    ``order`` must be an integer column, unique within a group (or several
+    columns with ``block``, a number that never falls along the order).  Rows
+    are numbered per ``(keys, order div size)`` block; block offsets come from
+    a running sum over the per-block counts (one row per block).
     """
     keys = list(keys)
     size = size or chunk_rows(df.sparkSession)
-    blocked = df.withColumn("_b", chunk_of(order, size))
+    blocked = df.withColumn("_b", chunk_of(order, size) if block is None else block)
+    order = [order] if isinstance(order, str) else list(order)
     counts = blocked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     wk = Window.partitionBy(*keys)
     counts = counts.select(
@@ -65,7 +67,7 @@ def dense_index(df: DataFrame, keys, order: str = "t", size: int | None = None,
         (F.sum("_bn").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
         F.sum("_bn").over(wk).alias(count),
     ).fillna(0, subset=["_off"])
-    local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)) - 1
+    local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1
     return (
         blocked.withColumn("_loc", local)
         .join(counts, on=[*keys, "_b"], how="inner")

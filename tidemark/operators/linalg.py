@@ -71,18 +71,17 @@ def solve_batched(a: np.ndarray, b: np.ndarray, ridge: float = 0.0) -> np.ndarra
     return np.einsum("kij,kj->ki", np.linalg.pinv(a, hermitian=True), b)
 
 
-def partial_gram(df: DataFrame, keys, cols, size: int | None = None) -> DataFrame:
+def partial_gram(df: DataFrame, keys, cols, size: int | None = None, t: str = "t") -> DataFrame:
     """Long Gram (keys, i, j, v) of the design ``cols`` summed over rows with no NULL.
 
-    Per (keys, chunk) an Arrow grouped map forms X^T X of at most ``size``
-    rows; the upper triangles are added by a grouped sum on (keys, i, j).
+    Per (keys, chunk of the position ``t``) an Arrow grouped map forms X^T X of
+    at most ``size`` rows, the same rows whenever a task is run again; the upper triangles are added by a grouped sum on (keys, i, j).
     Suits wide designs (tens of columns) where one Spark sum per entry would be
     too many aggregates.
     """
     keys, cols = list(keys), list(cols)
     size = min(size or chunk_rows(df.sparkSession), 1 << 15)
-    staged = df.select(*keys, *cols, F.monotonically_increasing_id().alias("_rid")).na.drop(subset=cols)
-    staged = staged.withColumn("_gc", F.floor(F.col("_rid") / size).cast("long")).drop("_rid")
+    staged = df.select(*keys, *cols, chunk_of(t, size).alias("_gc")).na.drop(subset=cols)
     m = len(cols)
     iu = np.triu_indices(m)
     schema = ", ".join(key_schema(df, keys) + ["i long", "j long", "v double"])

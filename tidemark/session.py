@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,8 +44,9 @@ def chunk_rows(spark: SparkSession) -> int:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a scratch folder is created
-    and registered; on a cluster the configured shared folder is always used.
+    Only when the session names none and runs in one process (local tests) a
+    scratch folder is created and registered.  On a cluster a folder of this
+    machine would not be seen by the executors, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -53,6 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     local = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -64,9 +69,6 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-_SHIPPED: dict = {}
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``tidemark`` importable in every Python worker of the session.
 
@@ -76,8 +78,7 @@ def ship_package(spark: SparkSession) -> None:
     ``addPyFile``, which distributes it through Spark itself.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if _SHIPPED.get(key):
+    if getattr(sc, "_tidemark_shipped", None):
         return
     import shutil
 
@@ -85,4 +86,4 @@ def ship_package(spark: SparkSession) -> None:
     out_dir = tempfile.mkdtemp(prefix="tidemark-pyfiles-")
     archive = shutil.make_archive(os.path.join(out_dir, "tidemark"), "zip", os.path.dirname(pkg_dir), "tidemark")
     sc.addPyFile(archive)
-    _SHIPPED[key] = archive
+    sc._tidemark_shipped = archive

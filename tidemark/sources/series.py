@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import normal_noise, slot_of
 from tidemark.operators.indexing import dense_index
+from tidemark.session import chunk_rows
 
 SERIES_SCHEMA = "series_id string, t bigint, ts timestamp_ntz, y double"
 COMPONENTS_SCHEMA = "series_id string, t bigint, component string, k bigint, value double"
@@ -29,12 +31,6 @@ def pick_value_col(df: DataFrame, name: str | None = None) -> str:
     raise ValueError("no numeric column to use as series value")
 
 
-def _strip_bom(df: DataFrame) -> DataFrame:
-    # writers of the original tool emit UTF-8 with a byte order mark; it ends up
-    # glued to the first header name.
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-
-
 def read_series(spark: SparkSession, path: str, value_col: str | None = None,
                 ts_col: str | None = None, series_id: str | None = None,
                 fmt: str = "csv") -> DataFrame:
@@ -47,34 +43,91 @@ def read_series(spark: SparkSession, path: str, value_col: str | None = None,
                              fixed_id=series_id)
 
 
+def _csv_headers(spark: SparkSession, paths) -> list[tuple[str, tuple[str, ...]]]:
+    """(path, column names) of every CSV file: its first line, without the byte
+    order mark that some writers put before it.  One partially aggregated scan;
+    the result has a row per file."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("i"), "value").where(F.col("at") == 0)
+    found = lines.groupBy("path").agg(F.min_by("value", "i").alias("header")).collect()
+    return [(r["path"], tuple(next(csv.reader([r["header"].lstrip("\ufeff")]), ()))) for r in
+            sorted(found, key=lambda r: r["path"])]
+
+
+def _groups(spark: SparkSession, paths, value_col, ts_col, fmt):
+    """(loaded files of one layout, their value column or the reason there is none)."""
+    if fmt != "csv":
+        frames = [spark.read.format(fmt).load(paths)]
+    else:
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for path, header in _csv_headers(spark, paths):
+            by_header.setdefault(header, []).append(path)
+        frames = []
+        for header, files in by_header.items():
+            names = [f"_{k}" for k in range(len(header))]
+            schema = ", ".join(f"{n} string" for n in names)
+            if value_col is None:  # the first numeric column is wanted: types have to be known
+                kinds = spark.read.option("header", True).option("inferSchema", True).csv(files).dtypes
+                schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, kinds, strict=True))
+            meta = ["_metadata.file_name", "_metadata.file_block_start"]
+            raw = spark.read.option("header", True).schema(schema).csv(files)
+            frames.append(raw.select(*[F.col(n).alias(h) for n, h in zip(names, header, strict=True)],
+                                     *[F.col(c).alias("_" + c.split(".")[1]) for c in meta]))
+    for df in frames:
+        if fmt != "csv":
+            df = df.select("*", F.col("_metadata.file_name").alias("_file_name"),
+                           F.col("_metadata.file_block_start").alias("_file_block_start"))
+        try:
+            value = pick_value_col(df.drop("_file_name", "_file_block_start"), value_col)
+            if ts_col and ts_col not in df.columns:
+                raise ValueError(f"timestamp column {ts_col!r} not found in {df.columns}")
+            yield df, value, None
+        except ValueError as why:
+            yield df, None, str(why)
+
+
+def _file_id(fixed_id: str | None) -> Column:
+    return F.lit(fixed_id) if fixed_id else F.regexp_replace(F.col("_file_name"), r"\.[^.]*$", "")
+
+
 def read_series_batch(spark: SparkSession, paths, value_col: str | None = None,
                       ts_col: str | None = None, fmt: str = "csv",
                       fixed_id: str | None = None) -> DataFrame:
     """Every file of a folder/glob as its own series, id = file base name (A2).
 
-    Row order inside a file is the stored order: a timestamp column when
-    given, else (file block start, position inside the block).
+    Columns are found by each file's own header; files with the same header are
+    one scan.  Files without the value (or timestamp) column, and rows without
+    a timestamp where ``ts_col`` names one, are left out here and reported by
+    ``batch_file_status``.  Row order inside a file is the timestamp's when
+    given (ties as stored), else the stored one; ``t`` counts from 0.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("inferSchema", True).option("encoding", "UTF-8")
-    raw = _strip_bom(reader.load(paths))
-    value = pick_value_col(raw, value_col)
-    meta = raw.select(
-        "*",
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_blk"),
-    )
-    sid = F.lit(fixed_id) if fixed_id else F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
-    ordered = meta.select(
-        sid.alias("series_id"),
-        (F.col(f"`{ts_col}`").cast("timestamp_ntz") if ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts"),
-        F.col(f"`{value}`").cast("double").alias("y"),
-        "_blk",
-        F.monotonically_increasing_id().alias("_pos"),
-    )
+    parts, missing = [], []
+    for df, value, why in _groups(spark, paths, value_col, ts_col, fmt):
+        if value is None:
+            missing.append(why)
+            continue
+        parts.append(df.select(
+            _file_id(fixed_id).alias("series_id"),
+            (F.col(f"`{ts_col}`").cast("timestamp_ntz") if ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts"),
+            F.col(f"`{value}`").cast("double").alias("y"),
+            F.col("_file_block_start").alias("_blk"),
+            F.monotonically_increasing_id().alias("_pos"),
+        ))
+    if not parts:
+        raise ValueError("; ".join(missing) or f"no files at {paths}")
+    ordered = reduce(DataFrame.unionByName, parts)
     if ts_col:
-        ordered = ordered.withColumn("_ord", F.unix_micros(F.col("ts").cast("timestamp")).cast("long"))
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        ordered = ordered.where(F.col("ts").isNotNull()).withColumn("_ord", micros)
+        # blocks of equal time spans, as many as the rows ask for
+        span = ordered.groupBy("series_id").agg(
+            F.min("_ord").alias("_lo"), F.max("_ord").alias("_hi"),
+            F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows(spark))).alias("_cuts"))
+        ordered = ordered.join(span, "series_id")
+        width = (F.col("_hi") - F.col("_lo") + 1) / F.col("_cuts")
+        block = F.floor((F.col("_ord") - F.col("_lo")) / width).cast("long")
+        out = dense_index(ordered, ["series_id"], order=["_ord", "_blk", "_pos"], idx="t", count="_len", block=block)
     else:
         # Stored order: splits of a file are ranked by their start offset (a
         # tiny table: one row per split); inside a split the record number of
@@ -84,10 +137,25 @@ def read_series_batch(spark: SparkSession, paths, value_col: str | None = None,
         ordered = ordered.join(splits, on=["series_id", "_blk"]).withColumn(
             "_ord", (F.col("_rank").cast("long") * F.lit(1 << 33)
                      + F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
-    out = dense_index(ordered, ["series_id"], order="_ord", idx="t", count="_len")
+        out = dense_index(ordered, ["series_id"], order="_ord", idx="t", count="_len")
     return out.select("series_id", "t", "ts", "y")
 
 
+def batch_file_status(spark: SparkSession, paths, value_col: str | None = None, ts_col: str | None = None,
+                      fmt: str = "csv", fixed_id: str | None = None) -> DataFrame:
+    """(series_id, status, error_message, n_rows, n_without_ts) per file of a batch (A2).
+
+    status is ``Error`` for a file without the value or timestamp column."""
+    parts = []
+    for df, _, why in _groups(spark, paths, value_col, ts_col, fmt):
+        lost = F.col(f"`{ts_col}`").cast("timestamp_ntz").isNull() if ts_col and ts_col in df.columns else F.lit(False)
+        parts.append(df.groupBy(_file_id(fixed_id).alias("series_id")).agg(
+            F.lit("Success" if why is None else "Error").alias("status"),
+            F.lit(why).cast("string").alias("error_message"), F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(lost).alias("n_without_ts")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def clean_series(df: DataFrame, min_len: int = 0, keys=("series_id",)) -> DataFrame:
     """Drop NULL/NaN values, renumber ``t`` densely, keep series with >= min_len rows (A4)."""
     keys = list(keys)
