@@ -109,14 +109,15 @@ def test_lag_subset_search_equals_per_subset_refits(spark):
         tr, va = part[part.split == "train"], part[part.split == "val"]
         for ci, sub in enumerate(se.legal_subsets()):
             cols = [f"y_lag_{k}" for k in sub]
-            xt = np.c_[np.ones(len(tr)), tr[cols].to_numpy()]
-            xv = np.c_[np.ones(len(va)), va[cols].to_numpy()]
-            a = xt.T @ xt
-            a = a + 1e-8 * np.trace(a) / a.shape[0] * np.eye(a.shape[0])
+            # standardised lags, free intercept, penalty 1e-8 per row as extra rows
+            mu, sd = tr[cols].to_numpy().mean(0), tr[cols].to_numpy().std(0)
+            xt = np.c_[np.ones(len(tr)), (tr[cols].to_numpy() - mu) / sd]
+            xv = np.c_[np.ones(len(va)), (va[cols].to_numpy() - mu) / sd]
+            pen = np.sqrt(1e-8 * len(tr)) * np.c_[np.zeros(len(sub)), np.eye(len(sub))]
             f24s = []
             for h in (1, 2, 3):
                 yt, yv = tr[f"y_step_{h}"].to_numpy(), va[f"y_step_{h}"].to_numpy()
-                beta = np.linalg.solve(a, xt.T @ yt)
+                beta = np.linalg.lstsq(np.r_[xt, pen], np.r_[yt, np.zeros(len(sub))], rcond=None)[0]
                 e = xv @ beta - yv
                 f24s.append((np.mean(e ** 2) + np.mean(np.abs(e)) + np.mean(np.abs(e) / (np.abs(yv) + 1e-10))) / 3)
             want = float(weights @ np.array(f24s) / weights.sum())
@@ -133,3 +134,49 @@ def test_status_counts(spark):
     st = dc.batch_status(dc.ensemble_decompose(df, trials=2, max_modes=3), df)
     counts = {r.status: r.n_series for r in dc.status_counts(st).collect()}
     assert counts == {"Success": 1, "Error": 1}
+
+
+def test_subset_fits_shift_with_the_series():
+    """Adding a constant to y shifts every fitted forecast by that constant."""
+    rng = np.random.default_rng(11)
+    y = np.cumsum(rng.normal(size=400)) * 0.1 + rng.normal(size=400)
+    subsets, forecasts = se.legal_subsets(), []
+    for shift in (0.0, 1000.0):
+        z = y + shift
+        x = np.stack([np.ones(380), *[z[10 - k:390 - k] for k in range(1, 9)]], 1)
+        target = np.stack([z[10 + h:390 + h] for h in (1, 2, 3)], 1)
+        full = np.c_[x, target]
+        coef = se.fit_subsets(full.T @ full, subsets, 8, 3, 1e-8)
+        forecasts.append(np.einsum("nj,khj->nkh", x, coef))
+    np.testing.assert_allclose(forecasts[1] - 1000.0, forecasts[0], atol=1e-4)
+
+
+def test_subset_fit_of_a_constant_series():
+    full = np.full((50, 12), 3.0)
+    full[:, 0] = 1
+    coef = se.fit_subsets(full.T @ full, se.legal_subsets(), 8, 3, 1e-8)
+    np.testing.assert_allclose(coef.sum(2) - coef[:, :, 0], 0, atol=1e-9)
+    np.testing.assert_allclose(coef[:, :, 0], 3.0)
+
+
+def test_best_round_waits():
+    from tidemark.operators.models import best_round
+
+    assert best_round([5, 6, 4, 4.5, 3, 9]) == 5
+    assert best_round([5.0, *[6.0] * 50, 1.0]) == 1
+    assert best_round([5.0, *[6.0] * 48, 1.0]) == 50
+
+
+def test_early_stopping_keeps_the_best_trees(spark):
+    from tidemark.operators import models as mo
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=600)
+    pdf = pd.DataFrame({"series_id": "a", "t": np.arange(600), "x": x, "y_tr_step_1": np.sin(2 * x) + rng.normal(size=600)})
+    train, val = spark.createDataFrame(pdf[:400]), spark.createDataFrame(pdf[400:])
+    fit = mo.fit_boosted_multistep(train, ["x"], 1, learning_rate=0.3, n_trees=30, val=val, early_stopping=True)
+    whole = mo.fit_boosted_multistep(train, ["x"], 1, learning_rate=0.3, n_trees=30)
+    data = mo._assemble(val.withColumn("label", F.col("y_tr_step_1")), ["x"])
+    losses = whole["models"][0].evaluateEachIteration(data, "squared")
+    assert fit["models"][0].getNumTrees == int(np.argmin(losses)) + 1
+    assert fit["status"] == ["ok"]

@@ -81,13 +81,14 @@ def partial_gram(df: DataFrame, keys, cols, size: int | None = None, t: str = "t
     """
     keys, cols = list(keys), list(cols)
     size = min(size or chunk_rows(df.sparkSession), 1 << 15)
-    staged = df.select(*keys, *cols, chunk_of(t, size).alias("_gc")).na.drop(subset=cols)
+    staged = df.select(*keys, *cols, chunk_of(t, size).alias("_gc"))
     m = len(cols)
     iu = np.triu_indices(m)
     schema = ", ".join(key_schema(df, keys) + ["i long", "j long", "v double"])
 
     def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[cols].to_numpy(dtype=np.float64)
+        x = x[~np.isnan(x).any(axis=1)]
         g = x.T @ x
         out = pd.DataFrame({"i": iu[0].astype("int64"), "j": iu[1].astype("int64"), "v": g[iu]})
         for k in reversed(keys):

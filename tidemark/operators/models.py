@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -20,7 +21,9 @@ from tidemark.operators import metrics as me
 # fixed values of the booster
 BOOSTER = {"maxDepth": 8, "subsamplingRate": 0.6019, "minInstancesPerNode": 17, "featureSubsetStrategy": "0.9899"}
 FALLBACK = {"stepSize": 0.1, "maxIter": 100}
-VALIDATION_TOL = 0.0
+PATIENCE = 50  # rounds without improvement after which boosting stops
+FIT_ERRORS = (IllegalArgumentException, ValueError)  # a lost cluster is not a reason to fall back
+MAX_FITS = 4  # models fitted at the same time
 
 
 def _assemble(df: DataFrame, features) -> DataFrame:
@@ -30,30 +33,47 @@ def _assemble(df: DataFrame, features) -> DataFrame:
 def fit_boosted_multistep(train: DataFrame, features, steps: int = 3, target: str = "y_tr", learning_rate: float = 0.1,
                           n_trees: int = 100, seed: int = 42, val: DataFrame | None = None,
                           early_stopping: bool = False) -> dict:
-    """One squared-error boosted-tree model per step (R1); optional validation
-    early stopping (R2); on a failed fit retries with 100 trees at lr 0.1 (R3).
+    """One squared-error boosted-tree model per step (R1); with ``early_stopping``
+    the trees up to the best validation round stay, rounds end after PATIENCE
+    without a better one (R2); a fit that rejects its parameters is tried again
+    with 100 trees at lr 0.1 (R3).
 
     Returns {"models": [model_h...], "status": [...]}."""
-    data = _assemble(train.withColumn("_val", F.lit(False)), features)
-    if early_stopping and val is not None:
-        data = data.unionByName(_assemble(val.withColumn("_val", F.lit(True)), features))
+    data = _assemble(train, features)
+    held = _assemble(val, features) if early_stopping and val is not None else None
+
     def fit_step(h):
         params = dict(BOOSTER, stepSize=float(learning_rate), maxIter=int(n_trees), seed=int(seed),
                       labelCol=f"{target}_step_{h}", featuresCol="features", predictionCol="prediction")
-        if early_stopping and val is not None:
-            params.update(validationIndicatorCol="_val", validationTol=VALIDATION_TOL)
+        status = "ok"
         try:
-            return GBTRegressor(**params).fit(data), "ok"
-        except Exception as exc:  # noqa: BLE001 - the retry is the documented behaviour
+            model = GBTRegressor(**params).fit(data)
+        except FIT_ERRORS as exc:
             params.update(FALLBACK)
-            return GBTRegressor(**params).fit(data), f"fallback: {type(exc).__name__}"
+            model, status = GBTRegressor(**params).fit(data), f"fallback: {type(exc).__name__}"
+        if held is not None:
+            rounds = best_round(model.evaluateEachIteration(held, "squared"))
+            if rounds < model.getNumTrees:  # the first trees of a seeded fit are the same in a shorter one
+                model = GBTRegressor(**dict(params, maxIter=rounds)).fit(data)
+        return model, status
 
     # the step models are independent: submit their Spark jobs concurrently
-    with ThreadPoolExecutor(max_workers=steps) as pool:
+    with ThreadPoolExecutor(max_workers=min(steps, MAX_FITS)) as pool:
         fitted = list(pool.map(fit_step, range(1, steps + 1)))
     return {"models": [m for m, _ in fitted], "status": [st for _, st in fitted]}
 
 
+def best_round(losses, patience: int = PATIENCE) -> int:
+    """Number of rounds up to the smallest loss, looking at most ``patience`` rounds past it (R2)."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
 def predict_multistep(models, df: DataFrame, features, keys=("series_id", "t"), extra=()) -> DataFrame:
     """Long predictions (keys, extra, step, y_pred) of every step model."""
     base = _assemble(df, features)
@@ -85,8 +105,8 @@ def evaluate_splits(models, feats: DataFrame, series: DataFrame, features, steps
     return me.performance_summary(m, keys=(), weights=weights)
 
 
-def feature_importance(models, features, top: int = 20) -> tuple:
-    """Per-step importances (sorted) and their mean across steps, top ``top``.
+def feature_importance(models, features) -> list:
+    """Every feature's importance per step.
 
     Importances are a property of the fitted models (a few numbers per
     feature), read on the driver."""
@@ -94,11 +114,12 @@ def feature_importance(models, features, top: int = 20) -> tuple:
     for h, model in enumerate(models, start=1):
         imp = model.featureImportances.toArray().tolist()
         rows += [(f, float(v), h) for f, v in zip(features, imp)]
-    return rows, top
+    return rows
 
 
-def importance_frame(spark, models, features, top: int = 20) -> DataFrame:
-    rows, top = feature_importance(models, features, top)
+def importance_frame(spark, models, features) -> DataFrame:
+    """(feature, importance, step), sorted; the mean across steps has step NULL."""
+    rows = feature_importance(models, features)
     per_step = spark.createDataFrame(rows, "feature string, importance double, step long")
     mean = per_step.groupBy("feature").agg(F.avg("importance").alias("importance")).withColumn("step", F.lit(None).cast("long"))
     return per_step.unionByName(mean).orderBy(F.col("step").asc_nulls_last(), F.desc("importance"))
@@ -123,7 +144,7 @@ def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps
         w = me.weighted_f24(m, ["_all"]).first()["weighted_f24"]
         return (i, float(lr), int(nt), float(w))
 
-    with ThreadPoolExecutor(max_workers=parallelism or max(1, len(candidates))) as pool:
+    with ThreadPoolExecutor(max_workers=parallelism or MAX_FITS) as pool:
         results = list(pool.map(run, list(enumerate(candidates, start=1))))
     hist = spark.createDataFrame(results, "iteration long, learning_rate double, n_trees long, weighted_f24 double")
     return me.convergence_curve(hist.withColumn("_all", F.lit(1)), ["_all"], "iteration", "weighted_f24").join(
@@ -169,10 +190,10 @@ def stability_runs(train: DataFrame, test: DataFrame, fit_fn, predict_fn, seeds,
         return (run, int(seed), float(me.weighted_rmse(m, ["_all"], weights).first()["weighted_rmse"]))
 
     # independent refits: their jobs run concurrently
-    with ThreadPoolExecutor(max_workers=max(1, len(seeds))) as pool:
+    with ThreadPoolExecutor(max_workers=min(MAX_FITS, max(1, len(seeds)))) as pool:
         rows = list(pool.map(one, list(enumerate(seeds))))
     return spark.createDataFrame(rows, "run long, seed long, weighted_rmse double")
 
 
 __all__ = ["fit_boosted_multistep", "predict_multistep", "evaluate_splits", "feature_importance", "importance_frame",
-           "booster_search", "fit_sequence_regressor", "predict_sequence", "stability_runs", "vector_to_array"]
+           "best_round", "booster_search", "fit_sequence_regressor", "predict_sequence", "stability_runs", "vector_to_array"]
