@@ -68,10 +68,10 @@ def test_decomposition_reconstructs_and_is_partition_independent(spark):
     t = np.arange(300)
     x = np.sin(2 * np.pi * t / 10) + 0.5 * np.sin(2 * np.pi * t / 60) + 0.01 * t
     df = _series(spark, {"a": x})
-    out = dc.ensemble_decompose(df, trials=5, epsilon=0.2, max_modes=5).toPandas()
+    out = dc.ensemble_decompose(df, trials=5, epsilon=0.2).toPandas()
     w = out.pivot_table(index="t", columns="component", values="value")
     np.testing.assert_allclose(w.sum(axis=1).to_numpy(), x, atol=1e-9)
-    again = dc.ensemble_decompose(df.repartition(3), trials=5, epsilon=0.2, max_modes=5).toPandas()
+    again = dc.ensemble_decompose(df.repartition(3), trials=5, epsilon=0.2).toPandas()
     a = out.sort_values(["component", "t"])["value"].to_numpy()
     b = again.sort_values(["component", "t"])["value"].to_numpy()
     np.testing.assert_allclose(a, b)
@@ -180,3 +180,60 @@ def test_early_stopping_keeps_the_best_trees(spark):
     losses = whole["models"][0].evaluateEachIteration(data, "squared")
     assert fit["models"][0].getNumTrees == int(np.argmin(losses)) + 1
     assert fit["status"] == ["ok"]
+
+
+def dense_natural_spline(xk, yk, xs):
+    """Natural cubic spline by a dense solve for the second derivatives."""
+    n, h = len(xk), np.diff(xk)
+    a, b = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1:i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * ((yk[i + 1] - yk[i]) / h[i] - (yk[i] - yk[i - 1]) / h[i - 1])
+    m = np.linalg.solve(a, b)
+    j = np.clip(np.searchsorted(xk, xs, "right") - 1, 0, n - 2)
+    u = (xs - xk[j]) / h[j]
+    bend = ((1 - u) ** 3 - (1 - u)) * m[j] + (u ** 3 - u) * m[j + 1]
+    return (1 - u) * yk[j] + u * yk[j + 1] + h[j] ** 2 / 6 * bend
+
+
+def test_envelopes_are_natural_splines():
+    from tidemark.operators import emd
+
+    rng = np.random.default_rng(0)
+    x = np.cumsum(rng.normal(size=(6, 80)), axis=1) + rng.normal(size=(6, 80))
+    x[1, 10:20] = x[1, 10]  # a plateau
+    for marks in emd.turning_points(x):
+        got = emd.envelopes(x, marks)
+        for r in range(len(x)):
+            i = np.flatnonzero(marks[r])
+            xk = np.r_[0, i, 79].astype(float)
+            yk = np.r_[x[r, i[0]], x[r, i], x[r, i[-1]]]
+            np.testing.assert_allclose(got[r], dense_natural_spline(xk, yk, np.arange(80.0)), atol=1e-9)
+
+
+def test_decomposition_separates_two_tones(spark):
+    t = np.arange(600)
+    fast, slow = np.sin(2 * np.pi * t / 8), 0.7 * np.sin(2 * np.pi * t / 90 + 1)
+    out = dc.ensemble_decompose(_series(spark, {"a": fast + slow}), trials=16, epsilon=0.02).toPandas()
+    w = out[out.component != "residual"].pivot_table(index="t", columns="k", values="value").to_numpy()
+    inner = slice(60, 540)
+    for tone in (fast, slow):
+        assert max(np.corrcoef(w[inner, k], tone[inner])[0, 1] for k in range(w.shape[1])) > 0.95
+
+
+def test_decomposition_tasks_follow_the_trials(spark):
+    df = _series(spark, {"a": np.sin(np.arange(200) / 3.0)})
+    lengths = df.select(F.lit(1).cast("long").alias("seed"), F.lit(200).cast("long").alias("n")).distinct()
+    blocks = {r["first"]: r["count"] for r in dc._noise_table(lengths, 100).where("k = 0").collect()}
+    assert len(blocks) == 8 and sum(blocks.values()) == 100
+    long = df.select(F.lit(1).cast("long").alias("seed"), F.lit(dc.BLOCK_POINTS // 2).cast("long").alias("n")).distinct()
+    plan = dc._noise_table(long, 6)
+    assert plan.columns == ["seed", "n", "first", "k", "count", "w"]
+
+
+def test_long_series_is_decomposed(spark):
+    t = np.arange(30000)
+    x = np.sin(2 * np.pi * t / 50) + t / 10000
+    out = dc.ensemble_decompose(_series(spark, {"a": x}), trials=2, epsilon=0.02, max_modes=2)
+    back = out.groupBy("t").agg(F.sum("value").alias("v")).orderBy("t").toPandas()["v"].to_numpy()
+    np.testing.assert_allclose(back, x, atol=1e-9)

@@ -1,30 +1,32 @@
 """Ensemble decomposition as Spark jobs.
 
-Every (series, candidate) pair is one Arrow grouped-map task that receives
-the series and its noise realisations (a hash-seeded Laplace column, G1) and
-returns the long components table with a per-task status.  Candidates
-(epsilon, seed run, alpha ...) are rows, so all of them run in parallel.
-Series longer than ``tidemark.decompose.max_rows`` are reported with an
-error status instead of being forced through one task.
+Modes are found stage by stage for all (series, candidate) pairs together.  A
+stage's tasks are pairs times blocks of noise trials (hash-seeded Laplace
+noise, G1, whose own modes are a table made once per seed and length); their
+sums are added up by a shuffle into the next mode.  Candidates (epsilon, seed
+run, alpha ...) are rows.  A block holds a bounded number of points, so memory
+does not grow with the number of trials; a series is one row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import laplace_noise, laplace_noise_np
-from tidemark.operators.emd import ceemdan
-from tidemark.operators.indexing import series_length, key_schema
+from tidemark.operators.emd import emd_all, first_modes, n_extrema
+from tidemark.operators.indexing import key_schema, series_length
+from tidemark.session import cut_lineage
 
-MAX_ROWS_CONF = "tidemark.decompose.max_rows"
-DEFAULT_MAX_ROWS = 1 << 20
+BLOCK_POINTS = 1 << 19  # trials times points of one task
+MOST_STAGES = 500  # beyond this something is wrong: an error, not a result
 # fixed values of the decomposition
 DEFAULT_TRIALS = 100
 DEFAULT_EPSILON = 0.02
-FALLBACK_EPSILON = 0.4
 DEFAULT_SEED = 42
 RUN_SEED_STRIDE = 1000
 
@@ -40,74 +42,167 @@ def noise_column(seed: Column, trial: Column, t: Column) -> Column:
 
 
 def ensemble_decompose(series: DataFrame, candidates: DataFrame | None = None, trials: int = DEFAULT_TRIALS,
-                       epsilon: float = DEFAULT_EPSILON, seed: int = DEFAULT_SEED, max_modes: int = 8,
+                       epsilon: float = DEFAULT_EPSILON, seed: int = DEFAULT_SEED, max_modes: int | None = None,
                        keys=("series_id",), value: str = "y", t: str = "t", min_len: int = 4) -> DataFrame:
     """Complete-ensemble decomposition of every (series, candidate).
 
     ``candidates``: optional (keys..., cand_id, epsilon, seed) rows, e.g. an
     epsilon grid x seed runs per series; default one candidate per series.
+    Works on x / std(x).  Stage k takes the mean over the trials of the first
+    mode of r_k + epsilon std(r_k) E_k(w_i) as the next mode; it ends for a
+    candidate when its residue has fewer than 3 extrema (or at ``max_modes``).
     Output: (keys, cand_id, epsilon, seed, t, component, k, value, status,
     error_message) where components are IMF_1..IMF_K and ``residual``
     (signal minus the modes).  Failed tasks emit one row with NULL component.
     """
     keys = list(keys)
     spark = series.sparkSession
-    max_rows = int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
-    base = series.select(*keys, t, F.col(value).cast("double").alias("_y"))
+    base = series.select(*keys, F.col(t).cast("long").alias("_t"), F.col(value).cast("double").alias("_y"))
+    whole = base.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_t", "_y"))).alias("_s"))
     if candidates is None:
-        cands = base.select(*keys).distinct().select(
-            *keys, F.lit(0).cast("long").alias("cand_id"), F.lit(float(epsilon)).alias("epsilon"),
-            F.lit(int(seed)).cast("long").alias("seed"))
+        cands = whole.select(*keys, F.lit(0).cast("long").alias("cand_id"), F.lit(float(epsilon)).alias("epsilon"),
+                             F.lit(int(seed)).cast("long").alias("seed"))
     else:
         cands = candidates.select(*keys, F.col("cand_id").cast("long"), F.col("epsilon").cast("double"),
                                   F.col("seed").cast("long"))
-    n = series_length(base, keys, t, "_n")
-    rows = base.join(n, on=keys).join(cands, on=keys)
-    # one task per (series, candidate): spread them over every core explicitly
-    # (data-size based coalescing would pack these compute-heavy groups together)
-    # (range partitioning keeps whole keys together and balances them, where
-    # hashing a few keys into a few partitions can stack two tasks in one)
-    rows = rows.repartitionByRange(task_partitions(spark), *keys, "cand_id")
-    out_schema = ", ".join(key_schema(base, keys) + [
-        "cand_id long", "epsilon double", "seed long", "t long", "component string", "k long", "value double",
-        "status string", "error_message string"])
-
-    def per_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: pdf[k].iloc[0] for k in keys}
-        meta = {"cand_id": int(pdf["cand_id"].iloc[0]), "epsilon": float(pdf["epsilon"].iloc[0]),
-                "seed": int(pdf["seed"].iloc[0])}
-        n_rows = int(pdf["_n"].iloc[0])
-
-        def fail(msg):
-            return pd.DataFrame([{**head, **meta, "t": None, "component": None, "k": None, "value": None,
-                                  "status": "Error", "error_message": msg}])
-        if n_rows > max_rows:
-            return fail(f"series has {n_rows} rows, more than {max_rows} for one decomposition task")
-        if n_rows < min_len:
-            return fail(f"series has {n_rows} rows, fewer than {min_len}")
-        try:
-            xs = pdf.set_index(t)["_y"].sort_index()
-            if len(xs) != n_rows or xs.index[0] != 0:
-                return fail("series index is not contiguous from 0")
-            tt = xs.index.to_numpy(dtype=np.int64)
-            noise = laplace_noise_np(meta["seed"], np.arange(trials, dtype=np.int64)[:, None], tt[None, :])
-            modes, residue = ceemdan(xs.to_numpy(), noise, meta["epsilon"], max_modes,
-                                     noise_key=(meta["seed"], trials, n_rows, max_modes))
-        except Exception as exc:  # reported per task, the job goes on
-            return fail(f"{type(exc).__name__}: {exc}")
-        parts = []
-        for i, m in enumerate(modes, start=1):
-            parts.append(pd.DataFrame({"t": tt, "component": f"IMF_{i}", "k": i, "value": m}))
-        parts.append(pd.DataFrame({"t": tt, "component": "residual", "k": len(modes) + 1, "value": residue}))
-        out = pd.concat(parts, ignore_index=True)
-        for k, v in head.items():
-            out[k] = v
-        for k, v in meta.items():
-            out[k] = v
-        out["status"], out["error_message"] = "Success", None
-        return out[[*keys, "cand_id", "epsilon", "seed", "t", "component", "k", "value", "status", "error_message"]]
-
-    return rows.groupBy(*keys, "cand_id").applyInPandas(per_task, out_schema)
+    n = F.size("_s")
+    steady = (F.col("_s")[0]["_t"] == 0) & (F.col("_s")[n - 1]["_t"] == n - 1) & F.forall("_s", lambda p: p["_y"].isNotNull())
+    why = F.when(n < min_len, F.format_string(f"series has %d rows, fewer than {min_len}", n)).when(
+        ~steady, F.lit("series index is not contiguous from 0, or a value is NULL"))
+    head = key_schema(base, keys)
+    rows = whole.withColumn("_why", why).join(cands, on=keys)
+    failed = rows.where(F.col("_why").isNotNull()).select(
+        *keys, "cand_id", "epsilon", "seed", F.lit(None).cast("long").alias("t"),
+        F.lit(None).cast("string").alias("component"), F.lit(None).cast("long").alias("k"),
+        F.lit(None).cast("double").alias("value"), F.lit("Error").alias("status"), F.col("_why").alias("error_message"))
+    ident = [*keys, "cand_id", "epsilon", "seed"]
+    state_schema = ", ".join([*head, "cand_id long, epsilon double, seed long, n long, scale double, r binary, "
+                                     "mode binary, going boolean"])
+
+    def begin(batches):
+        for pdf in batches:
+            out = []
+            for s in pdf["_s"]:
+                x = np.array([p["_y"] for p in s], dtype=float)
+                scale = float(np.std(x))
+                x = x / scale if scale > 0 else x
+                out.append((len(x), scale if scale > 0 else 1.0, x.tobytes(), None,
+                            scale > 0 and len(x) >= 4 and n_extrema(x) >= 3))
+            extra = pd.DataFrame(out, columns=["n", "scale", "r", "mode", "going"])
+            yield pd.concat([pdf[ident].reset_index(drop=True), extra], axis=1)
+
+    good = rows.where(F.col("_why").isNull()).select(*ident, "_s")
+    states = [cut_lineage(good.mapInPandas(begin, state_schema))]
+    noise = cut_lineage(_noise_table(states[0].where("going").select("seed", "n").distinct(), trials))
+    while states[-1].where("going").limit(1).count():
+        k = len(states) - 1
+        if k >= MOST_STAGES:
+            raise RuntimeError(f"no end after {k} modes")
+        states.append(_stage(states[-1].where("going"), noise.where(F.col("k") == k), ident, state_schema, trials,
+                             max_modes is not None and k + 1 >= max_modes))
+    out_schema = ", ".join([*head, "cand_id long, epsilon double, seed long, t long, component string, k long, "
+                                   "value double, status string, error_message string"])
+
+    def lay_out(what: str, name: str, number: int):
+        def run(batches):
+            for pdf in batches:
+                for _, row in pdf.iterrows():  # one row per series and candidate
+                    v = np.frombuffer(row[what], float) * row["scale"]
+                    part = pd.DataFrame({"t": np.arange(len(v)), "component": name, "k": number, "value": v})
+                    for c in ident:
+                        part[c] = row[c]
+                    yield part.assign(status="Success", error_message=None)[
+                        [*ident, "t", "component", "k", "value", "status", "error_message"]]
+        return run
+
+    parts = [failed]
+    for k, state in enumerate(states):
+        if k:
+            parts.append(state.mapInPandas(lay_out("mode", f"IMF_{k}", k), out_schema))
+        parts.append(state.where(~F.col("going")).mapInPandas(lay_out("r", "residual", k + 1), out_schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _noise_table(lengths: DataFrame, trials: int) -> DataFrame:
+    """(seed, n, block, k, count, w): the k-th noise terms of a block of trials, as
+    [count, n] doubles; once per (seed, length), shared by all series and candidates.
+    Term 0 is the noise over its deviation, the others its modes over the first one's."""
+    spark = lengths.sparkSession
+    sizes = F.greatest(F.lit(1), F.least(F.lit(-(-trials // 8)), F.floor(F.lit(BLOCK_POINTS) / F.col("n")))).cast("int")
+    blocks = lengths.withColumn("size", sizes).withColumn(
+        "first", F.explode(F.sequence(F.lit(0), F.lit(trials - 1), F.col("size"))))
+    blocks = blocks.withColumn("count", F.least(F.col("size"), F.lit(trials) - F.col("first"))).drop("size")
+
+    def run(batches):
+        for pdf in batches:
+            for seed, n, first, count in pdf[["seed", "n", "first", "count"]].itertuples(index=False):
+                trial = np.arange(first, first + count, dtype=np.int64)[:, None]
+                w = laplace_noise_np(int(seed), trial, np.arange(n, dtype=np.int64)[None, :])
+                deviation = np.std(w, axis=1, keepdims=True)
+                terms = [w / np.where(deviation > 0, deviation, 1)]
+                modes = emd_all(w)
+                if modes:
+                    size = np.std(modes[0], axis=1, keepdims=True)
+                    terms += [m / np.where(size > 0, size, 1) for m in modes[1:]]
+                yield pd.DataFrame([(seed, n, first, k, count, t.tobytes()) for k, t in enumerate(terms)],
+                                   columns=["seed", "n", "first", "k", "count", "w"])
+
+    return blocks.repartition(task_partitions(spark), "seed", "n", "first").mapInPandas(
+        run, "seed long, n long, first int, k int, count int, w binary")
+
+
+def _stage(state: DataFrame, noise: DataFrame, ident: list[str], schema: str, trials: int, last: bool) -> DataFrame:
+    """The next mode and residue of every candidate that goes on.
+
+    A task has one candidate and one block of trials; blocks without a noise
+    term of this number (all their trials have fewer modes) add the plain
+    residue's first mode for each of their trials."""
+    spark = state.sparkSession
+    cand = [c for c in ident if c not in ("epsilon", "seed")]
+    blocks = noise.select("seed", "n", "first", "count", "w")
+    plain = state.select(*cand, "seed", "n", F.lit(-1).alias("first"), F.lit(trials).alias("count"),
+                         F.lit(None).cast("binary").alias("w"), "epsilon", "r")
+    work = state.select(*cand, "seed", "n", "epsilon", "r").join(blocks, on=["seed", "n"])
+    work = work.unionByName(plain).repartition(task_partitions(spark), *cand, "first")
+    head = ", ".join(key_schema(state, cand))
+
+    def sift(batches):
+        for pdf in batches:
+            out = []
+            for r, w, eps, count, first in pdf[["r", "w", "epsilon", "count", "first"]].itertuples(index=False):
+                r = np.frombuffer(r, float)
+                if first < 0:
+                    total = first_modes(r[None, :])[0]
+                else:
+                    noisy = r[None, :] + eps * np.std(r) * np.frombuffer(w, float).reshape(count, -1)
+                    total = first_modes(noisy).sum(0)
+                out.append((first, count, total.tobytes()))
+            extra = pd.DataFrame(out, columns=["first", "count", "total"])
+            yield pd.concat([pdf[cand].reset_index(drop=True), extra], axis=1)
+
+    sums = work.mapInPandas(sift, f"{head}, first int, count int, total binary").groupBy(*cand).agg(
+        F.array_sort(F.collect_list(F.struct("first", "count", "total"))).alias("_sums"))
+
+    def finish(batches):
+        for pdf in batches:
+            r_new, modes, going = [], [], []
+            for r, sums in zip(pdf["r"], pdf["_sums"]):
+                r = np.frombuffer(r, float)
+                parts = {s["first"]: (s["count"], np.frombuffer(s["total"], float)) for s in sums}
+                alone = parts.pop(-1)[1]
+                noisy = sum(c for c, _ in parts.values())
+                total = alone * (trials - noisy)
+                for first in sorted(parts):
+                    total = total + parts[first][1]
+                mode = total / trials
+                rest = r - mode
+                modes.append(mode.tobytes())
+                r_new.append(rest.tobytes())
+                going.append(bool(not last and n_extrema(rest) >= 3 and np.abs(mode).max() > 0))
+            out = pdf[[*ident, "n", "scale"]].reset_index(drop=True)
+            yield out.assign(r=r_new, mode=modes, going=going)
+
+    return cut_lineage(state.select(*ident, "n", "scale", "r").join(sums, on=cand).mapInPandas(finish, schema))
 
 
 def components_of(decomp: DataFrame, keys=("series_id",)) -> DataFrame:
@@ -136,7 +231,7 @@ def batch_status(decomp: DataFrame, series: DataFrame, keys=("series_id",), t: s
 
 
 def trend_decompose(series: DataFrame, alpha, epsilon: float = DEFAULT_EPSILON, trials: int = DEFAULT_TRIALS,
-                    seed: int = DEFAULT_SEED, max_modes: int = 8, keys=("series_id",), t: str = "t") -> DataFrame:
+                    seed: int = DEFAULT_SEED, max_modes: int | None = None, keys=("series_id",), t: str = "t") -> DataFrame:
     """Zero-phase smoothed trend, then ensemble decomposition of the rest.
 
     Long output: ``trend``, ``smoothing_residual`` and the decomposition of the

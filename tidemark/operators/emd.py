@@ -1,156 +1,116 @@
-"""Empirical mode decomposition kernel (NumPy only), used inside Arrow UDFs.
+"""Empirical mode decomposition kernel (NumPy), for many signals of one length at once.
 
-Small per-series helper: extrema, natural cubic-spline envelopes (tridiagonal
-solve), sifting, and the complete-ensemble scheme of Torres et al. (2011).
+Extrema, natural cubic-spline envelopes and sifting work on [signals, points]
+arrays; the only loops are over knots (the tridiagonal solve, all signals side
+by side) and over sifting rounds.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 
-MAX_SIFT = 10
+MAX_SIFT = 50  # the SD rule ends sifting long before
 SD_STOP = 0.2
 
 
-def extrema(x: np.ndarray):
-    d = np.diff(x)
-    s = np.sign(d)
-    # carry the previous slope through flat steps so plateaus count once
-    for i in range(1, len(s)):
-        if s[i] == 0:
-            s[i] = s[i - 1]
-    turn = np.diff(s)
-    maxima = np.where(turn < 0)[0] + 1
-    minima = np.where(turn > 0)[0] + 1
+def turning_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the maxima and minima of each row; a plateau counts once, at its end."""
+    slope = np.sign(np.diff(x, axis=1))
+    last = np.maximum.accumulate(np.where(slope != 0, np.arange(slope.shape[1]), 0), axis=1)
+    slope = np.take_along_axis(slope, last, axis=1)  # flat steps keep the slope before them
+    turn = np.diff(slope, axis=1)
+    maxima, minima = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    maxima[:, 1:-1], minima[:, 1:-1] = turn < 0, turn > 0
     return maxima, minima
 
 
-def natural_spline(xk: np.ndarray, yk: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Natural cubic spline through (xk, yk) evaluated at xs (Thomas algorithm)."""
-    n = len(xk)
-    if n == 1:
-        return np.full(len(xs), yk[0], dtype=float)
-    if n == 2:
-        return np.interp(xs, xk, yk)
-    h = np.diff(xk).astype(float)
-    rhs = 6 * (np.diff(yk[1:]) / h[1:] - np.diff(yk[:-1]) / h[:-1])
-    a, b, c = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
-    m = len(rhs)
-    cp, dp = np.zeros(m), np.zeros(m)
-    cp[0], dp[0] = c[0] / b[0], rhs[0] / b[0]
-    for i in range(1, m):
-        den = b[i] - a[i] * cp[i - 1]
-        cp[i] = c[i] / den
-        dp[i] = (rhs[i] - a[i] * dp[i - 1]) / den
-    mm = np.zeros(m)
-    mm[-1] = dp[-1]
-    for i in range(m - 2, -1, -1):
-        mm[i] = dp[i] - cp[i] * mm[i + 1]
-    M = np.concatenate([[0.0], mm, [0.0]])
-    j = np.clip(np.searchsorted(xk, xs, side="right") - 1, 0, n - 2)
-    hj = h[j]
-    t1, t0 = xk[j + 1] - xs, xs - xk[j]
-    return (M[j] * t1 ** 3 + M[j + 1] * t0 ** 3) / (6 * hj) + (yk[j] / hj - M[j] * hj / 6) * t1 + \
-        (yk[j + 1] / hj - M[j + 1] * hj / 6) * t0
-
-
-def _envelope(x: np.ndarray, idx: np.ndarray) -> np.ndarray:
-    n = len(x)
-    # end points take the value of the nearest extremum (flat ends)
-    knots = np.concatenate([[0], idx, [n - 1]])
-    vals = np.concatenate([[x[idx[0]]], x[idx], [x[idx[-1]]]])
-    knots, keep = np.unique(knots, return_index=True)
-    return natural_spline(knots.astype(float), vals[keep], np.arange(n, dtype=float))
-
-
 def n_extrema(x: np.ndarray) -> int:
-    mx, mn = extrema(x)
-    return len(mx) + len(mn)
-
-
-def first_mode(x: np.ndarray, max_sift: int = MAX_SIFT) -> np.ndarray:
-    """First intrinsic mode by sifting (Cauchy-type SD stop, capped)."""
-    h = x.astype(float).copy()
+    """Number of extrema of one signal."""
+    maxima, minima = turning_points(np.atleast_2d(x))
+    return int(maxima.sum() + minima.sum())
+
+
+def envelopes(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Natural cubic spline of each row through its marked points (at least one);
+    both end points take the value of the nearest mark."""
+    m, n = x.shape
+    rows = np.arange(m)
+    first, last = marks.argmax(1), n - 1 - marks[:, ::-1].argmax(1)
+    values = x.copy()
+    values[:, 0], values[:, -1] = x[rows, first], x[rows, last]
+    knots = marks.copy()
+    knots[:, [0, -1]] = True
+    count = knots.sum(1)
+    width = int(count.max())
+    r, c = np.nonzero(knots)
+    k = (np.cumsum(knots, axis=1) - 1)[r, c]
+    xk = np.full((m, width), 0.0)
+    yk = np.zeros((m, width))
+    xk[r, k], yk[r, k] = c, values[r, c]
+    pad = np.arange(width)[None, :] >= count[:, None]
+    h = np.where(pad[:, 1:], 1.0, xk[:, 1:] - np.where(pad[:, :-1], 0, xk[:, :-1]))
+    slope = np.where(pad[:, 1:], 0.0, np.diff(yk, axis=1) / h)
+    bend = np.zeros((m, width))  # second derivatives; zero at both ends
+    inner = width - 2
+    if inner > 0:
+        live = ~pad[:, 2:]
+        # knots outermost: each step of the solve reads one contiguous row
+        low = np.where(live, h[:, :-1], 0.0).T.copy()
+        high = np.where(live, h[:, 1:], 0.0).T.copy()
+        diagonal = np.where(live, 2 * (h[:, :-1] + h[:, 1:]), 1.0).T.copy()
+        right = np.where(live, 6 * (slope[:, 1:] - slope[:, :-1]), 0.0).T.copy()
+        for j in range(1, inner):
+            f = low[j] / diagonal[j - 1]
+            diagonal[j] -= f * high[j - 1]
+            right[j] -= f * right[j - 1]
+        right[-1] /= diagonal[-1]
+        for j in range(inner - 2, -1, -1):
+            right[j] = (right[j] - high[j] * right[j + 1]) / diagonal[j]
+        bend[:, 1:-1] = right.T
+        bend[pad] = 0.0
+        bend[rows, count - 1] = 0.0
+    piece = np.minimum(np.cumsum(knots, axis=1) - 1, (count - 2)[:, None])
+    flat = piece + (rows * width)[:, None]
+    hj = h.ravel()[piece + (rows * (width - 1))[:, None]]
+    b0, b1 = bend.ravel()[flat], bend.ravel()[flat + 1]
+    y0, y1 = yk.ravel()[flat], yk.ravel()[flat + 1]
+    t0 = np.arange(n)[None, :] - xk.ravel()[flat]
+    t1 = hj - t0
+    return (b0 * t1 ** 3 + b1 * t0 ** 3) / (6 * hj) + (y0 / hj - b0 * hj / 6) * t1 + (y1 / hj - b1 * hj / 6) * t0
+
+
+def first_modes(x: np.ndarray, max_sift: int = MAX_SIFT) -> np.ndarray:
+    """First intrinsic mode of every row by sifting (Cauchy-type SD stop)."""
+    h = np.array(x, dtype=float)
+    going = np.arange(len(h))
     for _ in range(max_sift):
-        mx, mn = extrema(h)
-        if len(mx) < 2 or len(mn) < 2:
-            break
-        mean = (_envelope(h, mx) + _envelope(h, mn)) / 2
-        new = h - mean
-        sd = np.sum((h - new) ** 2) / max(np.sum(h ** 2), 1e-300)
-        h = new
-        if sd < SD_STOP:
+        maxima, minima = turning_points(h[going])
+        enough = (maxima.sum(1) >= 2) & (minima.sum(1) >= 2)
+        going, maxima, minima = going[enough], maxima[enough], minima[enough]
+        if not len(going):
             break
+        now = h[going]
+        both = envelopes(np.concatenate([now, now]), np.concatenate([maxima, minima]))
+        mean = (both[:len(now)] + both[len(now):]) / 2
+        h[going] = now - mean
+        change = (mean ** 2).sum(1) / np.maximum((now ** 2).sum(1), 1e-300)
+        going = going[change >= SD_STOP]
     return h
 
 
-def emd(x: np.ndarray, max_modes: int) -> list[np.ndarray]:
-    """Plain EMD: up to max_modes modes, stops when the residue has < 3 extrema."""
-    modes, r = [], x.astype(float).copy()
-    for _ in range(max_modes):
-        if n_extrema(r) < 3:
-            break
-        m = first_mode(r)
-        modes.append(m)
-        r = r - m
-    return modes
-
-
-_NOISE_CACHE: "OrderedDict[tuple, tuple]" = OrderedDict()
-NOISE_CACHE_SIZE = 8
-
-
-def noise_modes(noise: np.ndarray, max_modes: int, key=None):
-    """EMD modes of every noise realisation (and the norms of their first
-    modes).  They depend only on (seed, trials, length, max_modes), so a Python
-    worker that runs several tasks of one search keeps the last few in memory."""
-    if key is not None and key in _NOISE_CACHE:
-        _NOISE_CACHE.move_to_end(key)
-        return _NOISE_CACHE[key]
-    modes = [emd(noise[i], max_modes) for i in range(noise.shape[0])]
-    norms = [float(np.std(nm[0])) if nm and np.std(nm[0]) > 0 else 1.0 for nm in modes]
-    out = (modes, norms)
-    if key is not None:
-        _NOISE_CACHE[key] = out
-        while len(_NOISE_CACHE) > NOISE_CACHE_SIZE:
-            _NOISE_CACHE.popitem(last=False)
-    return out
-
-
-def ceemdan(x: np.ndarray, noise: np.ndarray, epsilon: float, max_modes: int, noise_key=None):
-    """Complete ensemble EMD with adaptive noise.
-
-    noise: (trials, n) white-noise realisations.  Works on x / std(x) and
-    scales back.  mode_1 = mean_i E1(x + eps std(x) w_i); afterwards
-    mode_{k+1} = mean_i E1(r_k + eps std(r_k) E_k(w_i) / std(E_1(w_i))).
-    Returns (modes list, residue).  sum(modes) + residue == x exactly.
-    """
-    x = np.asarray(x, dtype=float)
-    scale = float(np.std(x))
-    if scale == 0 or len(x) < 4:
-        return [], x.copy()
-    xs = x / scale
-    trials = noise.shape[0]
-    nmodes, norms = noise_modes(noise, max_modes, noise_key)
-    modes = []
-    r = xs.copy()
-    for k in range(max_modes):
-        if n_extrema(r) < 3:
+def emd_all(x: np.ndarray, max_modes: int | None = None) -> list[np.ndarray]:
+    """Plain EMD of every row: one [rows, points] array per mode; a row whose
+    residue has fewer than 3 extrema is done, its later modes are zero."""
+    modes, rest = [], np.array(x, dtype=float)
+    alive = np.ones(len(rest), bool)
+    while max_modes is None or len(modes) < max_modes:
+        maxima, minima = turning_points(rest)
+        alive &= maxima.sum(1) + minima.sum(1) >= 3
+        if not alive.any():
             break
-        beta = epsilon * float(np.std(r))
-        acc = np.zeros_like(r)
-        for i in range(trials):
-            if k == 0:
-                term = noise[i] / (np.std(noise[i]) or 1.0)
-            else:
-                nm = nmodes[i]
-                term = nm[k] / norms[i] if k < len(nm) else np.zeros_like(r)
-            acc += first_mode(r + beta * term)
-        mode = acc / trials
+        mode = np.zeros_like(rest)
+        mode[alive] = first_modes(rest[alive])
+        alive &= np.abs(mode).max(1) > 0
         modes.append(mode)
-        r = r - mode
-    modes = [m * scale for m in modes]
-    residue = x - np.sum(modes, axis=0) if modes else x.copy()
-    return modes, residue
+        rest = rest - mode
+    return modes

@@ -34,7 +34,9 @@ class Entry:
     doubles: list = field(default_factory=list)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return q.fix_doubles(self.fn(spark, sf_dir))
+        """The query's rows; where a statement is compared, the computed sums it
+        names (``doubles``) are rounded alike on both sides, nothing else is."""
+        return q.fix_doubles(self.fn(spark, sf_dir), self.doubles if self.sql is not None else [])
 
     def oracle(self) -> str | None:
         return None if self.sql is None else q.wrap(self.sql, self.doubles)
@@ -613,7 +615,7 @@ def data_info_q(spark, sf):
 # ---------------------------------------------------------------- decomposition quality
 from tidemark.operators import quality as qa  # noqa: E402
 
-C = q.with_(G, q.COMPONENTS, """
+QUALITY = """
 pt AS (SELECT series_id, t, sum(value) AS c_sum,
               sum(CASE WHEN component <> 'residual' THEN value * value ELSE 0 END) AS m_sq,
               sum(CASE WHEN component = 'residual' THEN value * value ELSE 0 END) AS r_sq
@@ -649,7 +651,11 @@ ac AS (SELECT series_id, component, CASE WHEN count(*) > 10 THEN coalesce(abs(co
 mq AS (SELECT series_id, avg(variance_stability + 1 - lag1_autocorr) AS mode_quality FROM vs JOIN ac USING (series_id, component)
        GROUP BY series_id),
 pq AS (SELECT sx.*, 0.4 * mse / CASE WHEN var_x > 0 THEN var_x ELSE 1e-8 END + 0.3 * coalesce(mode_quality, 0.0)
-              + 0.2 * cpx + 0.1 * energy_gap AS predictive_quality FROM sx LEFT JOIN mq USING (series_id))""")
+              + 0.2 * cpx + 0.1 * energy_gap AS predictive_quality FROM sx LEFT JOIN mq USING (series_id))"""
+C = q.with_(G, q.COMPONENTS, QUALITY)
+# components that do not add up to the series: without the residual
+LOSSY = q.with_(G, q.COMPONENTS, "lossy AS (SELECT * FROM events_components WHERE component <> 'residual')",
+                QUALITY.replace("events_components", "lossy"))
 
 
 def _comp(spark, sf):
@@ -657,6 +663,11 @@ def _comp(spark, sf):
     return fx.rolling_bands(g), g
 
 
+def _lossy(spark, sf):
+    comps, g = _comp(spark, sf)
+    return comps.where(F.col("component") != "residual"), g
+
+
 @register("components_wide", q.with_(G, q.COMPONENTS, WIDE) + "SELECT series_id, t, IMF_1, IMF_2, residual FROM wide",
           ["IMF_1", "IMF_2", "residual"])
 def components_wide_q(spark, sf):
@@ -672,9 +683,9 @@ def row_sum_target_q(spark, sf):
     return row_sum_target(w, ["IMF_1", "IMF_2", "residual"], "sum").select("series_id", "t", "sum")
 
 
-@register("reconstruction_error", C + "SELECT series_id, mse AS reconstruction_mse FROM sx", ["reconstruction_mse"])
+@register("reconstruction_error", LOSSY + "SELECT series_id, mse AS reconstruction_mse FROM sx", ["reconstruction_mse"])
 def reconstruction_error_q(spark, sf):
-    return qa.reconstruction_error(*_comp(spark, sf))
+    return qa.reconstruction_error(*_lossy(spark, sf))
 
 
 @register("orthogonality_index", C + "SELECT series_id, oi AS orthogonality_index FROM sx", ["orthogonality_index"])
@@ -691,14 +702,14 @@ def energy_distribution_q(spark, sf):
     return qa.energy_distribution(*_comp(spark, sf))
 
 
-@register("rrmse_power", C + "SELECT series_id, rrmse_power FROM sx", ["rrmse_power"])
+@register("rrmse_power", LOSSY + "SELECT series_id, rrmse_power FROM sx", ["rrmse_power"])
 def rrmse_power_q(spark, sf):
-    return qa.rrmse(*_comp(spark, sf), by="power")
+    return qa.rrmse(*_lossy(spark, sf), by="power")
 
 
-@register("rrmse_std", C + "SELECT series_id, rrmse_std FROM sx", ["rrmse_std"])
+@register("rrmse_std", LOSSY + "SELECT series_id, rrmse_std FROM sx", ["rrmse_std"])
 def rrmse_std_q(spark, sf):
-    return qa.rrmse(*_comp(spark, sf), by="std")
+    return qa.rrmse(*_lossy(spark, sf), by="std")
 
 
 @register("variance_stability", C + "SELECT series_id, component, variance_stability FROM vs", ["variance_stability"])
@@ -727,6 +738,12 @@ def predictive_quality_q(spark, sf):
     return qa.predictive_quality(*_comp(spark, sf))
 
 
+@register("predictive_quality_lossy", LOSSY + "SELECT series_id, predictive_quality FROM pq", ["predictive_quality"])
+def predictive_quality_lossy_q(spark, sf):
+    """Components that miss the residual: the error term counts."""
+    return qa.predictive_quality(*_lossy(spark, sf))
+
+
 @register("quality_report", C + """
 , rep AS (SELECT series_id, [
     {'i': 1, 'm': 'Number of IMFs', 'v': CAST(K AS VARCHAR)},
@@ -780,6 +797,13 @@ def balanced_score_q(spark, sf):
     return qa.balanced_score(*_comp(spark, sf))
 
 
+@register("balanced_score_lossy", LOSSY + "SELECT series_id, 0.2 * oi + 0.5 * rrmse_power * 100 + 0.3 * abs(K - 6) / 6.0 AS balanced_score FROM sx",
+          ["balanced_score"])
+def balanced_score_lossy_q(spark, sf):
+    """Components that miss the residual: the error term counts."""
+    return qa.balanced_score(*_lossy(spark, sf))
+
+
 # ---------------------------------------------------------------- search rules
 from tidemark.operators import search as se  # noqa: E402
 
@@ -839,7 +863,7 @@ SELECT series_id, ref_alpha, fine_alpha, (ref_sse - fine_sse) / ref_sse AS gain,
 FROM coarse JOIN fine USING (series_id)""", ["ref_alpha", "fine_alpha", "gain", "chosen_p1", "chosen_p2"])
 def improvement_gate_q(spark, sf):
     """Refined (all 20 alphas) vs reference (every fifth) best: keep the refined value only on enough gain."""
-    sse = _alpha_sse(spark, sf).cache()
+    sse = _alpha_sse(spark, sf)
     coarse = se.best_by(sse.where(F.col("alpha_idx").isin(0, 5, 10, 15, 19)), ["series_id"], "alpha", "sse", "ref")
     fine = se.best_by(sse, ["series_id"], "alpha", "sse", "fine")
     j = coarse.join(fine, on="series_id")
@@ -913,9 +937,9 @@ SEARCH_TRIALS = 20
 
 @register("laplace_noise")
 def laplace_noise_q(spark, sf):
-    """Noise of trial 0..3 for every grid row, with its running moments per series and trial."""
+    """Noise of every trial for every grid row, with its running moments per series and trial."""
     g = fx.events_grid(spark, sf).select("series_id", "t")
-    rows = g.select("series_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("trial"))
+    rows = g.select("series_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dc.DEFAULT_TRIALS - 1).cast("long"))).alias("trial"))
     rows = rows.withColumn("w", dc.noise_column(F.lit(dc.DEFAULT_SEED), F.col("trial"), F.col("t")))
     return rows.groupBy("series_id", "trial").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"),
                                                  F.stddev_pop("w").alias("std"), F.min("w").alias("min"), F.max("w").alias("max"))
@@ -931,24 +955,24 @@ def ensemble_decompose_q(spark, sf):
 @register("decomposition_residual")
 def decomposition_residual_q(spark, sf):
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
-    return dc.decomposition_residual(dc.ensemble_decompose(g, trials=SEARCH_TRIALS, epsilon=DECOMP_EPSILON), g)
+    return dc.decomposition_residual(dc.ensemble_decompose(g, epsilon=DECOMP_EPSILON), g)
 
 
 @register("trend_decompose")
 def trend_decompose_q(spark, sf):
     """Zero-phase trend (alpha 0.3) plus decomposition of the smoothing residual."""
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
-    return dc.trend_decompose(g, ALPHA, epsilon=DECOMP_EPSILON, trials=SEARCH_TRIALS)
+    return dc.trend_decompose(g, ALPHA, epsilon=DECOMP_EPSILON)
 
 
 @register("batch_status")
 def batch_status_q(spark, sf):
-    """Per series status of the decomposition of the raw (gapped) daily order series
-    and of the 15-minute grid; too-short series are reported, not dropped."""
+    """Per series status of the decomposition of the daily order series and of
+    the 15-minute grid; series with fewer than 100 rows would be reported, not dropped."""
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
     o = fx.orders_daily(spark, sf).select(F.concat(F.lit("orders/"), F.col("series_id")).alias("series_id"), "t", "y")
     allx = g.unionByName(o)
-    return dc.batch_status(dc.ensemble_decompose(allx, trials=SEARCH_TRIALS, epsilon=DECOMP_EPSILON, min_len=2500), allx)
+    return dc.batch_status(dc.ensemble_decompose(allx, epsilon=DECOMP_EPSILON, min_len=100), allx)
 
 
 @register("epsilon_grid_search")
@@ -1008,12 +1032,12 @@ def evaluate_splits_q(spark, sf):
 
 @register("feature_importance")
 def feature_importance_q(spark, sf):
-    """Per-step importances and their mean (step NULL), sorted; the top 20 of each kept."""
+    """Every feature's importance per step and their mean (step NULL), ranked."""
     out = pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)
     from pyspark.sql import Window
     imp = mo.importance_frame(spark, out["models"], out["features"])
     w = Window.partitionBy("step").orderBy(F.desc("importance"), "feature")
-    return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)
+    return imp.withColumn("rank", F.row_number().over(w))
 
 
 @register("booster_search")

@@ -29,10 +29,10 @@ def fix_col(c: Column) -> Column:
             .otherwise(rounded) + F.lit(0.0))
 
 
-def fix_doubles(df: DataFrame) -> DataFrame:
+def fix_doubles(df: DataFrame, names) -> DataFrame:
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name in names and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(fix_col(F.col(f.name).cast("double")).alias(f.name))
         else:
             cols.append(F.col(f.name))
