@@ -86,3 +86,8 @@ def test_booster_beats_persistence_on_seasonal_ar(spark):
     naive_rmse = me.forecast_metrics(naive, ["step"]).orderBy("step").collect()
     for m, b in zip(model_rmse, naive_rmse):
         assert m.rmse < b.rmse
+
+
+def test_feature_subset_keeps_base_features():
+    names = ["y", "slot_in_day", "y_lag_1", "y_lag_2", "y_lag_8", "y_diff_1"]
+    assert pl.feature_subset(names, [1, 8]) == ["y", "slot_in_day", "y_lag_1", "y_lag_8", "y_diff_1"]

@@ -80,10 +80,29 @@ def booster_features(series: DataFrame, flags: DataFrame | None = None, seas=Non
     return sp.temporal_split(table), features
 
 
+def feature_subset(features, lags, value: str = "y") -> list[str]:
+    """The features without the lags that were not chosen."""
+    chosen = {f"{value}_lag_{k}" for k in lags}
+    return [f for f in features if not f.startswith(f"{value}_lag_") or f in chosen]
+
+
+def pooled_lags(train: DataFrame, val: DataFrame, steps: int = 3) -> list[int]:
+    """The lag set with the smallest mean weighted F24 over the series: one model
+    serves all of them (H7)."""
+    scores = se.lag_subset_search(train, val, steps=steps, target=BOOSTER_TARGET)
+    best = scores.groupBy("cand_id", "lags").agg(F.avg("weighted_f24").alias("score")).orderBy(
+        F.asc_nulls_last("score"), "cand_id").first()
+    return [int(k) for k in best["lags"].split(",")]
+
+
 def trend_forecast(series: DataFrame, learning_rate: float = 0.1, n_trees: int = 50, seed: int = 42,
-                   use_transform: bool = True, steps: int = 3) -> dict:
-    """L3: features -> per-series transform choice -> targets -> split -> per-step
-    boosters -> metrics in both domains -> importances."""
+                   use_transform: bool = True, steps: int = 3, lag_search: bool = True, candidates=None,
+                   early_stopping: bool = True) -> dict:
+    """L3: features -> per-series transform choice -> targets -> split -> lag set
+    search -> booster search over ``candidates`` ((learning rate, trees) pairs,
+    none: the given values) -> per-step boosters that stop on the validation
+    rows -> metrics in both domains, with the weighted F24 of each split.
+    """
     from tidemark.session import cut_lineage
 
     flags = cut_lineage(bt.choose_transform(series)) if use_transform else None
@@ -93,10 +112,19 @@ def trend_forecast(series: DataFrame, learning_rate: float = 0.1, n_trees: int =
     table = cut_lineage(table)
     train = table.where(F.col("split") == "train")
     val = table.where(F.col("split") == "val")
-    fit = mo.fit_boosted_multistep(train, features, steps, BOOSTER_TARGET, learning_rate, n_trees, seed, val=val)
+    lags = pooled_lags(train, val, steps) if lag_search else None
+    if lags is not None:
+        features = feature_subset(features, lags)
+    history = None
+    if candidates:
+        history = mo.booster_search(train, val, features, candidates, steps, BOOSTER_TARGET, seed)
+        best = history.orderBy(F.asc_nulls_last("weighted_f24"), "iteration").first()
+        learning_rate, n_trees = best["learning_rate"], best["n_trees"]
+    fit = mo.fit_boosted_multistep(train, features, steps, BOOSTER_TARGET, learning_rate, n_trees, seed, val=val,
+                                   early_stopping=early_stopping)
     summary = mo.evaluate_splits(fit["models"], table, series.select("series_id", "t", "y"), features, steps,
                                  BOOSTER_TARGET, flags=flags, seas=seas, diff=diff)
-    return {"table": table, "features": features, "models": fit["models"], "status": fit["status"], "summary": summary,
+    return {"lags": lags, "history": history, "table": table, "features": features, "models": fit["models"], "status": fit["status"], "summary": summary,
             "flags": flags}
 
 
