@@ -6,11 +6,13 @@ labels of ``TREES`` tries of ``DEPTH`` values.  A trie is the sorted table of
 its labels, in which equal prefixes lie together.  Matched prefixes are
 shortened from the full depth until the expected share of partners at the
 threshold that some trie has met reaches the target recall; what shares a
-prefix of that length is compared by a bit sketch and by size, the rest are
-candidate pairs.  Candidates are then verified on their whole shingle sets.
+prefix of that length is compared by a bit sketch and by size.  What passes is
+a candidate; candidates are connected to groups by stars, never listed as
+pairs, and every group is verified on its members' whole shingle sets, by
+counts of common shingles.
 
-A prefix that very many classes share is dealt out to pairs of its slices, so
-that no task holds it whole and every two of its classes still meet.
+A prefix or a group that very many classes share is dealt out to pairs of its
+slices, so that no task holds it whole and every two of its classes still meet.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from tidemark.llm.components import components
 TREES, DEPTH = 16, 8
 RECALL = 0.9999  # expected share of partners at the threshold that the tries find
 SLICE = 2048  # classes of one prefix compared in one place
-SIGMAS = 6  # the sketch drops a partner at the threshold with the chance of as many deviations
+SIGMAS = 5  # the sketch drops a partner at the threshold with the chance of as many deviations
 
 _K = TREES * DEPTH
 _FACTORS = mix(np.arange(1, _K + 1, dtype=np.uint64)) | np.uint64(1)
@@ -131,86 +134,122 @@ def trie_rows(classes: DataFrame, depth: int) -> DataFrame:
         run, "tree int, prefix bigint, key binary, s0 bigint, s1 bigint, n bigint")
 
 
-def close_pairs(s: np.ndarray, n: np.ndarray, blk: np.ndarray, threshold: float, agree: int, cross: bool):
-    """Index pairs whose sketches and sizes allow the threshold, block by block."""
-    m = len(n)
-    for at in range(0, m, 512):
-        to = min(at + 512, m)
-        right = slice(at, m)
-        apart = np.bitwise_count(s[at:to, None, 0] ^ s[None, right, 0]).astype(np.int16)
-        apart += np.bitwise_count(s[at:to, None, 1] ^ s[None, right, 1])
-        ok = apart <= _K - agree
-        a, b = np.nonzero(ok)
-        a, b = a + at, b + at
-        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        good = (a < b) & (low >= threshold * high - 1e-9)
-        if cross:
-            good &= blk[a] != blk[b]
-        yield a[good], b[good]
-
+def dealt(rows: DataFrame, by: list[str], slice_size: int, name: str, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` (``counted``: a narrower table with the same groups) laid out so that those with equal ``by`` lie together, sorted.
 
-def candidate_pairs(rows: DataFrame, threshold: float, slice_size: int) -> DataFrame:
-    """Distinct (a, b), a < b, of keys that share a prefix and pass the sketch."""
-    spark = rows.sparkSession
-    agree = sketch_agreement(threshold)
-    common = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > slice_size)
-    common = written(common.select("tree", "prefix", F.ceil(F.col("c") / slice_size).cast("int").alias("cuts")), "common")
-    cut = rows.join(common, ["tree", "prefix"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    A group of more than ``slice_size`` rows is cut into slices by a hash of the
+    key, and dealt out as pairs of slices: ``part`` numbers the pair, ``blk`` is
+    a row's own slice, ``cuts`` the number of slices.  Any two rows of a group
+    meet in one part, and no part has more than two slices."""
+    large = (rows if counted is None else counted).groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > slice_size)
+    large = written(large.select(*by, F.ceil(F.col("c") / slice_size).cast("int").alias("cuts")), name)
+    cut = rows.join(large, by, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     cut = cut.withColumn("blk", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cut = cut.select("tree", "prefix", (F.least("blk", "other") * F.col("cuts") + F.greatest("blk", "other")).alias("part"),
-                     "cuts", "blk", "key", "s0", "s1", "n")
-    dealt = cut.repartition(partitions(spark), "tree", "prefix", "part").sortWithinPartitions("tree", "prefix", "part")
+    cut = cut.withColumn("part", F.least("blk", "other") * F.col("cuts") + F.greatest("blk", "other")).drop("other")
+    order = [*by, "part"]
+    return cut.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+
+
+def by_run(df: DataFrame, by: list[str], work, schema: str, rows_held: int) -> DataFrame:
+    """``work(run, cross)`` for every run of equal ``by`` and part, batches of runs at a time.
+
+    ``cross``: only rows of different ``blk`` are to be compared (the others
+    meet in a part of their own)."""
+
+    def cuts_of(table: pa.Table) -> np.ndarray:
+        change = np.zeros(table.num_rows - 1, bool)
+        for c in [*by, "part"]:
+            column = table.column(c).combine_chunks()
+            change |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
 
-    def meet(batches):
+    def finished(table: pa.Table, edges: np.ndarray):
+        part, cuts = table.column("part").to_numpy(), table.column("cuts").to_numpy()
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if j - i > 1:
+                yield work(table.slice(i, j - i), part[i] // cuts[i] != part[i] % cuts[i])
+
+    def merged(found: list[pa.Table]):
+        if found:
+            yield from pa.concat_tables(found).combine_chunks().to_batches()
+
+    def run(batches):
         held = None
         for batch in batches:
-            held = batch_table(held, batch)
-            if held.num_rows >= 1 << 16:
-                held, out = runs(held, False)
-                yield out
+            if batch.num_rows:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is not None and held.num_rows >= rows_held:
+                held = held.combine_chunks()
+                edges = cuts_of(held)
+                yield from merged(list(finished(held, edges[:-1])))
+                held = held.slice(edges[-2])  # the last run may go on
         if held is not None and held.num_rows:
-            yield runs(held, True)[1]
+            held = held.combine_chunks()
+            yield from merged(list(finished(held, cuts_of(held))))
 
-    def batch_table(held, batch):
-        new = pa.Table.from_batches([batch])
-        return new if held is None else pa.concat_tables([held, new])
+    return df.mapInArrow(run, schema)
 
-    def runs(table, last):
-        table = table.combine_chunks()
-        cols = [table.column(c).to_numpy() for c in ("tree", "prefix", "part")]
-        change = np.zeros(table.num_rows - 1, bool)
-        for c in cols:
-            change |= c[1:] != c[:-1]
-        edge = np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
-        if not last:
-            edge = edge[:-1]  # the last run may go on
-        s = np.stack([table.column("s0").to_numpy(), table.column("s1").to_numpy()], 1).view(np.uint64)
-        n, blk = table.column("n").to_numpy(), table.column("blk").to_numpy()
-        part, cuts = cols[2], table.column("cuts").to_numpy()
-        left, right = [], []
-        for r in np.flatnonzero(np.diff(edge) > 1).tolist():
-            i, j = edge[r], edge[r + 1]
-            cross = part[i] // cuts[i] != part[i] % cuts[i]
-            for a, b in close_pairs(s[i:j], n[i:j], blk[i:j], threshold, agree, cross):
-                left.append(a + i)
-                right.append(b + i)
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
+
+def may_link(s: np.ndarray, n: np.ndarray, rows: slice, threshold: float, agree: int) -> np.ndarray:
+    """[rows, all] whether sketches and sizes allow the threshold."""
+    apart = np.bitwise_count(s[rows, None, 0] ^ s[None, :, 0])
+    apart += np.bitwise_count(s[rows, None, 1] ^ s[None, :, 1])  # at most 128
+    low, high = np.minimum(n[rows, None], n[None, :]), np.maximum(n[rows, None], n[None, :])
+    return (apart <= _K - agree) & (low >= threshold * high - 1e-9)
+
+
+def blocks(m: int, size: int = 256):
+    return [slice(at, min(at + size, m)) for at in range(0, m, size)]
+
+
+def spread_labels(m: int, linked) -> np.ndarray:
+    """Least index that links connect each row with; linked(rows) gives [rows, all]."""
+    label = np.arange(m)
+    while True:
+        before = label.copy()
+        for rows in blocks(m):
+            near = np.where(linked(rows), label[None, :], m).min(1)
+            label[rows] = np.minimum(label[rows], near)
+        label = label[label]
+        # a row takes over what its label was linked with, and hands it on
+        np.minimum.at(label, before, label)
+        if (label == before).all():
+            return label
+
+
+def run_columns(table: pa.Table):
+    s = np.stack([table.column(c).to_numpy() for c in ("s0", "s1")], 1).view(np.uint64)
+    return s, table.column("n").to_numpy(), table.column("blk").to_numpy()
+
+
+def candidate_edges(rows: DataFrame, threshold: float, slice_size: int) -> DataFrame:
+    """Distinct (u, v) that connect all keys which share a prefix and pass the sketch.
+
+    Of a run's candidate pairs only a star per connected part leaves the task,
+    so a group of near copies gives as many edges as it has members."""
+    agree = sketch_agreement(threshold)
+
+    def star(table: pa.Table, cross: bool) -> pa.Table:
+        s, n, blk = run_columns(table)
+
+        def linked(part: slice) -> np.ndarray:
+            ok = may_link(s, n, part, threshold, agree)
+            return ok & (blk[part, None] != blk[None, :]) if cross else ok
+
+        label = spread_labels(len(n), linked)
+        member = np.flatnonzero(label != np.arange(len(n)))
         keys = table.column("key").combine_chunks()
-        out = pa.table({"x": keys.take(pa.array(a)), "y": keys.take(pa.array(b))}).combine_chunks()
-        batch = out.to_batches()[0] if out.num_rows else pa.RecordBatch.from_arrays(
-            [pa.array([], pa.binary())] * 2, names=["x", "y"])
-        return table.slice(edge[-1]), batch
+        return pa.table({"u": keys.take(pa.array(member)), "v": keys.take(pa.array(label[member]))})
 
-    pairs = dealt.mapInArrow(meet, "x binary, y binary")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    by = ["tree", "prefix"]
+    return by_run(dealt(rows, by, slice_size, "prefixes"), by, star, "u binary, v binary", 1 << 16).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int,
-             threshold: float) -> DataFrame:
-    """(a, b, shared, jaccard) of the pairs whose whole sets reach the threshold."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def shingle_members(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
+                    size: int) -> DataFrame:
+    """(key, members) for the keys of ``nodes``: their whole sets as sorted 64-bit hashes."""
     reps = nodes.join(classes.select("key", "rep"), "key")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = texts.join(reps, F.col("_id").eqNullSafe(F.col("rep"))).select("key", "_text")
@@ -226,28 +265,78 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                     [pa.array([wanted[i + r] for r in keep], pa.binary()),
                      pa.array([h[first[r]:first[r + 1]].tobytes() for r in keep], pa.binary())], names=["key", "members"])
 
-    members = found.mapInArrow(sets, "key binary, members binary").groupBy("key").agg(F.first("members").alias("members"))
-    members = written(members, "members")
-    joined = pairs.join(members.select(F.col("key").alias("a"), F.col("members").alias("ma")), "a").join(
-        members.select(F.col("key").alias("b"), F.col("members").alias("mb")), "b")
+    return found.mapInArrow(sets, "key binary, members binary").groupBy("key").agg(F.first("members").alias("members"))
+
+
+def exact_links(sets: list[np.ndarray], maybe: np.ndarray, threshold: float) -> np.ndarray:
+    """[all, all] which of the pairs ``maybe`` reach the threshold on the whole sets."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    values, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    a, b = np.nonzero(np.triu(maybe, 1))
+    links = np.zeros((m, m), bool)
+    if len(a) * 25e-6 <= int(shared.sum()) * float(m) * m * 2e-10:  # a few pairs one by one, many by products
+        common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+    else:
+        keep = shared[column]
+        owner, column = owner[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        total = np.zeros((m, m), np.float32)
+        width = 2048
+        for at in range(0, int(shared.sum()), width):
+            i, j = np.searchsorted(column, [at, at + width])
+            part = np.zeros((m, width), np.float32)
+            part[owner[i:j], column[i:j] - at] = 1
+            total += part @ part.T
+        common = total[a, b].astype(np.int64)  # exact: counts far below 2 ** 24
+    good = common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9
+    links[a[good], b[good]] = links[b[good], a[good]] = True
+    return links
+
+
+def verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int,
+             threshold: float, slice_size: int) -> DataFrame:
+    """(key, others, v): per key of a candidate group, the rows of all classes that
+    it is truly linked to, and a class of the same part that links connect it with.
+
+    Groups (components of the candidate edges) are compared on whole sets, part
+    by part; sums over the parts of a key are left to the caller."""
+    groups = written(components(edges).select(F.col("node").alias("key"), "root"), "groups")
+    members = written(shingle_members(groups.select("key"), classes, docs, id_col, text_col, size), "members")
+    agree = sketch_agreement(threshold)
 
-    def compare(batches):
+    def sketches(batches):
         for batch in batches:
-            keep, shared, score = [], [], []
-            for r, (x, y) in enumerate(zip(batch.column("ma"), batch.column("mb"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - common
-                if common >= threshold * union - 1e-9:
-                    keep.append(r)
-                    shared.append(common)
-                    score.append(common / union)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(keep), batch.column("b").take(keep), pa.array(shared, pa.int64()),
-                 pa.array(score, pa.float64())], names=["a", "b", "shared", "jaccard"])
+            blobs = batch.column("signature").to_pylist()
+            sig = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, _K)
+            bits = np.packbits((sig & 1).astype(np.uint8), axis=1).view("<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), batch.column("n"),
+                                              pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                                             names=["key", "copies", "n", "s0", "s1"])
+
+    light = classes.select("key", "copies", "n", "signature").join(groups, "key", "left_semi").mapInArrow(
+        sketches, "key binary, copies bigint, n bigint, s0 bigint, s1 bigint")
+    rows = groups.join(light, "key").join(members, "key")
+
+    def compare(table: pa.Table, cross: bool) -> pa.Table:
+        s, n, blk = run_columns(table)
+        m = len(n)
+        maybe = np.concatenate([may_link(s, n, part, threshold, agree) for part in blocks(m)])
+        if cross:
+            maybe &= blk[:, None] != blk[None, :]
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("members")]
+        links = exact_links(sets, maybe, threshold)
+        others = links @ table.column("copies").to_numpy()
+        label = spread_labels(m, lambda part: links[part])
+        keys = table.column("key").combine_chunks()
+        return pa.table({"key": keys, "others": pa.array(others.astype(np.int64)), "v": keys.take(pa.array(label))})
 
-    return joined.select("a", "b", "ma", "mb").mapInArrow(compare, "a binary, b binary, shared bigint, jaccard double")
+    return by_run(dealt(rows, ["root"], slice_size, "large-groups", groups), ["root"], compare,
+                  "key binary, others bigint, v binary", 4096)
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id",
@@ -270,15 +359,11 @@ def jaccard_groups(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_co
     classes = written(signed.where(F.col("n") > 0).groupBy("key").agg(
         F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("signature").alias("signature")), "classes")
-    pairs = written(candidate_pairs(trie_rows(classes, depth_for(threshold, recall)), threshold, slice_size), "pairs")
-    links = written(verified(pairs, classes, docs, id_col, text_col, size, threshold).select("a", "b"), "verified")
+    edges = candidate_edges(trie_rows(classes, depth_for(threshold, recall)), threshold, slice_size)
+    found = written(verified(edges, classes, docs, id_col, text_col, size, threshold, max(2, slice_size // 2)), "verified")
     plain = classes.select("key", "rep", "copies")
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.join(plain.select(F.col("key").alias("v"), "copies"), "v").groupBy(F.col("u").alias("key")).agg(
-        F.sum("copies").alias("others"))
-    member = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(
-        F.col("node").alias("key"), "root")
+    degree = found.groupBy("key").agg(F.sum("others").alias("others"))
+    member = components(found.select(F.col("key").alias("u"), "v")).select(F.col("node").alias("key"), "root")
     linked = member.join(plain.select("key", "rep"), "key")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("lowest"))
     linked = linked.join(lowest, "root").join(degree, "key").select(
