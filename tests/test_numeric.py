@@ -17,20 +17,22 @@ def _series(spark, named):
 
 
 def direct_mase(x, p=8, H=1, min_train=128, step=8):
-    n = len(x)
-    preds, acts = [], []
-    for s in range(min_train, n - H, step):
-        tr = x[:s]
-        X = np.array([tr[p - 1 - i:s - 1 - i] for i in range(p)]).T
-        A = np.c_[np.ones(len(X)), X]
-        coef = np.linalg.lstsq(A, tr[p:], rcond=None)[0]
-        cur = list(tr)
-        for _ in range(H):
-            v = coef[0] + coef[1:] @ np.array(cur[-p:][::-1])
-            preds.append(v)
-            cur.append(v)
-        acts += list(x[s:s + H])
-    return np.mean(np.abs(np.array(acts) - np.array(preds))) / np.mean(np.abs(np.diff(x)))
+    """Expanding-window AR errors: one design matrix of sliding windows, and the
+    H-step forecasts as powers of the companion matrix."""
+    windows = np.lib.stride_tricks.sliding_window_view(x, p)[:, ::-1]
+    design = np.column_stack([np.ones(len(windows)), windows])  # row k: 1, x[k+p-1], ..., x[k]
+    missed = []
+    for origin in range(min_train, len(x) - H, step):
+        fitted, *_ = np.linalg.lstsq(design[:origin - p], x[p:origin], rcond=None)
+        companion = np.zeros((p + 1, p + 1))
+        companion[0, 0] = 1
+        companion[1] = fitted
+        companion[np.arange(2, p + 1), np.arange(1, p)] = 1
+        state = design[origin - p]
+        for h in range(H):
+            state = companion @ state
+            missed.append(abs(x[origin + h] - state[1]))
+    return np.mean(missed) / np.mean(np.abs(np.diff(x)))
 
 
 def test_backtest_equals_refit_loop(spark, small_chunks):
