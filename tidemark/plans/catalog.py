@@ -885,6 +885,22 @@ def rolling_ar_backtest_q(spark, sf):
     return bt.rolling_ar_backtest(s, horizons=(1, 4))
 
 
+@register("rolling_ar_first_order", q.with_(G, q.SEASONAL, """
+l1 AS (SELECT series_id, t, y, lag(y, 1) OVER (PARTITION BY series_id ORDER BY t) AS x,
+              max(t) OVER (PARTITION BY series_id) + 1 AS n FROM events_seasonal),
+fit AS (SELECT series_id, t, y, x, n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a
+        FROM l1 WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fe AS (SELECT series_id, avg(abs(y - (a + b * x))) AS fe, count(*) AS n_forecasts FROM fit
+       WHERE t >= 128 AND (t - 128) % 8 = 0 AND t < n - 1 GROUP BY series_id),
+nv AS (SELECT series_id, avg(abs(y - x)) AS nv FROM l1 GROUP BY series_id)""") + """
+SELECT series_id, CAST(1 AS BIGINT) AS horizon, fe / nv AS mase, CAST(n_forecasts AS BIGINT) AS n_forecasts
+FROM fe JOIN nv USING (series_id)""", ["mase"])
+def rolling_ar_first_order_q(spark, sf):
+    """The backtest with one lag and one step: expanding simple regressions."""
+    s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
+    return bt.rolling_ar_backtest(s, p=1, horizon=1)
+
+
 @register("adf_test")
 def adf_test_q(spark, sf):
     """ADF statistics of the walk (integrated) and of the 15-minute grid (stationary)."""
@@ -1008,6 +1024,30 @@ def lag_subset_search_q(spark, sf):
     return se.lag_subset_search(sp_.where(F.col("split") == "train"), sp_.where(F.col("split") == "val"))
 
 
+_VAL_F24 = ", ".join(f"(avg(pow(y{h} - (a{h} + b{h} * l1), 2)) + avg(abs(y{h} - (a{h} + b{h} * l1))) "
+                     f"+ avg(abs(y{h} - (a{h} + b{h} * l1)) / (abs(y{h}) + 1e-10))) / 3 AS f{h}" for h in (1, 2, 3))
+
+
+@register("lag_subset_first", q.with_(G, q.SEASONAL, """
+lt AS (SELECT series_id, t, lag(y, 1) OVER w AS l1, lag(y, 8) OVER w AS l8, lead(y, 1) OVER w AS y1,
+              lead(y, 2) OVER w AS y2, lead(y, 3) OVER w AS y3
+       FROM events_seasonal WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n
+       FROM lt WHERE l8 IS NOT NULL AND y3 IS NOT NULL),
+ft AS (SELECT series_id, """ + ", ".join(
+    f"regr_slope(y{h}, l1) AS b{h}, regr_intercept(y{h}, l1) AS a{h}" for h in (1, 2, 3)) + """
+       FROM ix WHERE i < floor(n * 0.6) GROUP BY series_id),
+sc AS (SELECT series_id, """ + _VAL_F24 + """ FROM ix JOIN ft USING (series_id)
+       WHERE i >= floor(n * 0.6) AND i < floor(n * 0.8) GROUP BY series_id)""") + """
+SELECT series_id, CAST(0 AS BIGINT) AS cand_id, '1' AS lags, (5 * f1 + 3 * f2 + 2 * f3) / 10 AS weighted_f24, true AS best FROM sc""",
+          ["weighted_f24"])
+def lag_subset_first_q(spark, sf):
+    """The search's score of lag set {1} without penalty: simple regressions per step."""
+    rows = _seasonal_train_val(spark, sf)
+    return se.lag_subset_search(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val"), max_lag=1,
+                                ridge=0.0)
+
+
 # ---------------------------------------------------------------- models (rows-only checks)
 from tidemark.operators import models as mo  # noqa: E402
 from tidemark.plans import pipelines as pl  # noqa: E402
