@@ -138,7 +138,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.license import scan_licenses
 
-    return scan_licenses(read_table(spark, sf_dir, "documents"))
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                        "spans")
 
 
 @query("op3_permutation_index")
