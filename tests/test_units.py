@@ -175,3 +175,17 @@ def test_scan_single_carry_path_across_chunks(spark):
         assert got == pytest.approx(loop_smooth(x[:300], alpha), rel=1e-12, abs=1e-9)
     finally:
         spark.conf.unset(CHUNK_CONF)
+
+
+def test_prediction_table_forms(spark):
+    from tidemark.operators import metrics as me
+
+    rows = [("a", 0, 1, 1.0, 2.0, 10.0, 20.0), ("a", 0, 2, 3.0, 4.0, 30.0, 40.0)]
+    long = spark.createDataFrame(rows, "series_id string, t long, step long, y_true double, y_pred double, "
+                                       "y_true_orig double, y_pred_orig double")
+    wide = me.prediction_table(long, steps=(1, 2), literals={"run": "r1"}).first().asDict()
+    assert wide == {"series_id": "a", "t": 0, "true_step_1": 1.0, "pred_step_1": 2.0, "true_orig_step_1": 10.0,
+                    "pred_orig_step_1": 20.0, "true_step_2": 3.0, "pred_step_2": 4.0, "true_orig_step_2": 30.0,
+                    "pred_orig_step_2": 40.0, "run": "r1"}
+    alone = me.prediction_table(long.select("series_id", "t", "step", "y_pred"))
+    assert alone.columns == ["series_id", "t", "pred_step_1", "pred_step_2"]

@@ -121,19 +121,27 @@ def abs_error_nullsafe(a: str, b: str) -> Column:
     return F.abs(F.col(a) - F.col(b))
 
 
+# columns of the long predictions and what they are called in the wide table
+WIDE_NAMES = {"y_true": "true", "y_pred": "pred", "y_true_orig": "true_orig", "y_pred_orig": "pred_orig"}
+
+
 def prediction_table(pred_long: DataFrame, keys=("series_id", "t"), features: DataFrame | None = None,
-                     feature_cols=(), max_features: int = 10) -> DataFrame:
-    """Wide per-row report: first <= 10 features, truths and predictions per step."""
+                     feature_cols=(), max_features: int | None = None, steps=None, literals=None) -> DataFrame:
+    """Wide per-row report: truths and predictions per step, features, literals.
+
+    Pairs in the original domain (``y_true_orig``, ``y_pred_orig``) and tables
+    without truths are taken as they come.  ``steps``: the step numbers (read
+    from the data by a small job when not given); ``max_features``: keep only
+    the first so many; ``literals``: {name: value} columns such as run metadata."""
     keys = list(keys)
-    steps = [r[0] for r in pred_long.select("step").distinct().orderBy("step").collect()]
-    wide = pred_long.groupBy(*keys).pivot("step", steps).agg(
-        F.first("y_true").alias("true"), F.first("y_pred").alias("pred"))
-    for s in steps:
-        wide = wide.withColumnRenamed(f"{s}_true", f"true_step_{s}").withColumnRenamed(f"{s}_pred", f"pred_step_{s}")
+    if steps is None:
+        steps = [r[0] for r in pred_long.select("step").distinct().orderBy("step").collect()]
+    wide = pred_long.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("step") == s, F.col(c))).alias(f"{name}_step_{s}")
+        for s in steps for c, name in WIDE_NAMES.items() if c in pred_long.columns])
     if features is not None and feature_cols:
-        fc = list(feature_cols)[:max_features]
-        wide = wide.join(features.select(*keys, *fc), on=keys, how="left")
-    return wide
+        wide = wide.join(features.select(*keys, *list(feature_cols)[:max_features]), on=keys, how="left")
+    return wide.select("*", *[F.lit(v).alias(k) for k, v in (literals or {}).items()])
 
 
 def performance_summary(metrics: DataFrame, keys=("series_id",), weights=F24_WEIGHTS) -> DataFrame:

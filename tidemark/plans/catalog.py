@@ -672,7 +672,7 @@ def _lossy(spark, sf):
           ["IMF_1", "IMF_2", "residual"])
 def components_wide_q(spark, sf):
     from tidemark.sources.series import components_to_wide
-    return components_to_wide(fx.events_components(spark, sf))
+    return components_to_wide(fx.events_components(spark, sf), names=["IMF_1", "IMF_2", "residual"])
 
 
 @register("row_sum_target", q.with_(G, q.COMPONENTS, WIDE) +
@@ -1152,7 +1152,7 @@ def prediction_table_q(spark, sf):
     s = fx.events_seasonal(spark, sf).select("series_id", "t", "y")
     pf = persistence_forecasts(s).where(F.col("split") == "test")
     feats = fe.lags(s, 2)
-    return me.prediction_table(pf, features=feats, feature_cols=["y_lag_1", "y_lag_2"])
+    return me.prediction_table(pf, features=feats, feature_cols=["y_lag_1", "y_lag_2"], steps=(1, 2, 3))
 
 
 # ---------------------------------------------------------------- G19 on the SQL-expressible parts

@@ -213,13 +213,13 @@ def regular_grid(events: DataFrame, series_col: str, ts_col: str, value_col: str
     )
 
 
-def components_to_wide(components: DataFrame, keys=("series_id", "t")) -> DataFrame:
+def components_to_wide(components: DataFrame, keys=("series_id", "t"), names=None) -> DataFrame:
     """Long components -> one column per component name.
 
-    The component names are a small driver-side list (one per mode), read by a
-    distinct on the name column.
+    ``names``: the component names; when not given, a distinct on the name
+    column reads them (a small list, one per mode).
     """
-    names = [r[0] for r in components.select("component").distinct().orderBy("component").collect()]
+    names = names or [r[0] for r in components.select("component").distinct().orderBy("component").collect()]
     return components.groupBy(*keys).pivot("component", names).agg(F.first("value"))
 
 
