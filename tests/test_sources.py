@@ -113,3 +113,10 @@ def test_read_series_batch_orders_by_timestamp(spark, small_chunks):
     assert [r.y for r in got] == [float(k) for k in range(29, 0, -1)] + [0.0, 200.0]
     status = batch_file_status(spark, f"{d}/*.csv", "v", "ts").first()
     assert (status.n_rows, status.n_without_ts) == (32, 1)
+
+
+def test_select_by_prefix(spark):
+    from tidemark.sources.series import select_by_prefix
+
+    df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "t long, IMF_1 double, IMF_2 double, residual double")
+    assert select_by_prefix(df) == ["IMF_1", "IMF_2", "residual"]

@@ -18,20 +18,13 @@ __all__ = [
     "laplace_noise",
     "normal_noise",
     "slot_of",
-    "day_of",
     "laplace_noise_np",
     "xxhash64_longs_np",
-    "safe_div",
 ]
 
 TWO_POW_53 = float(1 << 53)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, NULL when b is 0 (ANSI mode raises on division by zero)."""
-    return F.try_divide(a, b)
-
-
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation aggregate that is NULL (not an error) on constants.
 
@@ -104,11 +97,6 @@ def slot_of(ts: Column, minutes: int = 15) -> Column:
     return ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("long")
 
 
-def day_of(ts: Column) -> Column:
-    """Days since 1970-01-01 of a timestamp or date."""
-    return F.unix_date(ts.cast("date")).cast("long")
-
-
 # ---------------------------------------------------------------- the same draws in NumPy
 # fixed values: the 64-bit xxHash primes and Spark's default hash seed
 XXH_P1 = 0x9E3779B185EBCA87

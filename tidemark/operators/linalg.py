@@ -97,27 +97,3 @@ def partial_gram(df: DataFrame, keys, cols, size: int | None = None, t: str = "t
 
     part = staged.groupBy(*keys, "_gc").applyInPandas(per_chunk, schema)
     return part.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
-
-
-BROADCAST_ROWS = 2_000_000
-DEFAULT_SALTS = 64
-
-
-def join_small_per_key(big: DataFrame, small: DataFrame, keys, max_rows: int = BROADCAST_ROWS,
-                       salts: int = DEFAULT_SALTS, salt_of=None) -> DataFrame:
-    """Join a per-key table that is small per key (candidates, coefficients)
-    onto a large table without putting a hot key into one task.
-
-    The small side is counted first (one scalar); within ``max_rows`` it is
-    broadcast.  Beyond that each small row is replicated over ``salts`` salt
-    values and big rows take a salt from a hash of their columns, so one key's
-    big rows spread over ``salts`` tasks.
-    """
-    keys = list(keys)
-    n_small = small.count()
-    if n_small <= max_rows:
-        return big.join(F.broadcast(small), on=keys, how="inner")
-    salt = salt_of if salt_of is not None else F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts))
-    b = big.withColumn("_salt", salt)
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return b.join(s, on=[*keys, "_salt"], how="inner").drop("_salt")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as me
+from tidemark.operators.search import LR_BOUNDS, TREE_BOUNDS
 
 # fixed values of the booster
 BOOSTER = {"maxDepth": 8, "subsamplingRate": 0.6019, "minInstancesPerNode": 17, "featureSubsetStrategy": "0.9899"}
@@ -133,6 +134,9 @@ def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps
     submits candidates concurrently.  Returns the search history
     (iteration, learning_rate, n_trees, weighted_f24, best_so_far)."""
     spark = train.sparkSession
+    for lr, nt in candidates:
+        if not (LR_BOUNDS[0] <= lr <= LR_BOUNDS[1] and TREE_BOUNDS[0] <= nt <= TREE_BOUNDS[1]):
+            raise ValueError(f"candidate ({lr}, {nt}) outside {LR_BOUNDS} x {TREE_BOUNDS}")
 
     def run(item):
         i, (lr, nt) = item
