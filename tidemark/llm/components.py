@@ -20,18 +20,24 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where(F.col("u") != F.col("v")).unionByName(own).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every component is a star around its least node."""
+    inner = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+    if inner.limit(1).count():
+        return False
+    return not edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).count()
+
+
 def components(links: DataFrame, most: int = 100) -> DataFrame:
     """(node, root) for the nodes of ``links`` (u, v): root is the least node of
     the component.  Every step is written to the shared folder, which cuts the
     lineage; rounds grow with the logarithm of a component's diameter."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
         F.col("u") != F.col("v")).distinct()
-    edges, seen = written(edges, "links"), None
+    edges = written(edges, "links")
     for _ in range(most):
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        if _settled(edges):
             break
-        seen = mark
         edges = written(_stars(edges), "stars")
     else:
         raise RuntimeError("the components did not settle")
