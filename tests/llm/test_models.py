@@ -125,6 +125,14 @@ def test_context_is_learned(make):
     assert got[0] > 0.8 * got[1]
 
 
+def test_registered_parameters_learn_context(make):
+    """The same with the rounds and classes that the query runs with."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"a{x} b{x}" for x in rng.integers(0, 30, 60))) for k in range(200)]
+    got = lm.score_texts(make(rows), blocks=4).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.8 * got[1]
+
+
 def test_no_training_text(make):
     rows = [(i, "some words") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
     assert {(r["n_known"], r["train_tokens"], r["score"]) for r in lm.score_texts(make(rows)).collect()} == {(0, 0, 0.0)}
