@@ -91,3 +91,40 @@ def test_booster_beats_persistence_on_seasonal_ar(spark):
 def test_feature_subset_keeps_base_features():
     names = ["y", "slot_in_day", "y_lag_1", "y_lag_2", "y_lag_8", "y_diff_1"]
     assert pl.feature_subset(names, [1, 8]) == ["y", "slot_in_day", "y_lag_1", "y_lag_8", "y_diff_1"]
+
+
+def test_alpha_search_refines_the_epsilon_of_every_alpha(spark, monkeypatch):
+    """Every alpha gets the best of the refined grid; its score is the first run's."""
+    from tidemark.operators import search as se
+
+    def scores(series, cands, score_fn, trials, max_modes, keys):
+        rows = cands.withColumn("s", F.abs(F.col("epsilon") - 0.25 - 0.05 * F.col("alpha_idx")) + 1 + F.col("run"))
+        return se.repeat_and_average(rows, [*keys, "epsilon"], "s", [F.min_by("s", "run").alias("first_score")]) \
+            .withColumnRenamed("s", "score")
+
+    monkeypatch.setattr(se, "score_epsilons", scores)
+    g = spark.range(60).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), F.sin("id").alias("y"))
+    got = sorted(se.alpha_search(g, [0.1, 0.2, 0.9], None, refine_points=31).collect(), key=lambda r: r.alpha)
+    assert [round(r.epsilon, 9) for r in got] == [0.25, 0.3, 0.35]
+    assert [round(r.score, 9) for r in got] == [1.0, 1.0, 10.0]
+    assert {(r.best_alpha, round(r.best_score, 9)) for r in got} <= {(0.1, 1.0), (0.2, 1.0)}
+
+
+def test_searches_are_registered_whole(spark, monkeypatch):
+    from tidemark.operators import search as se
+    from tidemark.plans import catalog
+
+    seen = []
+
+    def stages(series, score_fn, keys, grid, runs, refine_points, bounds, min_gain, trials, seed, max_modes):
+        seen.append((trials, runs, refine_points, len(grid), series.select(*keys).distinct().count()))
+        raise InterruptedError
+
+    monkeypatch.setattr(se, "_epsilon_stages", stages)
+    n = fx.events_grid(spark, SF).select("series_id").distinct().count()
+    for name in ("epsilon_grid_search", "alpha_search"):
+        try:
+            catalog.REGISTRY[name].run(spark, SF)
+        except InterruptedError:
+            pass
+    assert seen == [(100, 2, 25, 5, n), (100, 2, 25, 5, 20 * n)]

@@ -948,7 +948,6 @@ def normalize_and_combine_q(spark, sf):
 from tidemark.operators import decompose as dc  # noqa: E402
 
 DECOMP_EPSILON = 0.2
-SEARCH_TRIALS = 20
 
 
 @register("laplace_noise")
@@ -993,19 +992,19 @@ def batch_status_q(spark, sf):
 
 @register("epsilon_grid_search")
 def epsilon_grid_search_q(spark, sf):
-    """Direct pipeline's epsilon search: reference grid, refinement, 2 seeded runs,
-    5 % gate, scored by the predictive quality."""
+    """Direct pipeline's epsilon search: reference grid, 25 refined points, 2 seeded runs,
+    5 % gate, 100 trials, scored by the predictive quality."""
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
-    return se.epsilon_search(g, qa.predictive_quality, trials=SEARCH_TRIALS)
+    return se.epsilon_search(g, qa.predictive_quality)
 
 
 @register("alpha_search")
 def alpha_search_q(spark, sf):
-    """Trend pipeline's search: 8 smoothing factors in [0.01, 0.5] x 5 epsilons per series,
+    """Trend pipeline's search: 20 smoothing factors in [0.01, 0.5] per series, each with its
+    epsilon search (5 references, 25 refined points, 2 seeded runs, gate, 100 trials),
     scored by the forecastability score (the pipeline's ``predictive`` strategy)."""
     g = fx.events_grid(spark, sf).select("series_id", "t", "y")
-    alphas = [ALPHA_LO + i * (ALPHA_HI - ALPHA_LO) / 7 for i in range(8)]
-    return se.alpha_search(g, alphas, qa.forecastability_score, trials=SEARCH_TRIALS,
+    return se.alpha_search(g, se.alpha_grid(ALPHA_LO, ALPHA_HI), qa.forecastability_score,
                            alpha_bounds=(ALPHA_LO, ALPHA_HI))
 
 

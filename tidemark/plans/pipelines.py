@@ -17,7 +17,7 @@ from tidemark.operators import transform as tr
 from tidemark.sources.series import components_to_wide, row_sum_target
 
 
-def trend_decomposition(series: DataFrame, alphas, trials: int = 20, seed: int = 42, max_modes: int | None = None) -> dict:
+def trend_decomposition(series: DataFrame, alphas, trials: int = dc.DEFAULT_TRIALS, seed: int = 42, max_modes: int | None = None) -> dict:
     """L1: alpha search (smoothing x decomposition x forecastability score),
     then the final trend decomposition at each series' winning (alpha, epsilon)."""
     from tidemark.operators.smoothing import detrend, zero_phase_trend
@@ -37,7 +37,7 @@ def trend_decomposition(series: DataFrame, alphas, trials: int = 20, seed: int =
             "decomposition": dec}
 
 
-def direct_decomposition(series: DataFrame, trials: int = 20, seed: int = 42, min_len: int = 100) -> dict:
+def direct_decomposition(series: DataFrame, trials: int = dc.DEFAULT_TRIALS, seed: int = 42, min_len: int = 100) -> dict:
     """L2: epsilon search, decomposition at the chosen epsilon, quality tables, status."""
     from tidemark.session import cut_lineage
 
