@@ -128,3 +128,48 @@ def test_searches_are_registered_whole(spark, monkeypatch):
         except InterruptedError:
             pass
     assert seen == [(100, 2, 25, 5, n), (100, 2, 25, 5, 20 * n)]
+
+
+def test_booster_candidates_are_the_first_trees_of_one_fit(spark, monkeypatch):
+    from tidemark.operators import models as mo
+
+    rows = spark.range(300).select(F.lit("s").alias("series_id"), F.col("id").alias("t"), F.sin("id").alias("x"),
+                                   (F.sin(F.col("id")) * 3 + 10).alias("y_tr_step_1"))
+    monkeypatch.setitem(mo.BOOSTER, "maxDepth", 2)
+    short = mo.fit_boosted_multistep(rows, ["x"], 1, n_trees=3)["models"][0]
+    fits = []
+    fit = mo.fit_boosted_multistep
+    monkeypatch.setattr(mo, "fit_boosted_multistep", lambda *a, **k: fits.append(a[4:6]) or fit(*a, **k))
+    long = fit(rows, ["x"], 1, n_trees=10)["models"][0]
+    for kept in ([short], [mo.first_trees(long, 3)]):
+        assert kept[0].getNumTrees == 3
+    got, want = ([r.y_pred for r in mo.predict_multistep([m], rows, ["x"]).orderBy("t").collect()]
+                 for m in (mo.first_trees(long, 3), short))
+    assert got == want
+    cands = [(0.1, 10), (0.5, 12), (0.1, 12), (0.5, 10)]
+    hist = mo.booster_search(rows, rows, ["x"], cands, 1).orderBy("iteration").collect()
+    assert [(r.learning_rate, r.n_trees) for r in hist] == cands and sorted(fits) == [(0.1, 12), (0.5, 12)]
+    assert hist[0].weighted_f24 != hist[2].weighted_f24
+
+
+def test_registered_boosters_search_rates_and_trees(spark, monkeypatch):
+    from tidemark.operators import models as mo
+    from tidemark.plans import catalog
+
+    seen = []
+
+    def search(train, val, features, candidates, *rest, **more):
+        seen.append(candidates)
+        raise InterruptedError
+
+    monkeypatch.setattr(mo, "booster_search", search)
+    monkeypatch.setattr(pl, "pooled_lags", lambda *a: [1])
+    for name in ("booster_search", "fit_boosted_multistep", "evaluate_splits", "feature_importance"):
+        try:
+            catalog.REGISTRY[name].run(spark, SF)
+        except InterruptedError:
+            pass
+    assert len(seen) == 4
+    for candidates in seen:
+        assert {t for _, t in candidates} >= {10, 500, 2000} and len({r for r, _ in candidates}) >= 4
+    assert catalog.MODEL_TREES == 500

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,20 @@ def best_round(losses, patience: int = PATIENCE) -> int:
     return best + 1
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees: that of the same seeded fit with ``n`` rounds."""
+    if n >= model.getNumTrees:
+        return model
+    sc, java = SparkContext._active_spark_context, model._java_obj
+    package = sc._jvm.org.apache.spark.ml.regression
+    trees = sc._gateway.new_array(package.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for k in range(n):
+        trees[k], weights[k] = all_trees[k], all_weights[k]
+    return GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+
+
 def predict_multistep(models, df: DataFrame, features, keys=("series_id", "t"), extra=()) -> DataFrame:
     """Long predictions (keys, extra, step, y_pred) of every step model."""
     base = _assemble(df, features)
@@ -130,26 +145,30 @@ def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps
                    seed: int = 42, parallelism: int | None = None) -> DataFrame:
     """Score (learning_rate, n_trees) candidates by validation weighted F24 (H8).
 
-    Each candidate is a set of distributed fits; a small driver thread pool
-    submits candidates concurrently.  Returns the search history
+    Each learning rate is fitted once, to its largest tree count, and its
+    candidates are scored by the first trees of that fit; a small driver thread
+    pool submits learning rates concurrently.  Returns the search history
     (iteration, learning_rate, n_trees, weighted_f24, best_so_far)."""
     spark = train.sparkSession
     for lr, nt in candidates:
         if not (LR_BOUNDS[0] <= lr <= LR_BOUNDS[1] and TREE_BOUNDS[0] <= nt <= TREE_BOUNDS[1]):
             raise ValueError(f"candidate ({lr}, {nt}) outside {LR_BOUNDS} x {TREE_BOUNDS}")
 
-    def run(item):
-        i, (lr, nt) = item
-        fit = fit_boosted_multistep(train, features, steps, target, lr, nt, seed)
-        pred = predict_multistep(fit["models"], val, features)
-        truth = val.select("series_id", "t", F.posexplode(F.array(*[F.col(f"{target}_step_{h}") for h in range(1, steps + 1)]))
-                           .alias("_i", "y_true")).select("series_id", "t", (F.col("_i") + 1).cast("long").alias("step"), "y_true")
-        m = me.forecast_metrics(pred.join(truth, on=["series_id", "t", "step"]).withColumn("_all", F.lit(1)), ["_all", "step"])
-        w = me.weighted_f24(m, ["_all"]).first()["weighted_f24"]
-        return (i, float(lr), int(nt), float(w))
+    truth = val.select("series_id", "t", F.posexplode(F.array(*[F.col(f"{target}_step_{h}") for h in range(1, steps + 1)]))
+                       .alias("_i", "y_true")).select("series_id", "t", (F.col("_i") + 1).cast("long").alias("step"), "y_true")
+
+    def run(lr):
+        own = [(i, nt) for i, (rate, nt) in enumerate(candidates, start=1) if rate == lr]
+        models = fit_boosted_multistep(train, features, steps, target, lr, max(nt for _, nt in own), seed)["models"]
+        out = []
+        for i, nt in own:
+            pred = predict_multistep([first_trees(m, nt) for m in models], val, features)
+            m = me.forecast_metrics(pred.join(truth, on=["series_id", "t", "step"]).withColumn("_all", F.lit(1)), ["_all", "step"])
+            out.append((i, float(lr), int(nt), float(me.weighted_f24(m, ["_all"]).first()["weighted_f24"])))
+        return out
 
     with ThreadPoolExecutor(max_workers=parallelism or MAX_FITS) as pool:
-        results = list(pool.map(run, list(enumerate(candidates, start=1))))
+        results = sorted(r for rows in pool.map(run, dict.fromkeys(lr for lr, _ in candidates)) for r in rows)
     hist = spark.createDataFrame(results, "iteration long, learning_rate double, n_trees long, weighted_f24 double")
     return me.convergence_curve(hist.withColumn("_all", F.lit(1)), ["_all"], "iteration", "weighted_f24").join(
         hist, on="iteration").drop("_all")
@@ -200,4 +219,4 @@ def stability_runs(train: DataFrame, test: DataFrame, fit_fn, predict_fn, seeds,
 
 
 __all__ = ["fit_boosted_multistep", "predict_multistep", "evaluate_splits", "feature_importance", "importance_frame",
-           "best_round", "booster_search", "fit_sequence_regressor", "predict_sequence", "stability_runs", "vector_to_array"]
+           "best_round", "booster_search", "first_trees", "fit_sequence_regressor", "predict_sequence", "stability_runs", "vector_to_array"]

@@ -1051,14 +1051,15 @@ def lag_subset_first_q(spark, sf):
 from tidemark.operators import models as mo  # noqa: E402
 from tidemark.plans import pipelines as pl  # noqa: E402
 
-MODEL_TREES = 20
+MODEL_TREES = 500
 MODEL_LR = 0.3
+BOOSTER_GRID = [(rate, trees) for rate in (0.01, 0.05, 0.1, 0.3, 1.0) for trees in (10, 100, 500, 2000)]
 
 
 @register("fit_boosted_multistep")
 def fit_boosted_multistep_q(spark, sf):
     """Per-step boosters on the seasonal series (transform chosen per series); test-split forecasts."""
-    out = pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)
+    out = pl.trend_forecast(fx.events_seasonal(spark, sf), candidates=BOOSTER_GRID)
     test = out["table"].where(F.col("split") == "test")
     return mo.predict_multistep(out["models"], test, out["features"], extra=["split"])
 
@@ -1066,13 +1067,13 @@ def fit_boosted_multistep_q(spark, sf):
 @register("evaluate_splits")
 def evaluate_splits_q(spark, sf):
     """Metrics per split, domain and step of the trend-forecast flow."""
-    return pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)["summary"]
+    return pl.trend_forecast(fx.events_seasonal(spark, sf), candidates=BOOSTER_GRID)["summary"]
 
 
 @register("feature_importance")
 def feature_importance_q(spark, sf):
     """Every feature's importance per step and their mean (step NULL), ranked."""
-    out = pl.trend_forecast(fx.events_seasonal(spark, sf), MODEL_LR, MODEL_TREES)
+    out = pl.trend_forecast(fx.events_seasonal(spark, sf), candidates=BOOSTER_GRID)
     from pyspark.sql import Window
     imp = mo.importance_frame(spark, out["models"], out["features"])
     w = Window.partitionBy("step").orderBy(F.desc("importance"), "feature")
@@ -1081,12 +1082,11 @@ def feature_importance_q(spark, sf):
 
 @register("booster_search")
 def booster_search_q(spark, sf):
-    """Three (learning rate, trees) candidates scored by validation weighted F24; running best."""
+    """Five learning rates x four tree counts scored by validation weighted F24; running best."""
     table, features = pl.booster_features(fx.events_seasonal(spark, sf), seas=True, diff=False)
     from tidemark.session import cut_lineage
     table = cut_lineage(table)
-    cands = [(0.05, 20), (0.1, 20), (0.3, 20)]
-    return mo.booster_search(table.where("split = 'train'"), table.where("split = 'val'"), features, cands,
+    return mo.booster_search(table.where("split = 'train'"), table.where("split = 'val'"), features, BOOSTER_GRID,
                              target=pl.BOOSTER_TARGET)
 
 
