@@ -165,6 +165,15 @@ def test_quality_without_labels(make, spark):
     assert quality.score_quality(docs.where("doc_id < 0"), model).count() == 0
 
 
+def test_quality_learns_one_row_per_id(make, spark):
+    """An id with many rows sends one of them to the driver, one with text if there is any."""
+    rows = [(1, f"word{k} text") for k in range(300)] + [(1, None), (1, ""), (2, "b c"), (3, None), (4, "d e")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    ids = [i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % 5 != 0]
+    got = quality.sample_features(make(rows), labels, "doc_id", "text", "quality", 4, 0, 5)
+    assert [r[0] for r in got] == [i % 2 for i in ids] and 1 in ids
+
+
 def test_quality_on_held_out_rows(spark):
     from tidemark.llm.queries import QUERIES
 

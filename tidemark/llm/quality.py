@@ -110,12 +110,16 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, steps: i
 
 def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     max_train: int, fold: int, folds: int):
-    """(label, buckets, weights) of the sampled labelled rows, by id."""
+    """(label, buckets, weights) of one row of each sampled labelled id, by id: of an
+    id's texts that are not empty the one with the least hash."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(
         crc_remainder(id_col, folds) != fold)
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    text = F.when(F.length("_text") > 0, F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("text")))
+    rows = rows.groupBy("_id", "_label").agg(F.min(text).alias("_least")).select(
+        "_id", F.col("_least.text").alias("_text"), "_label")
 
     def run(batches):
         for batch in batches:
@@ -143,7 +147,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality", max_train: int = MAX_TRAIN, fold: int = 0, folds: int = 5) -> Model:
     """A model from at most ``max_train`` labelled rows whose crc32(id) modulo
-    ``folds`` is not ``fold``.  Several labels of one id count by their mean,
+    ``folds`` is not ``fold``, one row per id.  Several labels of one id count by their mean,
     null labels and labels without a document do not count; without any label
     the model gives every text 0.5."""
     prepare(docs.sparkSession)
