@@ -157,3 +157,15 @@ def test_window_hash_does_not_depend_on_place():
     v = np.arange(50, dtype=np.uint64) % np.uint64(5)
     h = span_hashes(v, np.arange(41), 10)
     assert len(np.unique(h)) == 5 and (h[5:] == h[:-5]).all()
+
+
+def test_sketch_bound_is_the_binomial_tail():
+    """A pair at the threshold is dropped with a chance of at most 1e-9."""
+    from math import comb
+
+    from tidemark.llm import jaccard
+
+    for threshold in (0.5, 0.8, 0.95):
+        agree, p = jaccard.sketch_agreement(threshold), (1 + threshold) / 2
+        assert sum(comb(128, k) * p ** k * (1 - p) ** (128 - k) for k in range(agree)) <= 1e-9
+        assert sum(comb(128, k) * p ** k * (1 - p) ** (128 - k) for k in range(agree + 1)) > 1e-9

@@ -31,7 +31,7 @@ from tidemark.llm.components import components
 TREES, DEPTH = 16, 8
 RECALL = 0.9999  # expected share of partners at the threshold that the tries find
 SLICE = 2048  # classes of one prefix compared in one place
-SIGMAS = 5  # the sketch drops a partner at the threshold with the chance of as many deviations
+SKETCH_LOSS = 1e-9  # the sketch drops a partner at the threshold with at most this chance
 
 _K = TREES * DEPTH
 _FACTORS = mix(np.arange(1, _K + 1, dtype=np.uint64)) | np.uint64(1)
@@ -45,10 +45,16 @@ def depth_for(threshold: float, recall: float, trees: int = TREES, depth: int =
     return depth
 
 
-def sketch_agreement(threshold: float, bits: int = _K, sigmas: float = SIGMAS) -> int:
-    """Bits that two sketches agree in at least, if their sets reach the threshold."""
-    p = (1 + threshold) / 2
-    return math.floor(bits * p - sigmas * math.sqrt(bits * p * (1 - p)))
+def sketch_agreement(threshold: float, bits: int = _K, loss: float = SKETCH_LOSS) -> int:
+    """Bits that two sketches agree in at least, if their sets reach the threshold,
+    by the binomial tail."""
+    p, agree, below = (1 + threshold) / 2, 0, 0.0
+    while agree < bits:
+        below += math.comb(bits, agree) * p ** agree * (1 - p) ** (bits - agree)
+        if below > loss:
+            break
+        agree += 1
+    return agree
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, size: int):
@@ -196,8 +202,13 @@ def may_link(s: np.ndarray, n: np.ndarray, rows: slice, threshold: float, agree:
     """[rows, all] whether sketches and sizes allow the threshold."""
     apart = np.bitwise_count(s[rows, None, 0] ^ s[None, :, 0])
     apart += np.bitwise_count(s[rows, None, 1] ^ s[None, :, 1])  # at most 128
+    return (apart <= _K - agree) & sizes_allow(n, rows, threshold)
+
+
+def sizes_allow(n: np.ndarray, rows: slice, threshold: float) -> np.ndarray:
+    """[rows, all] whether sizes alone allow the threshold."""
     low, high = np.minimum(n[rows, None], n[None, :]), np.maximum(n[rows, None], n[None, :])
-    return (apart <= _K - agree) & (low >= threshold * high - 1e-9)
+    return low >= threshold * high - 1e-9
 
 
 def blocks(m: int, size: int = 256):
@@ -307,25 +318,13 @@ def verified(edges: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     by part; sums over the parts of a key are left to the caller."""
     groups = written(components(edges).select(F.col("node").alias("key"), "root"), "groups")
     members = written(shingle_members(groups.select("key"), classes, docs, id_col, text_col, size), "members")
-    agree = sketch_agreement(threshold)
-
-    def sketches(batches):
-        for batch in batches:
-            blobs = batch.column("signature").to_pylist()
-            sig = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, _K)
-            bits = np.packbits((sig & 1).astype(np.uint8), axis=1).view("<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copies"), batch.column("n"),
-                                              pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-                                             names=["key", "copies", "n", "s0", "s1"])
-
-    light = classes.select("key", "copies", "n", "signature").join(groups, "key", "left_semi").mapInArrow(
-        sketches, "key binary, copies bigint, n bigint, s0 bigint, s1 bigint")
+    light = classes.select("key", "copies", "n")
     rows = groups.join(light, "key").join(members, "key")
 
     def compare(table: pa.Table, cross: bool) -> pa.Table:
-        s, n, blk = run_columns(table)
+        n, blk = table.column("n").to_numpy(), table.column("blk").to_numpy()
         m = len(n)
-        maybe = np.concatenate([may_link(s, n, part, threshold, agree) for part in blocks(m)])
+        maybe = np.concatenate([sizes_allow(n, part, threshold) for part in blocks(m)])
         if cross:
             maybe &= blk[:, None] != blk[None, :]
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("members")]
