@@ -78,12 +78,14 @@ class Model:
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 8, steps: int = STEPS, batch: int = 16,
           rate: float = 4.0, seed: int = 7) -> Model:
-    """``steps`` mini-batches of gradient descent over (label, buckets, weights that sum to 1)."""
+    """``steps`` mini-batches of gradient descent over (label, buckets, weights that sum to 1); zeros without rows."""
+    if not rows:
+        return Model(np.zeros(BUCKETS), 0.0)
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, dim)) - 0.5) / dim).astype(np.float32)
     output, bias = ((rng.random((2, dim)) - 0.5) / dim).astype(np.float32), np.zeros(2, np.float32)
     done = 0
-    while rows and done < steps:
+    while done < steps:
         order = rng.permutation(len(rows))
         for b in range(0, min(len(order), batch * (steps - done)), batch):
             picked = [rows[k] for k in order[b:b + batch]]

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op7_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """)
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     out = exact_groups(docs, largest=True, carry={"text_sha256": sha})
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                       "text_sha256")
 
 
@@ -163,3 +163,11 @@ def op5_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lm import score_texts
 
     return score_texts(read_table(spark, sf_dir, "documents"), fold=1, folds=5)
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import fit_whitening, whiten_vectors
+
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whiten_vectors(vectors, fit_whitening(vectors, components=16, scale=64.0, shift=1_000_000))
