@@ -171,3 +171,13 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whiten_vectors(vectors, fit_whitening(vectors, components=16, scale=64.0, shift=1_000_000))
+
+
+@query("op12_sampled_sharding")
+def op12_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shard_documents
+
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    out = shard_documents(read_table(spark, sf_dir, "documents"), shards=24, carry={"text_crc32": crc})
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
