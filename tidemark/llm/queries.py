@@ -181,3 +181,55 @@ def op12_sampled_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(read_table(spark, sf_dir, "documents"), shards=24, carry={"text_crc32": crc})
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+# crc32 of a conversation's decimal id: a table of 256 entries, then byte by byte.
+_CRC_TABLE = """
+  SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+              lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)"""
+
+
+@query("op13_prefix_trie", r"""
+WITH crc AS (""" + _CRC_TABLE + r"""),
+turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (
+  SELECT c, i, md5(length(role) || ':' || role || text) AS k,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns),
+sizes AS (
+  SELECT c, count(*) AS n, xor(list_reduce(list_prepend(4294967295, list_transform(
+             string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 4 AS h
+  FROM turns, crc GROUP BY c, t),
+convs AS (
+  SELECT s.c, s.h, s.n, least(s.h, coalesce(b.n, 0)) AS taken,
+         least(s.h, coalesce(b.n, 0)) + greatest(s.n - s.h, 0) AS len
+  FROM sizes s LEFT JOIN sizes b ON b.c = s.c - s.c % 20),
+built AS (
+  SELECT c, taken + i - h + 1 AS d, k, words FROM keyed JOIN convs USING (c) WHERE i >= h
+  UNION ALL
+  SELECT v.c, i + 1, k, words FROM convs v JOIN keyed b ON b.c = v.c - v.c % 20 AND b.i < v.h),
+pre AS (
+  SELECT c, d, words, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS p FROM built
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, left(p, -32) AS up,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '')) AS ends
+  FROM pre JOIN convs USING (c) GROUP BY p, d),
+children AS (SELECT up, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+own AS (
+  SELECT v.*, coalesce(k.n, 0) AS n_children, (v.n_convs - 1) * v.words AS saved FROM nodes v LEFT JOIN children k ON k.up = v.p),
+totals AS (
+  SELECT r.p, count(*) FILTER (v.n_children = 0) AS n_leaves, CAST(sum(v.saved) AS BIGINT) AS saved_tokens
+  FROM own v JOIN pre r ON r.c = v.conv_id AND r.d <= v.d GROUP BY r.p)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, t.n_leaves,
+       t.saved_tokens, v.ends AS ends_sha256
+FROM own v JOIN totals t USING (p) LEFT JOIN nodes u ON u.p = v.up AND v.d > 0
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
