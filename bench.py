@@ -59,7 +59,9 @@ def compare_baselines(spark, sf_dir: str) -> dict:
             out.append(acc)
         return pdf.assign(s=out)
 
-    def loop_backtest(pdf: pd.DataFrame, order: int = 8) -> pd.DataFrame:
+    order = 8
+
+    def loop_backtest(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("t")["y"].to_numpy()
         past = np.lib.stride_tricks.sliding_window_view(x[:-1], order)
         design, target = np.insert(past, 0, 1.0, axis=1), x[order:]
@@ -113,6 +115,7 @@ def main() -> None:
             entry.fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             took.append(round(time.perf_counter() - t0, 3))
         times[name] = took[0]
+        print(f"{name}: {took[0]} s", file=sys.stderr, flush=True)
         if repeats > 1:
             again[name] = min(took)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

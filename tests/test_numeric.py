@@ -177,10 +177,12 @@ def test_early_stopping_keeps_the_best_trees(spark):
     pdf = pd.DataFrame({"series_id": "a", "t": np.arange(600), "x": x, "y_tr_step_1": np.sin(2 * x) + rng.normal(size=600)})
     train, val = spark.createDataFrame(pdf[:400]), spark.createDataFrame(pdf[400:])
     fit = mo.fit_boosted_multistep(train, ["x"], 1, learning_rate=0.3, n_trees=30, val=val, early_stopping=True)
-    whole = mo.fit_boosted_multistep(train, ["x"], 1, learning_rate=0.3, n_trees=30)
-    data = mo._assemble(val.withColumn("label", F.col("y_tr_step_1")), ["x"])
-    losses = whole["models"][0].evaluateEachIteration(data, "squared")
-    assert fit["models"][0].getNumTrees == int(np.argmin(losses)) + 1
+    whole = mo.fit_boosted_multistep(train, ["x"], 1, learning_rate=0.3, n_trees=30)["models"][0]
+    losses = []
+    for k in range(1, 31):
+        pred = mo.predict_multistep([whole.first(k)], val).toPandas().sort_values("t")["y_pred"].to_numpy()
+        losses.append(((pred - pdf["y_tr_step_1"].to_numpy()[400:]) ** 2).mean())
+    assert len(fit["models"][0].trees) == int(np.argmin(losses)) + 1
     assert fit["status"] == ["ok"]
 
 

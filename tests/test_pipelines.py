@@ -135,21 +135,49 @@ def test_booster_candidates_are_the_first_trees_of_one_fit(spark, monkeypatch):
 
     rows = spark.range(300).select(F.lit("s").alias("series_id"), F.col("id").alias("t"), F.sin("id").alias("x"),
                                    (F.sin(F.col("id")) * 3 + 10).alias("y_tr_step_1"))
-    monkeypatch.setitem(mo.BOOSTER, "maxDepth", 2)
     short = mo.fit_boosted_multistep(rows, ["x"], 1, n_trees=3)["models"][0]
-    fits = []
-    fit = mo.fit_boosted_multistep
-    monkeypatch.setattr(mo, "fit_boosted_multistep", lambda *a, **k: fits.append(a[4:6]) or fit(*a, **k))
-    long = fit(rows, ["x"], 1, n_trees=10)["models"][0]
-    for kept in ([short], [mo.first_trees(long, 3)]):
-        assert kept[0].getNumTrees == 3
-    got, want = ([r.y_pred for r in mo.predict_multistep([m], rows, ["x"]).orderBy("t").collect()]
-                 for m in (mo.first_trees(long, 3), short))
+    long = mo.fit_boosted_multistep(rows, ["x"], 1, n_trees=10)["models"][0]
+    got, want = ([r.y_pred for r in mo.predict_multistep([m], rows).orderBy("t").collect()] for m in (long.first(3), short))
     assert got == want
+    sent = []
+    fit = mo.fit_boosters
+    monkeypatch.setattr(mo, "fit_boosters", lambda *a, **k: sent.append([(f.params.rate, f.params.trees) for f in a[4]])
+                        or fit(*a, **k))
     cands = [(0.1, 10), (0.5, 12), (0.1, 12), (0.5, 10)]
     hist = mo.booster_search(rows, rows, ["x"], cands, 1).orderBy("iteration").collect()
-    assert [(r.learning_rate, r.n_trees) for r in hist] == cands and sorted(fits) == [(0.1, 12), (0.5, 12)]
-    assert hist[0].weighted_f24 != hist[2].weighted_f24
+    assert [(r.learning_rate, r.n_trees) for r in hist] == cands and sent == [[(0.1, 12), (0.5, 12)]]
+    pred = {r.t: r.y_pred for r in mo.predict_multistep([long], rows).collect()}
+    y = {r.t: r.y_tr_step_1 for r in rows.collect()}
+    errors = [y[t] - p for t, p in pred.items()]
+    rmse = (sum(e * e for e in errors) / 300)
+    f24 = (rmse + sum(map(abs, errors)) / 300 + sum(abs(e) / (abs(y[t]) + 1e-10) for (t, _), e in zip(pred.items(), errors)) / 300) / 3
+    assert hist[0].weighted_f24 != hist[2].weighted_f24 and abs(hist[0].weighted_f24 - 5 * f24 / 10) < 1e-9  # step 1 weighs 5 of 10
+
+
+def test_joint_models_and_fallback(spark):
+    from tidemark.operators import models as mo
+
+    rows = spark.range(400).select(F.lit("s").alias("series_id"), F.col("id").alias("t"), F.sin("id").alias("x"),
+                                   *[(F.sin(F.col("id") + h) * 3 + 10).alias(f"y_tr_step_{h}") for h in (1, 2, 3)])
+    fit = mo.fit_boosted_multistep(rows, ["x"], 3, n_trees=8, joint=True)
+    assert len(fit["models"]) == 1 and fit["status"] == ["ok"]
+    pred = mo.predict_multistep(fit["models"], rows)
+    assert pred.count() == 1200 and {r.step for r in pred.select("step").distinct().collect()} == {1, 2, 3}
+    imp = mo.importance_frame(spark, fit["models"], top=1).collect()
+    assert [(r.feature, r.step, r["rank"]) for r in imp] == [("x", 1, 1), ("x", 2, 1), ("x", 3, 1), ("x", None, 1)]
+    bad = mo.fit_boosted_multistep(rows, ["x"], 1, learning_rate=-1, n_trees=5)
+    assert bad["status"] == ["fallback: ValueError"] and len(bad["models"][0].trees) == 100
+    assert bad["models"][0].params.rate == 0.1 and bad["models"][0].status == "fallback: ValueError"
+
+
+def test_the_search_keeps_its_models(spark):
+    out = pl.trend_forecast(fx.events_seasonal(spark, SF), use_transform=False, lag_search=False,
+                            candidates=[(0.3, 10), (0.3, 40), (0.05, 10)])
+    hist = out["history"].orderBy("iteration").collect()
+    best = min(hist, key=lambda r: r.weighted_f24)
+    assert all(m.params.rate == best.learning_rate and len(m.trees) <= best.n_trees == len(m.losses) or
+               len(m.trees) == len(m.losses) <= best.n_trees for m in out["models"])
+    assert out["status"] == ["ok"] * 3 and out["summary"].where("split = 'test'").count() > 0
 
 
 def test_registered_boosters_search_rates_and_trees(spark, monkeypatch):
@@ -162,7 +190,7 @@ def test_registered_boosters_search_rates_and_trees(spark, monkeypatch):
         seen.append(candidates)
         raise InterruptedError
 
-    monkeypatch.setattr(mo, "booster_search", search)
+    monkeypatch.setattr(mo, "search_boosters", search)
     monkeypatch.setattr(pl, "pooled_lags", lambda *a: [1])
     for name in ("booster_search", "fit_boosted_multistep", "evaluate_splits", "feature_importance"):
         try:

@@ -11,10 +11,10 @@ import pytest
 import __spark_entry__ as se
 
 SF = "/root/testdata/sf0.001"
-# these build Spark ML models or run decomposition searches while the query is
+# these fit models or run decomposition searches while the query is
 # constructed; their final plans are simple scans over checkpointed tables
 EAGER = {"fit_boosted_multistep", "evaluate_splits", "feature_importance", "booster_search", "stability_runs",
-         "fit_sequence_regressor", "epsilon_grid_search", "alpha_search"}
+         "fit_sequence_regressor", "feature_importance_top", "joint_boosted_multistep", "epsilon_grid_search", "alpha_search"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition")
 
 

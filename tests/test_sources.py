@@ -60,12 +60,25 @@ def test_sinks_and_models(spark):
     train = spark.createDataFrame(pdf)
     fit = mo.fit_boosted_multistep(train, ["x1"], steps=1, n_trees=5)
     sinks.save_models(fit["models"], f"{d}/m")
-    loaded = sinks.load_models(f"{d}/m", 1)
+    loaded = sinks.load_models(f"{d}/m")
     p1 = mo.predict_multistep(fit["models"], train, ["x1"]).orderBy("t").toPandas()["y_pred"]
     p2 = mo.predict_multistep(loaded, train, ["x1"]).orderBy("t").toPandas()["y_pred"]
     np.testing.assert_allclose(p1, p2)
 
 
+def test_joint_models_are_saved_whole(spark):
+    d = tempfile.mkdtemp(prefix="tidemark-test-")
+    train = spark.range(300).selectExpr("'a' AS series_id", "id AS t", "sin(id) AS x", "cos(id) AS z",
+                                        "sin(id) * 2 AS y_tr_step_1", "sin(id) + cos(id) AS y_tr_step_2")
+    models = mo.fit_boosted_multistep(train, ["x", "z"], 2, n_trees=6, joint=True)["models"]
+    sinks.save_models(models, f"{d}/m")
+    sinks.save_models(models, f"{d}/m")  # saved again: replaced, not added
+    [back] = sinks.load_models(f"{d}/m")
+    assert back.params == models[0].params and back.steps == [1, 2] and len(back.trees) == 6
+    p1, p2 = (mo.predict_multistep(m, train).orderBy("step", "t").toPandas()["y_pred"] for m in (models, [back]))
+    assert p1.tolist() == p2.tolist() and back.importance.tolist() == models[0].importance.tolist()
+
+
 def test_read_series_batch_keeps_order_across_many_splits(spark):
     d = tempfile.mkdtemp(prefix="tidemark-test-")
     vals = np.arange(2000, dtype=float) * 1.5

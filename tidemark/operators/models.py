@@ -1,104 +1,68 @@
-"""Distributed training and scoring with Spark ML.
+"""Distributed training and scoring.
 
-One regressor per forecast step, trained on the pooled feature rows of all
-series (Spark ML parallelises over rows).  Predictions come back as the long
-``predictions`` table and are scored with the grouped metrics.
+Histogram boosters (``operators.boosting``) per forecast step or for all steps
+jointly, trained on the pooled feature rows of all series, and linear models on
+look-back windows.  Predictions come back as the long ``predictions`` table and
+are scored with the grouped metrics.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import SparkContext
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as me
+from tidemark.operators.boosting import PATIENCE, Booster, BoostParams, Fit, best_round, fit_boosters, predict_boosters
 from tidemark.operators.search import LR_BOUNDS, TREE_BOUNDS
 
-# fixed values of the booster
-BOOSTER = {"maxDepth": 8, "subsamplingRate": 0.6019, "minInstancesPerNode": 17, "featureSubsetStrategy": "0.9899"}
-FALLBACK = {"stepSize": 0.1, "maxIter": 100}
-PATIENCE = 50  # rounds without improvement after which boosting stops
-FIT_ERRORS = (IllegalArgumentException, ValueError)  # a lost cluster is not a reason to fall back
-MAX_FITS = 4  # models fitted at the same time
+FALLBACK = {"rate": 0.1, "trees": 100}  # fixed values of the second attempt
+MAX_FITS = 4  # linear fits and stability runs at the same time
 
 
-def _assemble(df: DataFrame, features) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+def _targets(target: str, steps: int) -> list[str]:
+    return [f"{target}_step_{h}" for h in range(1, steps + 1)]
+
+
+def _groups(steps: int, joint: bool) -> list[list[int]]:
+    """Outputs of each model: all steps together, or one model per step."""
+    return [list(range(steps))] if joint else [[h] for h in range(steps)]
+
+
+def _params(learning_rate: float, n_trees: int, seed: int) -> tuple[BoostParams, str]:
+    """The wanted parameters, or the fallback's with a status that names the reason."""
+    try:
+        params = BoostParams(float(learning_rate), int(n_trees), int(seed))
+        params.check()
+        return params, "ok"
+    except (ValueError, TypeError) as exc:
+        return BoostParams(seed=int(seed), **FALLBACK), f"fallback: {type(exc).__name__}"
 
 
 def fit_boosted_multistep(train: DataFrame, features, steps: int = 3, target: str = "y_tr", learning_rate: float = 0.1,
                           n_trees: int = 100, seed: int = 42, val: DataFrame | None = None,
-                          early_stopping: bool = False) -> dict:
-    """One squared-error boosted-tree model per step (R1); with ``early_stopping``
-    the trees up to the best validation round stay, rounds end after PATIENCE
-    without a better one (R2); a fit that rejects its parameters is tried again
-    with 100 trees at lr 0.1 (R3).
-
-    Returns {"models": [model_h...], "status": [...]}."""
-    data = _assemble(train, features)
-    held = _assemble(val, features) if early_stopping and val is not None else None
-
-    def fit_step(h):
-        params = dict(BOOSTER, stepSize=float(learning_rate), maxIter=int(n_trees), seed=int(seed),
-                      labelCol=f"{target}_step_{h}", featuresCol="features", predictionCol="prediction")
-        status = "ok"
-        try:
-            model = GBTRegressor(**params).fit(data)
-        except FIT_ERRORS as exc:
-            params.update(FALLBACK)
-            model, status = GBTRegressor(**params).fit(data), f"fallback: {type(exc).__name__}"
-        if held is not None:
-            rounds = best_round(model.evaluateEachIteration(held, "squared"))
-            if rounds < model.getNumTrees:  # the first trees of a seeded fit are the same in a shorter one
-                model = GBTRegressor(**dict(params, maxIter=rounds)).fit(data)
-        return model, status
-
-    # the step models are independent: submit their Spark jobs concurrently
-    with ThreadPoolExecutor(max_workers=min(steps, MAX_FITS)) as pool:
-        fitted = list(pool.map(fit_step, range(1, steps + 1)))
-    return {"models": [m for m, _ in fitted], "status": [st for _, st in fitted]}
-
-
-def best_round(losses, patience: int = PATIENCE) -> int:
-    """Number of rounds up to the smallest loss, looking at most ``patience`` rounds past it (R2)."""
-    best = 0
-    for k, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
-def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
-    """The model of the first ``n`` trees: that of the same seeded fit with ``n`` rounds."""
-    if n >= model.getNumTrees:
-        return model
-    sc, java = SparkContext._active_spark_context, model._java_obj
-    package = sc._jvm.org.apache.spark.ml.regression
-    trees = sc._gateway.new_array(package.DecisionTreeRegressionModel, n)
-    weights = sc._gateway.new_array(sc._jvm.double, n)
-    all_trees, all_weights = java.trees(), java.treeWeights()
-    for k in range(n):
-        trees[k], weights[k] = all_trees[k], all_weights[k]
-    return GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
-
-
-def predict_multistep(models, df: DataFrame, features, keys=("series_id", "t"), extra=()) -> DataFrame:
-    """Long predictions (keys, extra, step, y_pred) of every step model."""
-    base = _assemble(df, features)
-    out = None
-    for h, model in enumerate(models, start=1):
-        p = model.transform(base).select(*keys, *extra, F.lit(h).cast("long").alias("step"),
-                                         F.col("prediction").alias("y_pred"))
-        out = p if out is None else out.unionByName(p)
-    return out
+                          early_stopping: bool = False, joint: bool = False) -> dict:
+    """Squared-error boosters, one per step or one for all steps with vectors in
+    its leaves (``joint``) (R1); with ``early_stopping`` rounds end after
+    PATIENCE without a better validation loss and the trees up to the best stay
+    (R2); parameters that are rejected are replaced by 100 trees at lr 0.1 (R3).
+
+    Returns {"models": [booster...], "status": [...]}."""
+    params, status = _params(learning_rate, n_trees, seed)
+    stop = early_stopping and val is not None
+    fits = [Fit(outputs, params) for outputs in _groups(steps, joint)]
+    models = fit_boosters(train, val if stop else None, features, _targets(target, steps), fits, PATIENCE if stop else None)
+    for m in models:
+        m.status = status
+    return {"models": [m.stopped() if stop else m for m in models], "status": [status] * len(models)}
+
+
+def predict_multistep(models: list[Booster], df: DataFrame, features=None, keys=("series_id", "t"), extra=()) -> DataFrame:
+    """Long predictions (keys, extra, step, y_pred) of every model."""
+    return predict_boosters(models, df, keys, extra).drop("model", "trees")
 
 
 def evaluate_splits(models, feats: DataFrame, series: DataFrame, features, steps: int = 3, target: str = "y_tr",
@@ -121,57 +85,67 @@ def evaluate_splits(models, feats: DataFrame, series: DataFrame, features, steps
     return me.performance_summary(m, keys=(), weights=weights)
 
 
-def feature_importance(models, features) -> list:
+def feature_importance(models: list[Booster], features=None) -> list:
     """Every feature's importance per step.
 
     Importances are a property of the fitted models (a few numbers per
-    feature), read on the driver."""
-    rows = []
-    for h, model in enumerate(models, start=1):
-        imp = model.featureImportances.toArray().tolist()
-        rows += [(f, float(v), h) for f, v in zip(features, imp)]
-    return rows
+    feature), read on the driver; a joint model has the same for all its steps."""
+    return [(f, float(v), h) for m in models for h in m.steps for f, v in zip(m.features, m.importance)]
+
 
+def importance_frame(spark, models, features=None, top: int | None = None) -> DataFrame:
+    """(feature, importance, step, rank) sorted; the mean across steps has step
+    NULL; ``top``: only the most important of each step and of the mean (M13)."""
+    from pyspark.sql import Window
 
-def importance_frame(spark, models, features) -> DataFrame:
-    """(feature, importance, step), sorted; the mean across steps has step NULL."""
-    rows = feature_importance(models, features)
-    per_step = spark.createDataFrame(rows, "feature string, importance double, step long")
+    per_step = spark.createDataFrame(feature_importance(models), "feature string, importance double, step long")
     mean = per_step.groupBy("feature").agg(F.avg("importance").alias("importance")).withColumn("step", F.lit(None).cast("long"))
-    return per_step.unionByName(mean).orderBy(F.col("step").asc_nulls_last(), F.desc("importance"))
+    w = Window.partitionBy("step").orderBy(F.desc("importance"), "feature")
+    out = per_step.unionByName(mean).withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        out = out.where(F.col("rank") <= top)
+    return out.orderBy(F.col("step").asc_nulls_last(), "rank")
 
 
-def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps: int = 3, target: str = "y_tr",
-                   seed: int = 42, parallelism: int | None = None) -> DataFrame:
+def search_boosters(train: DataFrame, val: DataFrame, features, candidates, steps: int = 3, target: str = "y_tr",
+                    seed: int = 42, joint: bool = False) -> tuple[DataFrame, dict]:
     """Score (learning_rate, n_trees) candidates by validation weighted F24 (H8).
 
-    Each learning rate is fitted once, to its largest tree count, and its
-    candidates are scored by the first trees of that fit; a small driver thread
-    pool submits learning rates concurrently.  Returns the search history
-    (iteration, learning_rate, n_trees, weighted_f24, best_so_far)."""
+    All learning rates (and steps) are fitted side by side, each once and to its
+    largest tree count; a candidate is scored by the first trees of its fit, all
+    of them in one pass over the validation rows.  Returns the search history
+    (iteration, learning_rate, n_trees, weighted_f24, best_so_far) and the fitted
+    models by learning rate, with their validation losses."""
     spark = train.sparkSession
     for lr, nt in candidates:
         if not (LR_BOUNDS[0] <= lr <= LR_BOUNDS[1] and TREE_BOUNDS[0] <= nt <= TREE_BOUNDS[1]):
             raise ValueError(f"candidate ({lr}, {nt}) outside {LR_BOUNDS} x {TREE_BOUNDS}")
-
-    truth = val.select("series_id", "t", F.posexplode(F.array(*[F.col(f"{target}_step_{h}") for h in range(1, steps + 1)]))
+    rates = list(dict.fromkeys(lr for lr, _ in candidates))
+    most = {lr: max(int(nt) for rate, nt in candidates if rate == lr) for lr in rates}
+    groups = _groups(steps, joint)
+    fits = [Fit(outputs, BoostParams(lr, most[lr], seed)) for lr in rates for outputs in groups]
+    models = fit_boosters(train, val, features, _targets(target, steps), fits)
+    fitted = {lr: models[k * len(groups):(k + 1) * len(groups)] for k, lr in enumerate(rates)}
+
+    counts = [sorted({int(nt) for rate, nt in candidates if rate == fit.params.rate}) for fit in fits]
+    pred = predict_boosters(models, val, counts=counts)
+    truth = val.select("series_id", "t", F.posexplode(F.array(*[F.col(c) for c in _targets(target, steps)]))
                        .alias("_i", "y_true")).select("series_id", "t", (F.col("_i") + 1).cast("long").alias("step"), "y_true")
-
-    def run(lr):
-        own = [(i, nt) for i, (rate, nt) in enumerate(candidates, start=1) if rate == lr]
-        models = fit_boosted_multistep(train, features, steps, target, lr, max(nt for _, nt in own), seed)["models"]
-        out = []
-        for i, nt in own:
-            pred = predict_multistep([first_trees(m, nt) for m in models], val, features)
-            m = me.forecast_metrics(pred.join(truth, on=["series_id", "t", "step"]).withColumn("_all", F.lit(1)), ["_all", "step"])
-            out.append((i, float(lr), int(nt), float(me.weighted_f24(m, ["_all"]).first()["weighted_f24"])))
-        return out
-
-    with ThreadPoolExecutor(max_workers=parallelism or MAX_FITS) as pool:
-        results = sorted(r for rows in pool.map(run, dict.fromkeys(lr for lr, _ in candidates)) for r in rows)
-    hist = spark.createDataFrame(results, "iteration long, learning_rate double, n_trees long, weighted_f24 double")
-    return me.convergence_curve(hist.withColumn("_all", F.lit(1)), ["_all"], "iteration", "weighted_f24").join(
+    pred = pred.withColumn("rate_no", F.floor(F.col("model") / len(groups)))
+    m = me.forecast_metrics(pred.join(truth, on=["series_id", "t", "step"]), ["rate_no", "trees", "step"])
+    scores = {(rates[r["rate_no"]], r["trees"]): float(r["weighted_f24"])
+              for r in me.weighted_f24(m, ["rate_no", "trees"]).collect()}
+    rows = [(i, float(lr), int(nt), scores.get((lr, int(nt)))) for i, (lr, nt) in enumerate(candidates, start=1)]
+    hist = spark.createDataFrame(rows, "iteration long, learning_rate double, n_trees long, weighted_f24 double")
+    hist = me.convergence_curve(hist.withColumn("_all", F.lit(1)), ["_all"], "iteration", "weighted_f24").join(
         hist, on="iteration").drop("_all")
+    return hist, fitted
+
+
+def booster_search(train: DataFrame, val: DataFrame, features, candidates, steps: int = 3, target: str = "y_tr",
+                   seed: int = 42, joint: bool = False) -> DataFrame:
+    """The history of ``search_boosters`` (H8)."""
+    return search_boosters(train, val, features, candidates, steps, target, seed, joint)[0]
 
 
 def fit_sequence_regressor(samples: DataFrame, steps: int = 3, reg: float = 1e-3, elastic: float = 0.0,
@@ -218,5 +192,6 @@ def stability_runs(train: DataFrame, test: DataFrame, fit_fn, predict_fn, seeds,
     return spark.createDataFrame(rows, "run long, seed long, weighted_rmse double")
 
 
-__all__ = ["fit_boosted_multistep", "predict_multistep", "evaluate_splits", "feature_importance", "importance_frame",
-           "best_round", "booster_search", "first_trees", "fit_sequence_regressor", "predict_sequence", "stability_runs", "vector_to_array"]
+__all__ = ["best_round", "booster_search", "evaluate_splits", "feature_importance", "fit_boosted_multistep",
+           "fit_sequence_regressor", "importance_frame", "predict_multistep", "predict_sequence", "search_boosters",
+           "stability_runs", "vector_to_array"]

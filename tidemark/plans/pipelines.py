@@ -97,11 +97,12 @@ def pooled_lags(train: DataFrame, val: DataFrame, steps: int = 3) -> list[int]:
 
 def trend_forecast(series: DataFrame, learning_rate: float = 0.1, n_trees: int = 50, seed: int = 42,
                    use_transform: bool = True, steps: int = 3, lag_search: bool = True, candidates=None,
-                   early_stopping: bool = True) -> dict:
+                   early_stopping: bool = True, joint: bool = False) -> dict:
     """L3: features -> per-series transform choice -> targets -> split -> lag set
     search -> booster search over ``candidates`` ((learning rate, trees) pairs,
-    none: the given values) -> per-step boosters that stop on the validation
-    rows -> metrics in both domains, with the weighted F24 of each split.
+    none: the given values) -> boosters per step (or ``joint``) that stop on the
+    validation rows, cut from the search's own fits -> metrics in both domains,
+    with the weighted F24 of each split.
     """
     from tidemark.session import cut_lineage
 
@@ -117,11 +118,14 @@ def trend_forecast(series: DataFrame, learning_rate: float = 0.1, n_trees: int =
         features = feature_subset(features, lags)
     history = None
     if candidates:
-        history = mo.booster_search(train, val, features, candidates, steps, BOOSTER_TARGET, seed)
+        history, fitted = mo.search_boosters(train, val, features, candidates, steps, BOOSTER_TARGET, seed, joint)
+        history = cut_lineage(history)
         best = history.orderBy(F.asc_nulls_last("weighted_f24"), "iteration").first()
-        learning_rate, n_trees = best["learning_rate"], best["n_trees"]
-    fit = mo.fit_boosted_multistep(train, features, steps, BOOSTER_TARGET, learning_rate, n_trees, seed, val=val,
-                                   early_stopping=early_stopping)
+        models = [m.first(int(best["n_trees"])) for m in fitted[best["learning_rate"]]]
+        fit = {"models": [m.stopped() if early_stopping else m for m in models], "status": [m.status for m in models]}
+    else:
+        fit = mo.fit_boosted_multistep(train, features, steps, BOOSTER_TARGET, learning_rate, n_trees, seed, val=val,
+                                       early_stopping=early_stopping, joint=joint)
     summary = mo.evaluate_splits(fit["models"], table, series.select("series_id", "t", "y"), features, steps,
                                  BOOSTER_TARGET, flags=flags, seas=seas, diff=diff)
     return {"lags": lags, "history": history, "table": table, "features": features, "models": fit["models"], "status": fit["status"], "summary": summary,
