@@ -241,3 +241,26 @@ def test_long_series_is_decomposed(spark):
     out = dc.ensemble_decompose(_series(spark, {"a": x}), trials=2, epsilon=0.02, max_modes=2)
     back = out.groupBy("t").agg(F.sum("value").alias("v")).orderBy("t").toPandas()["v"].to_numpy()
     np.testing.assert_allclose(back, x, atol=1e-9)
+
+
+def test_cyclic_reduction_equals_a_dense_solve():
+    from tidemark.operators.emd import solve_dominant
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 50, 257):
+        low, high = rng.uniform(0, 3, n), rng.uniform(0, 3, n)
+        low[0] = high[-1] = 0
+        if n > 40:
+            low[20] = high[19] = 0  # two systems in a row
+        diagonal = 2 * (low + high) + 1e-3
+        a = np.diag(diagonal) + np.diag(low[1:], -1) + np.diag(high[:-1], 1)
+        right = rng.normal(size=n)
+        np.testing.assert_allclose(solve_dominant(low, diagonal, high, right), np.linalg.solve(a, right), rtol=1e-9, atol=1e-9)
+
+
+def test_flat_beginnings_and_plateaus_count_once():
+    from tidemark.operators.emd import turning_points
+
+    maxima, minima = turning_points(np.array([[1.0, 1, 0, 0, 2, 2, 2, 1], [0, 0, 1, 1, 1, 0, 0, 0], [3, 3, 3, 3, 3, 3, 3, 3]]))
+    assert [np.flatnonzero(r).tolist() for r in maxima] == [[1, 6], [4], []]
+    assert [np.flatnonzero(r).tolist() for r in minima] == [[3], [1], []]

@@ -116,8 +116,9 @@ def test_searches_are_registered_whole(spark, monkeypatch):
 
     seen = []
 
-    def stages(series, score_fn, keys, grid, runs, refine_points, bounds, min_gain, trials, seed, max_modes):
-        seen.append((trials, runs, refine_points, len(grid), series.select(*keys).distinct().count()))
+    def stages(series, score_fn, keys, grid, runs, refine_points, bounds, min_gain, trials, seed, max_modes,
+               grid_runs=None):
+        seen.append((trials, grid_runs or runs, runs, refine_points, len(grid), series.select(*keys).distinct().count()))
         raise InterruptedError
 
     monkeypatch.setattr(se, "_epsilon_stages", stages)
@@ -127,7 +128,7 @@ def test_searches_are_registered_whole(spark, monkeypatch):
             catalog.REGISTRY[name].run(spark, SF)
         except InterruptedError:
             pass
-    assert seen == [(100, 2, 25, 5, n), (100, 2, 25, 5, 20 * n)]
+    assert seen == [(100, 2, 2, 25, 5, n), (100, 1, 2, 25, 5, 20 * n)]
 
 
 def test_booster_candidates_are_the_first_trees_of_one_fit(spark, monkeypatch):

@@ -15,12 +15,22 @@ SD_STOP = 0.2
 
 def turning_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Masks of the maxima and minima of each row; a plateau counts once, at its end."""
-    slope = np.sign(np.diff(x, axis=1))
-    last = np.maximum.accumulate(np.where(slope != 0, np.arange(slope.shape[1]), 0), axis=1)
-    slope = np.take_along_axis(slope, last, axis=1)  # flat steps keep the slope before them
-    turn = np.diff(slope, axis=1)
     maxima, minima = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
-    maxima[:, 1:-1], minima[:, 1:-1] = turn < 0, turn > 0
+    if x.shape[1] < 3:
+        return maxima, minima
+    left, right = x[:, :-1], x[:, 1:]
+    up = right > left
+    flat = right == left
+    if flat.any():  # flat steps keep the direction before them; the end of a flat beginning counts too
+        last = np.maximum.accumulate(np.where(flat, -1, np.arange(up.shape[1])), axis=1)
+        up = np.take_along_axis(up, np.maximum(last, 0), axis=1)
+        new = (last[:, :-1] < 0) & (last[:, 1:] >= 0)
+        known = last[:, :-1] >= 0
+        maxima[:, 1:-1] = ~up[:, 1:] & (up[:, :-1] & known | new)
+        minima[:, 1:-1] = up[:, 1:] & (~up[:, :-1] & known | new)
+    else:
+        np.greater(up[:, :-1], up[:, 1:], out=maxima[:, 1:-1])
+        np.less(up[:, :-1], up[:, 1:], out=minima[:, 1:-1])
     return maxima, minima
 
 
@@ -30,53 +40,75 @@ def n_extrema(x: np.ndarray) -> int:
     return int(maxima.sum() + minima.sum())
 
 
+def solve_dominant(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Tridiagonal system whose diagonal is at least twice its neighbours' sum, by
+    parallel cyclic reduction: every step couples unknowns twice as far apart
+    and squares the couplings, which vanish after a few steps."""
+    a, c, r = low / diagonal, high / diagonal, right / diagonal
+    far = 1
+    while far < len(r):
+        d = np.ones(len(r))
+        cross = a[far:] * c[:-far]
+        d[far:] -= cross
+        d[:-far] -= cross
+        new = r.copy()
+        new[far:] -= a[far:] * r[:-far]
+        new[:-far] -= c[:-far] * r[far:]
+        r = np.divide(new, d, out=new)
+        next_a, next_c = np.zeros(len(r)), np.zeros(len(r))
+        np.multiply(a[far:], a[:-far], out=next_a[far:])
+        np.multiply(c[:-far], c[far:], out=next_c[:-far])
+        a, c = np.divide(-next_a, d), np.divide(-next_c, d)
+        far *= 2
+        if max(np.abs(a).max(), np.abs(c).max()) < 1e-18:
+            break
+    return r
+
+
 def envelopes(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Natural cubic spline of each row through its marked points (at least one);
-    both end points take the value of the nearest mark."""
+    both end points take the value of the nearest mark.
+
+    The tridiagonal systems of all rows are one flat system; the cubic of each
+    interval is laid out over its points by its run length."""
     m, n = x.shape
     rows = np.arange(m)
     first, last = marks.argmax(1), n - 1 - marks[:, ::-1].argmax(1)
-    values = x.copy()
-    values[:, 0], values[:, -1] = x[rows, first], x[rows, last]
     knots = marks.copy()
-    knots[:, [0, -1]] = True
+    knots[:, 0] = knots[:, -1] = True
+    at = np.flatnonzero(knots)  # row * n + position
+    yk = x.ravel()[at]
     count = knots.sum(1)
-    width = int(count.max())
-    r, c = np.nonzero(knots)
-    k = (np.cumsum(knots, axis=1) - 1)[r, c]
-    xk = np.full((m, width), 0.0)
-    yk = np.zeros((m, width))
-    xk[r, k], yk[r, k] = c, values[r, c]
-    pad = np.arange(width)[None, :] >= count[:, None]
-    h = np.where(pad[:, 1:], 1.0, xk[:, 1:] - np.where(pad[:, :-1], 0, xk[:, :-1]))
-    slope = np.where(pad[:, 1:], 0.0, np.diff(yk, axis=1) / h)
-    bend = np.zeros((m, width))  # second derivatives; zero at both ends
-    inner = width - 2
-    if inner > 0:
-        live = ~pad[:, 2:]
-        # knots outermost: each step of the solve reads one contiguous row
-        low = np.where(live, h[:, :-1], 0.0).T.copy()
-        high = np.where(live, h[:, 1:], 0.0).T.copy()
-        diagonal = np.where(live, 2 * (h[:, :-1] + h[:, 1:]), 1.0).T.copy()
-        right = np.where(live, 6 * (slope[:, 1:] - slope[:, :-1]), 0.0).T.copy()
-        for j in range(1, inner):
-            f = low[j] / diagonal[j - 1]
-            diagonal[j] -= f * high[j - 1]
-            right[j] -= f * right[j - 1]
-        right[-1] /= diagonal[-1]
-        for j in range(inner - 2, -1, -1):
-            right[j] = (right[j] - high[j] * right[j + 1]) / diagonal[j]
-        bend[:, 1:-1] = right.T
-        bend[pad] = 0.0
-        bend[rows, count - 1] = 0.0
-    piece = np.minimum(np.cumsum(knots, axis=1) - 1, (count - 2)[:, None])
-    flat = piece + (rows * width)[:, None]
-    hj = h.ravel()[piece + (rows * (width - 1))[:, None]]
-    b0, b1 = bend.ravel()[flat], bend.ravel()[flat + 1]
-    y0, y1 = yk.ravel()[flat], yk.ravel()[flat + 1]
-    t0 = np.arange(n)[None, :] - xk.ravel()[flat]
-    t1 = hj - t0
-    return (b0 * t1 ** 3 + b1 * t0 ** 3) / (6 * hj) + (y0 / hj - b0 * hj / 6) * t1 + (y1 / hj - b1 * hj / 6) * t0
+    stop = np.cumsum(count)
+    start = stop - count
+    yk[start], yk[stop - 1] = x[rows, first], x[rows, last]
+    # interval k of a row runs from its knot k to knot k + 1; the last knot begins none
+    h = np.empty(len(at))
+    h[:-1] = np.diff(at)
+    h[stop - 1] = 1.0
+    slope = np.zeros(len(at))
+    slope[:-1] = np.diff(yk) / h[:-1]
+    bend = np.zeros(len(at))  # second derivatives; zero at both ends
+    is_inner = np.ones(len(at), bool)
+    is_inner[start] = is_inner[stop - 1] = False
+    k = np.flatnonzero(is_inner)
+    if len(k):
+        # rows follow each other as one system: an end has no coupling to its neighbour
+        low, high = h[k - 1] * is_inner[k - 1], h[k] * is_inner[k + 1]
+        bend[k] = solve_dominant(low, 2 * (h[k - 1] + h[k]), high, 6 * (slope[k] - slope[k - 1]))
+    # y + t (b + t (c + t d)) with t from the interval's own beginning
+    following = np.append(bend[1:], 0.0)
+    c, d = bend / 2, (following - bend) / (6 * h)
+    b = slope - h * (2 * bend + following) / 6
+    length = h.astype(np.int64)
+    length[stop - 1] = 1  # the end point itself: t = 0 gives its value
+    out = np.repeat(d, length)
+    t = np.arange(m * n, dtype=float)
+    t -= np.repeat(at.astype(float), length)
+    for part in (c, b, yk):
+        out *= t
+        out += np.repeat(part, length)
+    return out.reshape(m, n)
 
 
 def first_modes(x: np.ndarray, max_sift: int = MAX_SIFT) -> np.ndarray:
@@ -91,9 +123,12 @@ def first_modes(x: np.ndarray, max_sift: int = MAX_SIFT) -> np.ndarray:
             break
         now = h[going]
         both = envelopes(np.concatenate([now, now]), np.concatenate([maxima, minima]))
-        mean = (both[:len(now)] + both[len(now):]) / 2
-        h[going] = now - mean
-        change = (mean ** 2).sum(1) / np.maximum((now ** 2).sum(1), 1e-300)
+        mean = both[:len(now)]
+        mean += both[len(now):]
+        mean *= 0.5
+        change = np.einsum("ij,ij->i", mean, mean) / np.maximum(np.einsum("ij,ij->i", now, now), 1e-300)
+        now -= mean
+        h[going] = now
         going = going[change >= SD_STOP]
     return h
 
