@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import prepare, slices, text_bytes
-from tidemark.llm.pretoken import LETTER, classes, spans
+from tidemark.llm.pretoken import LETTER, classes, distinct_words
 
 # Entries of a worker's caches (words, arcs); a full cache starts anew.
 CACHE_WORDS = 500_000
@@ -206,12 +206,12 @@ class WordCoder:
     def __init__(self, code, most: int = CACHE_WORDS):
         self.code, self.most, self.known, self.older = code, most, {}, {}
 
-    def look_up(self, joined: str, start: np.ndarray, end: np.ndarray) -> list:
-        words = [joined[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+    def look_up(self, words: list[bytes]) -> list:
+        """The encodings of distinct words."""
         known, older = self.known, self.older
         found = list(map(known.get, words))
-        if None in found:
-            missing = {w for w, f in zip(words, found, strict=True) if f is None}
+        missing = [w for w, f in zip(words, found, strict=True) if f is None]
+        if missing:
             if len(known) + len(missing) > self.most:
                 self.older, older, kept = known, known, {w: known[w] for w in words if w in known}
                 known = self.known = kept
@@ -239,8 +239,9 @@ def encoded_rows(texts: list[str], path: str, coder: WordCoder) -> list[tuple[in
                 part = ""
             pieces.append(normalize(part))
             owner.append(row)
-    joined, start, end, row = spans(pieces, "word")
-    coded = coder.look_up(joined, start, end)
+    words, which, row = distinct_words(pieces, "word")
+    codes = coder.look_up(words)
+    coded = [codes[k] for k in which.tolist()]
     cuts = np.searchsorted(row, np.arange(len(pieces) + 1)).tolist()
     parts_of: list[list] = [[] for _ in texts]
     for k, r in enumerate(owner):
@@ -252,14 +253,16 @@ def encoded_rows(texts: list[str], path: str, coder: WordCoder) -> list[tuple[in
             for parts in parts_of]
 
 
+@lru_cache(maxsize=1)
 def word_coder(path: str) -> WordCoder:
+    """Kept by each worker, so words that one task coded are known to its next."""
     automaton, _ = load(path)
     shown = byte_characters()
 
-    def code(words: list[str]) -> list[tuple[int, bytes, str]]:
+    def code(words: list[bytes]) -> list[tuple[int, bytes, str]]:
         out = []
         for w in words:
-            ids = automaton.encode_word("".join([shown[b] for b in w.encode("utf-8", "surrogatepass")]))
+            ids = automaton.encode_word("".join([shown[b] for b in w]))
             out.append((len(ids), " ".join(map(str, ids)).encode(), " ".join([automaton.label[i] for i in ids])))
         return out
 

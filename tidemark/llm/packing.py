@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import WordCoder, split_specials
 from tidemark.llm.common import partitions, prepare, slices, text_bytes, written
-from tidemark.llm.pretoken import spans
+from tidemark.llm.pretoken import distinct_words
 
 GROUPS = 96  # rounded sizes of the linear grouping
 SMALL = 0.45  # lengths up to this share of a sequence are small
@@ -192,8 +193,10 @@ def plan_packing(histogram: dict[int, int], size: int, groups: int = GROUPS, sma
 
 # --- tokens and pieces --------------------------------------------------------
 
+@lru_cache(maxsize=1)
 def id_coder(path: str) -> tuple[WordCoder, dict[str, int]]:
-    """Words to the little-endian 32-bit ids that the tokenizers library gives them."""
+    """Words to the little-endian 32-bit ids that the tokenizers library gives
+    them; kept by each worker, so words that one task coded are known to its next."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,9 +207,10 @@ def id_coder(path: str) -> tuple[WordCoder, dict[str, int]]:
     tokenizer.no_padding()
     specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-    def code(words: list[str]) -> list[bytes]:
+    def code(words: list[bytes]) -> list[bytes]:
         pack = struct.pack
-        found = (e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        found = (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         return [pack(f"<{len(i)}I", *i) for i in found]
 
     return WordCoder(code), specials
@@ -222,16 +226,20 @@ def id_bytes(texts: list[str], coder: WordCoder, specials: dict[str, int]) -> li
                 part = ""
             pieces.append(part)
             owner.append(row)
-    joined, start, end, row = spans(pieces, "byte")
-    coded = coder.look_up(joined, start, end)
-    cuts = np.searchsorted(row, np.arange(len(pieces) + 1)).tolist()
-    parts_of: list[list[bytes]] = [[] for _ in texts]
+    words, which, row = distinct_words(pieces, "byte")
+    codes = coder.look_up(words)
+    # every word's ids laid out one after the other, without an object per word
+    size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    first = np.cumsum(size) - size
+    length = size[which]
+    ends = np.cumsum(length)
+    every = np.frombuffer(b"".join(codes), "<u4")
+    ids = every[np.arange(int(length.sum())) + np.repeat(first[which] - (ends - length), length)]
+    edges = np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(pieces) + 1))].tolist()
+    out: list[list[bytes]] = [[] for _ in texts]
     for k, r in enumerate(owner):
-        if k in fixed:
-            parts_of[r].append(fixed[k])
-        else:
-            parts_of[r].extend(coded[cuts[k]:cuts[k + 1]])
-    return [b"".join(p) for p in parts_of]
+        out[r].append(fixed.get(k) or ids[edges[k]:edges[k + 1]].tobytes())
+    return [b"".join(p) for p in out]
 
 
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:

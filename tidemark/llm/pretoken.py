@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
@@ -32,8 +33,9 @@ def classes() -> np.ndarray:
     return _CLASSES
 
 
-def spans(texts: list[str], rule: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """(joined text, start, end, row) of every pre-token, in order."""
+def _cuts(texts: list[str], rule: str):
+    """(joined text, its code points, begins of all runs, which of them are
+    pre-tokens, positions of the texts' ends); a run ends where the next begins."""
     joined = "\0".join([*texts, ""])
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -70,11 +72,38 @@ def spans(texts: list[str], rule: str) -> tuple[str, np.ndarray, np.ndarray, np.
         joins = np.flatnonzero(inner & (code == 32)) + 1
         begins[joins] = False
         at = np.flatnonzero(begins)
-        ends = np.append(at[1:], n)
         keep = kind[at] != EDGE
     else:
         at = np.flatnonzero(begins)
-        ends = np.append(at[1:], n)
         keep = (kind[at] != EDGE) & (kind[at] != SPACE)
+    return joined, code, at, keep, edges
+
+
+def spans(texts: list[str], rule: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined text, start, end, row) of every pre-token, in order."""
+    joined, code, at, keep, edges = _cuts(texts, rule)
+    ends = np.append(at[1:], len(code))
     at, ends = at[keep], ends[keep]
     return joined, at, ends, np.searchsorted(edges, at)
+
+
+def distinct_words(texts: list[str], rule: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct pre-tokens in UTF-8, which of them, row) of every pre-token, in order.
+
+    The runs cover the joined text without gaps, so their begins are the offsets
+    of an Arrow array over its bytes; Arrow finds the distinct ones without a
+    Python object per word."""
+    joined, code, at, keep, edges = _cuts(texts, rule)
+    raw = joined.encode("utf-8", "surrogatepass")
+    width = np.ones(len(code), np.int64)
+    for bound in (0x7F, 0x7FF, 0xFFFF):
+        width += code > bound
+    ends = np.cumsum(width)
+    small = len(raw) < 1 << 31
+    offsets = np.append(ends[at] - width[at], len(raw)).astype(np.int32 if small else np.int64)
+    runs = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(at),
+                                 [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    which = runs.indices.to_numpy()[keep]
+    used = np.zeros(len(runs.dictionary), bool)
+    used[which] = True
+    return runs.dictionary.filter(pa.array(used)).to_pylist(), (np.cumsum(used) - 1)[which], np.searchsorted(edges, at[keep])
