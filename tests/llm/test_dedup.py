@@ -169,3 +169,16 @@ def test_sketch_bound_is_the_binomial_tail():
         agree, p = jaccard.sketch_agreement(threshold), (1 + threshold) / 2
         assert sum(comb(128, k) * p ** k * (1 - p) ** (128 - k) for k in range(agree)) <= 1e-9
         assert sum(comb(128, k) * p ** k * (1 - p) ** (128 - k) for k in range(agree + 1)) > 1e-9
+
+
+def test_layout_is_kept_where_nothing_goes(make, corpus):
+    docs = make(corpus)
+    joined = {(r["doc_id"], r["kept_text"], r["n_removed"]) for r in substring.remove_repeats(docs).collect()}
+    laid = substring.remove_repeats(docs, layout=True).collect()
+    assert {(r["doc_id"], " ".join(re.findall(WORD, r["kept_text"])), r["n_removed"]) for r in laid} == joined
+    source = defaultdict(set)
+    for i, t in corpus:
+        source[i].add(t or "")
+    for r in laid:
+        if r["n_removed"] == 0:
+            assert r["kept_text"] in source[r["doc_id"]]

@@ -74,6 +74,27 @@ def test_recall_on_the_given_table(spark):
     assert hit >= 0.95 * len(got)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    table = vectors(spark, [(0, [1.0, 0.0]), (0, [-1.0, 0.0]), (1, [1.0, 0.1]), (2, [-1.0, 0.2]), (3, [0.0, 1.0]),
+                            (50, [2.0, 1.0]), (50, [2.0, 1.0])])
+    got = ann.nearest_neighbours(table, table.where("vec_id % 50 = 0"), k=6).collect()
+    # every query row has the six other rows, whichever id they carry
+    assert len(got) == 4 * 6 and {r["rank"] for r in got} == set(range(1, 7))
+    near = sorted((r["query_id"], r["vec_id"], round(r["score"], 6)) for r in got if r["rank"] == 1)
+    assert near == [(0, 1, 0.995037), (0, 2, 0.980581), (50, 50, 1.0), (50, 50, 1.0)]
+    assert sum(r["query_id"] == 0 and r["vec_id"] == 0 and abs(r["score"] + 1) < 1e-12 for r in got) == 2
+
+
+def test_recall_on_one_large_segment(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet'").fetchall()
+    table = vectors(spark, rows)
+    want = nearest_by_hand(rows, {i for i, _ in rows if i % 50 == 0}, 5)
+    got = ann.nearest_neighbours(table, table.where("vec_id % 50 = 0"), segments=1).collect()
+    hit = sum(-r["score"] <= want[r["query_id"]][-1][0] + 1e-9 for r in got)
+    assert len(got) == sum(len(w) for w in want.values()) and hit >= 0.95 * len(got)
+
+
 def test_few_and_no_vectors(spark):
     table = vectors(spark, [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None)])
     got = ann.nearest_neighbours(table, table).collect()

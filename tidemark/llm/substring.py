@@ -111,13 +111,15 @@ _BACK = "_block int, back binary"
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text",
                    carry: list[str] | None = None, blocks: int | None = None, first: int = FIRST,
-                   bits: int = FILTER_BITS) -> DataFrame:
+                   bits: int = FILTER_BITS, layout: bool = False) -> DataFrame:
     """(id, *carry, kept_text, n_words, n_removed) for every row of ``docs``.
 
     Words are runs of characters other than space and U+0009..U+000D.  A word
     goes if a window of ``window`` words that covers it also starts anywhere
     else in the input, the same document included (overlapping itself too).
-    Kept words are joined by one space.  Null and empty texts have no words and
+    Kept words are joined by one space; with ``layout`` the removed words are cut
+    out of the text as it stands, each with the white space up to the next
+    word, so a text that loses nothing stays as it is.  Null and empty texts have no words and
     an empty kept text; so do texts that are removed whole: no row is dropped.
     Rows that repeat an id are documents of their own, null ids stay null, an
     empty table gives an empty result; other columns play no part, and those
@@ -194,7 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         n_words = np.diff(block.first)
         sums = np.concatenate([[0], np.cumsum(gone)])
         n_gone = sums[block.first[1:]] - sums[block.first[:-1]]
-        text = pa.concat_arrays([pa.array([], pa.string()), *kept_texts(block, ~gone)])
+        text = pa.concat_arrays([pa.array([], pa.string()), *(cut_texts if layout else kept_texts)(block, ~gone)])
         kept = {c: table.column(c) for c in passed}
         return pa.table(kept | {"kept_text": text, "n_words": pa.array(n_words, pa.int64()),
                                 "n_removed": pa.array(n_gone, pa.int64())})
@@ -233,3 +235,25 @@ def kept_texts(block: Block, keep: np.ndarray) -> list[pa.Array]:
         out.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets.tobytes()),
                                                pa.py_buffer(raw[inside].tobytes())))
     return out
+
+
+def cut_texts(block: Block, keep: np.ndarray) -> list[pa.Array]:
+    """Each document without the words that are not kept and the white space after them, slice by slice."""
+    out = []
+    for i, j in slices(block.offsets):
+        w = Words(block.data, block.offsets, i, j, hashes=False)
+        gone = np.flatnonzero(~keep[block.first[i]:block.first[i] + len(w)])
+        row = np.searchsorted(w.first, gone, "right") - 1
+        last = gone + 1 == w.first[row + 1]  # the document's last word goes alone
+        begin = w.start[gone]
+        end = np.where(last, w.end[gone], np.append(w.start, 0)[gone + 1])
+        marks = np.zeros(len(w.data) + 1, np.int32)
+        np.add.at(marks, begin, 1)
+        np.add.at(marks, end, -1)
+        inside = np.cumsum(marks[:-1]) == 0
+        sizes = np.diff(block.offsets[i:j + 1])
+        np.subtract.at(sizes, row, end - begin)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        out.append(pa.StringArray.from_buffers(j - i, pa.py_buffer(offsets.tobytes()),
+                                               pa.py_buffer(w.data[inside].tobytes())))
+    return out
