@@ -44,11 +44,13 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated windows leave the texts; every document stays, n_chars follows its text."""
+    """Repeated windows are cut out of the texts, which otherwise stay as they are;
+    every document stays, n_chars follows its text."""
     from tidemark.llm.substring import remove_repeats
 
     prepare(spark)
-    rows = remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    rows = remove_repeats(docs, layout=True,
+                          carry=[c for c in docs.columns if c not in ("doc_id", "text")])
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
