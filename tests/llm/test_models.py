@@ -154,6 +154,41 @@ def test_registered_parameters_learn_context(make):
     assert got[0] > 0.8 * got[1]
 
 
+def test_update_equals_plain_gradients():
+    rng = np.random.default_rng(9)
+    for high in (3, 400):  # rows that nearly all tokens share, and rows of few
+        table = rng.normal(size=(1 << lm.ROW_BITS, 5)).astype("f4")
+        spent = np.full(len(table), 1e-2, np.float32)
+        rows, target = rng.integers(0, high, (200, 3)), rng.integers(0, 5, 200)
+        bias = rng.normal(size=5).astype("f4")
+        want, change = table.astype(float), np.zeros(table.shape)
+        for r, t in zip(rows, target):
+            p = np.exp(want[r].sum(0) + bias)
+            p /= p.sum()
+            p[t] -= 1
+            for f in r:
+                change[f] += p
+        so_far = 1e-2 + (change ** 2).sum(1)
+        want -= lm.RATE * change / np.sqrt(so_far)[:, None]
+        lm.update(table, spent, rows, bias, target)
+        np.testing.assert_allclose(table, want, atol=1e-4)
+        np.testing.assert_allclose(spent, so_far, rtol=1e-3)
+
+
+def test_scores_do_not_depend_on_settings(make, spark, corpus):
+    def scores():
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_texts(make(corpus), blocks=3).collect())
+
+    first, kept = scores(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = scores()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert [r[:2] for r in first] == [r[:2] for r in again]
+    assert [r[2] for r in first] == pytest.approx([r[2] for r in again], rel=1e-5)
+
+
 def test_no_training_text(make):
     rows = [(i, "some words") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1]
     assert {(r["n_known"], r["train_tokens"], r["score"]) for r in lm.score_texts(make(rows)).collect()} == {(0, 0, 0.0)}
