@@ -177,6 +177,27 @@ def test_update_equals_plain_gradients():
         np.testing.assert_allclose(spent, so_far, rtol=1e-3)
 
 
+def test_slabs_equal_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 9, 60)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = rng.integers(0, 5, first[-1]).astype(np.uint64)
+    want = lm.feature_rows(tokens, first)
+    for size in (1, 2, 7, 1000):
+        monkeypatch.setattr(lm, "SLAB", size)
+        parts = list(lm.contexts(tokens, first))
+        assert (np.concatenate([t for t, _ in parts]) == tokens).all()
+        assert (np.concatenate([h for _, h in parts]) == want).all()
+
+
+def test_softmax_of_any_size():
+    logit = np.array([[1, 2, 3], [200, 1, -1e9], [-300, -301, -1e9]], np.float32)
+    want = np.exp(logit - logit.max(1, keepdims=True).astype(float))
+    for rows in ([0], [0, 1], [2], [0, 1, 2]):
+        np.testing.assert_allclose(lm.softmax(logit[rows].copy()), want[rows] / want[rows].sum(1, keepdims=True), atol=1e-6)
+    assert lm.softmax(np.zeros((0, 3), np.float32)).shape == (0, 3)
+
+
 def test_scores_do_not_depend_on_settings(make, spark, corpus):
     def scores():
         return sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_texts(make(corpus), blocks=3).collect())
