@@ -186,7 +186,7 @@ def test_slabs_equal_whole_texts(monkeypatch):
     for size in (1, 2, 7, 1000):
         monkeypatch.setattr(lm, "SLAB", size)
         parts = list(lm.contexts(tokens, first))
-        assert (np.concatenate([t for t, _ in parts]) == tokens).all()
+        assert (np.concatenate([tokens[part] for part, _ in parts]) == tokens).all()
         assert (np.concatenate([h for _, h in parts]) == want).all()
 
 
