@@ -85,6 +85,27 @@ def test_decomposition_status_for_short_series(spark):
     assert st.status == "Error" and "fewer" in st.error_message
 
 
+def test_batch_summary_scores_each_series(spark):
+    rng = np.random.default_rng(8)
+    wave = {k: np.sin(np.arange(150) / (3 + k)) + rng.normal(0, 0.2, 150) for k in range(2)}
+    df = _series(spark, {"tiny": [1.0, 2.0], **{f"s{k}": x.tolist() for k, x in wave.items()}})
+    dec = dc.ensemble_decompose(df, trials=2)
+    got = {r["series_id"]: r for r in dc.batch_summary(dec, df).collect()}
+    parts = dc.components_of(dec).toPandas()
+    assert set(got) == {"tiny", "s0", "s1"}
+    assert got["tiny"]["strategy"] == "N/A" and got["tiny"]["orthogonality_index"] is None
+    for k, x in wave.items():
+        row, mine = got[f"s{k}"], parts[parts["series_id"] == f"s{k}"]
+        table = mine.pivot(index="t", columns="component", values="value").to_numpy()
+        modes = mine[mine["component"] != "residual"].pivot(index="t", columns="component", values="value").to_numpy()
+        cross = sum((modes[:, i] * modes[:, j]).sum() for i in range(modes.shape[1]) for j in range(i))
+        assert row["orthogonality_index"] == pytest.approx(2 * abs(cross) / (modes ** 2).sum(), rel=1e-9)
+        assert row["rrmse"] == pytest.approx(np.sqrt(((x - table.sum(1)) ** 2).mean()) / x.std(), abs=1e-9)
+        assert row["signal_energy"] == pytest.approx((x ** 2).sum(), rel=1e-9)
+        assert row["strategy"] == "predictive" and row["num_imfs"] == modes.shape[1]
+        assert row["predictive_quality"] is not None
+
+
 def test_lag_subset_rule_fixture(spark):
     df = spark.createDataFrame([([0.9] * 7,), ([0.1, 0.9, 0.1, 0.1, 0.1, 0.1, 0.6],)], "flags array<double>")
     got = [r[0] for r in df.select(se.lag_subset(F.col("flags"))).collect()]

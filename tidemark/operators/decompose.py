@@ -230,6 +230,28 @@ def batch_status(decomp: DataFrame, series: DataFrame, keys=("series_id",), t: s
     return st.join(n, on=keys, how="left")
 
 
+def batch_summary(decomp: DataFrame, series: DataFrame, strategy: str = "predictive", keys=("series_id",),
+                  t: str = "t") -> DataFrame:
+    """``batch_status`` with the scores of each decomposition: orthogonality index,
+    rrmse (by std), predictive quality, signal energy, strategy, noise type (G21).
+
+    A failed series keeps its row: its scores are null, its strategy is ``N/A``.
+    ``decomp`` is read more than once: pass a written or checkpointed table."""
+    from tidemark.operators import quality as qa
+
+    ck = [*keys, "cand_id"]
+    comps = components_of(decomp, keys)
+    signal = series.select(*keys, t, "y").join(comps.select(*ck).distinct(), on=list(keys))
+    scores = qa.series_stats(comps, signal, ck, t).select(
+        *ck, qa.oi_col().alias("orthogonality_index"), qa.rrmse_std_col().alias("rrmse"),
+        F.col("e_signal").alias("signal_energy"))
+    scores = scores.join(qa.predictive_quality(comps, signal, ck), on=ck, how="left")
+    done = F.col("status") == "Success"
+    return batch_status(decomp, series, keys, t).join(scores, on=ck, how="left").withColumn(
+        "strategy", F.when(done, F.lit(strategy)).otherwise(F.lit("N/A"))).withColumn(
+        "noise_type", F.when(done, F.lit("Laplace_White_Noise")))
+
+
 def trend_decompose(series: DataFrame, alpha, epsilon: float = DEFAULT_EPSILON, trials: int = DEFAULT_TRIALS,
                     seed: int = DEFAULT_SEED, max_modes: int | None = None, keys=("series_id",), t: str = "t") -> DataFrame:
     """Zero-phase smoothed trend, then ensemble decomposition of the rest.

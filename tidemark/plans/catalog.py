@@ -20,6 +20,7 @@ from tidemark.operators import splits as sp
 from tidemark.operators import transform as tr
 from tidemark.plans import sqlkit as q
 from tidemark.plans.forecast import persistence_forecasts
+from tidemark.session import cut_lineage
 from tidemark.sources import fixtures as fx
 from tidemark.sources.series import clean_series
 
@@ -990,6 +991,13 @@ def batch_status_q(spark, sf):
     return dc.batch_status(dc.ensemble_decompose(allx, epsilon=DECOMP_EPSILON, min_len=100), allx)
 
 
+@register("batch_summary")
+def batch_summary_q(spark, sf):
+    """The scores of every decomposition of the 15-minute grid, one row per series."""
+    g = fx.events_grid(spark, sf).select("series_id", "t", "y")
+    return dc.batch_summary(cut_lineage(dc.ensemble_decompose(g, epsilon=DECOMP_EPSILON, min_len=100)), g)
+
+
 @register("epsilon_grid_search")
 def epsilon_grid_search_q(spark, sf):
     """Direct pipeline's epsilon search: reference grid, 25 refined points, 2 seeded runs,

@@ -51,6 +51,7 @@ def direct_decomposition(series: DataFrame, trials: int = dc.DEFAULT_TRIALS, see
         "energy": qa.energy_distribution(comps, series),
         "quality": qa.quality_report(comps, series, chosen.select("series_id", "epsilon"), optimized=True),
         "status": dc.batch_status(dec, series),
+        "summary": dc.batch_summary(dec, series),
     }
 
 
