@@ -1111,7 +1111,6 @@ def joint_boosted_multistep_q(spark, sf):
 def booster_search_q(spark, sf):
     """Five learning rates x four tree counts scored by validation weighted F24; running best."""
     table, features = pl.booster_features(fx.events_seasonal(spark, sf), seas=True, diff=False)
-    from tidemark.session import cut_lineage
     table = cut_lineage(table)
     return mo.booster_search(table.where("split = 'train'"), table.where("split = 'val'"), features, BOOSTER_GRID,
                              target=pl.BOOSTER_TARGET)
@@ -1128,7 +1127,6 @@ def fit_sequence_regressor_q(spark, sf):
 def stability_runs_q(spark, sf):
     """Three seeded refits of the step-1..3 boosters; weighted RMSE per run, with run statistics."""
     table, features = pl.booster_features(fx.events_seasonal(spark, sf), seas=True, diff=False)
-    from tidemark.session import cut_lineage
     table = cut_lineage(table)
     train, test = table.where("split = 'train'"), table.where("split = 'test'")
 
