@@ -285,3 +285,36 @@ def test_flat_beginnings_and_plateaus_count_once():
     maxima, minima = turning_points(np.array([[1.0, 1, 0, 0, 2, 2, 2, 1], [0, 0, 1, 1, 1, 0, 0, 0], [3, 3, 3, 3, 3, 3, 3, 3]]))
     assert [np.flatnonzero(r).tolist() for r in maxima] == [[1, 6], [4], []]
     assert [np.flatnonzero(r).tolist() for r in minima] == [[3], [1], []]
+
+
+def test_components_of_one_group_score_as_when_spread_over_chunks(spark, monkeypatch):
+    """One pass over a component gives the backtest errors and periods of the chunked operators."""
+    from tidemark.operators import backtest as bt
+    from tidemark.operators import quality as qa
+
+    rng = np.random.default_rng(3)
+    made = {("a", "IMF_1"): rng.normal(size=300).cumsum(), ("a", "residual"): np.sin(np.arange(137)), ("b", "IMF_1"): rng.normal(size=3),
+            ("b", "residual"): rng.normal(size=139), ("c", "IMF_1"): np.zeros(150), ("c", "residual"): rng.normal(size=136)}
+    long = spark.createDataFrame([(s, c, t, float(v)) for (s, c), x in made.items() for t, v in enumerate(x)],
+                                 "series_id string, component string, t long, y double")
+    ck = ["series_id", "component"]
+    spread = bt.rolling_ar_backtest(long, ck, "y", "t", horizons=(1, 4)).join(qa.main_period(long, "y", ck), on=ck)
+    want = {(r.series_id, r.component, r.horizon): (r.mase, r.main_period) for r in spread.collect()}
+    calls = []
+    monkeypatch.setattr(bt, "rolling_ar_backtest", lambda *a, **k: calls.append(a))
+    got = {(r.series_id, r.component, r.horizon): (r.mase, r.main_period) for r in qa._periods_and_errors(long, ck, (1, 4), "t").collect()}
+    assert not calls and got.keys() == want.keys() and len(got) == 12
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-6), k
+
+
+def test_uneven_components_are_spread(spark, monkeypatch):
+    from tidemark.operators import backtest as bt
+    from tidemark.operators import quality as qa
+
+    monkeypatch.setattr(bt, "rolling_ar_backtest", lambda *a, **k: (_ for _ in ()).throw(InterruptedError))
+    for ts, y in (([0, 1, 1, 3], 1.0), ([1, 2, 3, 4], 1.0), ([0, 1, 2, 3], None), ([0, 1, 2, 3], float("nan"))):
+        rows = spark.createDataFrame([("a", "IMF_1", t, y if t == 3 else 1.0) for t in ts],
+                                     "series_id string, component string, t long, y double")
+        with pytest.raises(InterruptedError):
+            qa._periods_and_errors(rows, ["series_id", "component"], (1, 4), "t")
