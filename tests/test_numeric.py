@@ -318,3 +318,18 @@ def test_uneven_components_are_spread(spark, monkeypatch):
                                      "series_id string, component string, t long, y double")
         with pytest.raises(InterruptedError):
             qa._periods_and_errors(rows, ["series_id", "component"], (1, 4), "t")
+
+
+def test_noise_is_shared_by_candidates_after_the_shuffle(spark, monkeypatch):
+    """Sending the noise to the candidates moves no copy of it; the modes stay the same."""
+    from tidemark.operators import decompose as dc
+
+    series = spark.createDataFrame([("s", t, float(np.sin(t / 3) + np.cos(t / 17))) for t in range(120)],
+                                   "series_id string, t long, y double")
+    cands = spark.createDataFrame([("s", k, 0.1 * (k + 1), 42 + 1000 * (k % 2)) for k in range(4)],
+                                  "series_id string, cand_id long, epsilon double, seed long")
+    made = []
+    for limit in (0, dc.BROADCAST_BYTES):
+        monkeypatch.setattr(dc, "BROADCAST_BYTES", limit)
+        made.append(dc.ensemble_decompose(series, cands, trials=16).orderBy("cand_id", "k", "t").collect())
+    assert made[0] == made[1] and len(made[0]) > 960 and {r.status for r in made[0]} == {"Success"}

@@ -11,6 +11,13 @@ import numpy as np
 
 MAX_SIFT = 50  # the SD rule ends sifting long before
 SD_STOP = 0.2
+HEAP_BYTES = 31 << 20  # glibc learns thresholds from arrays of up to 32 MB
+
+
+def keep_heap() -> None:
+    """Makes and drops one large array, untouched.  From then on glibc keeps freed memory of up to about that size for
+    the next arrays; else each of sifting's many short-lived arrays starts on new pages, which costs more than its sums."""
+    np.empty(HEAP_BYTES, np.uint8)
 
 
 def turning_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
