@@ -130,3 +130,21 @@ def test_parameters_empty_tables_and_constant_columns(table, spark):
     flat = train.withColumn("a", F.lit(1.0)).withColumn("y1", F.lit(2.5))
     [model] = bo.fit_boosters(flat, val, ["a"], ["y1"], [bo.Fit([0], bo.BoostParams(trees=3))])
     assert {r["y_pred"] for r in bo.predict_boosters([model], flat.where("t < 5")).collect()} == {2.5}
+
+
+def test_histograms_hold_one_column_of_keys_at_a_time():
+    """Counts and sums by node, column and bin; no array of all rows and columns is made beside the bins."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    bins, rows = rng.integers(0, 8, (40, 20_000)).astype(np.uint8), np.arange(0, 20_000, 2)
+    node, g = rng.integers(0, 3, len(rows)), rng.integers(-99, 99, (len(rows), 2)).astype(float)
+    tracemalloc.start()
+    n, sums = bo.histogram(bins, rows, node, g, 3, 8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * len(rows) * len(bins) / 2
+    for at, column, b in ((0, 0, 0), (1, 7, 3), (2, 39, 7)):
+        here = (node == at) & (bins[column, rows] == b)
+        assert n[at, column, b] == here.sum() and (sums[:, at, column, b] == g[here].sum(axis=0)).all()
+    assert n.sum() == len(rows) * len(bins) and np.allclose(sums.sum(axis=(1, 3)), g.sum(axis=0)[:, None])

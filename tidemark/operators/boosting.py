@@ -176,13 +176,19 @@ def best_splits(n: np.ndarray, g: np.ndarray, columns: np.ndarray, p: BoostParam
     return best, column, cut, left_n[nodes, column, cut], left_g[:, nodes, column, cut].T
 
 
-def histogram(flat: np.ndarray, node: np.ndarray, g: np.ndarray, nodes: int, columns: int, width: int):
-    """Row counts and gradient sums by (node, column, bin); ``flat``: column * width + bin per row and column."""
-    at = (flat + (node * (columns * width))[:, None]).ravel()
-    cells = nodes * columns * width
-    n = np.bincount(at, minlength=cells).astype(np.float64).reshape(nodes, columns, width)
-    sums = [np.bincount(at, np.repeat(v, columns), cells).reshape(nodes, columns, width) for v in g.T]
-    return n, np.stack(sums)
+def histogram(bins: np.ndarray, rows: np.ndarray, node: np.ndarray, g: np.ndarray, nodes: int, width: int):
+    """Row counts and gradient sums by (node, column, bin) of ``rows``, positions in ``bins`` (columns first).
+    One column at a time: its cells and its keys stay in the processor's cache."""
+    n, sums = np.empty((nodes, len(bins), width)), np.empty((g.shape[1], nodes, len(bins), width))
+    start, cells = node * width, nodes * width
+    at = np.empty_like(start)
+    weights = [np.ascontiguousarray(v) for v in g.T]
+    for c, column in enumerate(bins):
+        np.add(start, column.take(rows), out=at)
+        n[:, c] = np.bincount(at, minlength=cells).reshape(nodes, width)
+        for k, w in enumerate(weights):
+            sums[k, :, c] = np.bincount(at, w, cells).reshape(nodes, width)
+    return n, sums
 
 
 class Grower:
@@ -235,14 +241,14 @@ def boost(bins: np.ndarray, y: np.ndarray, ids: np.ndarray, p: BoostParams, widt
     """(trees, validation losses): ``p.trees`` rounds over rows in memory; with
     ``patience`` rounds end when the loss has not improved for so many."""
     columns, outputs = bins.shape[1], y.shape[1]
-    flat = bins.astype(np.int64) + np.arange(columns) * width
     pred = np.tile(base, (len(y), 1))
     held = np.tile(base, (len(val_y), 1)) if val_y is not None else None
     trees, losses, best = [], [], 0
     for turn in range(p.trees):
         sampled = sampled_rows(p, turn, ids)
         take, rest_rows = np.flatnonzero(sampled), np.flatnonzero(~sampled)
-        own_bins, own_flat, g = bins[take].ravel(), flat[take], gradients(pred[take], y[take], unit)
+        own, g = bins[take], gradients(pred[take], y[take], unit)
+        own_bins, by_column = own.ravel(), np.ascontiguousarray(own.T)
         grower = Grower(p, turn, outputs, columns)
         at = np.zeros(len(take), np.int64)  # node of each sampled row
         live = np.arange(len(take))  # sampled rows in open nodes
@@ -260,7 +266,7 @@ def boost(bins: np.ndarray, y: np.ndarray, ids: np.ndarray, p: BoostParams, widt
             counted = np.full(len(slot), -1)
             counted[nodes[~rest]] = np.arange((~rest).sum())
             here = live[counted[at[live]] >= 0]
-            part_n, part_g = histogram(own_flat[here], counted[at[here]], g[here], int((~rest).sum()), columns, width)
+            part_n, part_g = histogram(by_column, here, counted[at[here]], g[here], int((~rest).sum()), width)
             if rest.any():
                 n, sums = np.empty((len(nodes), columns, width)), np.empty((outputs, len(nodes), columns, width))
                 n[~rest], sums[:, ~rest] = part_n, part_g
@@ -515,7 +521,7 @@ def _level(state: DataFrame, fits, growers, since, unit, columns, width) -> dict
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 ids, bins, y, preds = _forecasts(blob, since)
-                flat = bins.astype(np.int64) + np.arange(columns) * width
+                by_column = np.ascontiguousarray(bins.T)
                 for k, (p, turn, tree, nodes) in sent.items():
                     take = np.flatnonzero(sampled_rows(p, turn, ids))
                     at = tree.leaves(bins[take])
@@ -524,7 +530,7 @@ def _level(state: DataFrame, fits, growers, since, unit, columns, width) -> dict
                     here = slot[at] >= 0
                     rows = take[here]
                     g = gradients(preds[k][rows], y[rows][:, outputs[k]], unit)
-                    n, sums = histogram(flat[rows], slot[at[here]], g, len(nodes), columns, width)
+                    n, sums = histogram(by_column, rows, slot[at[here]], g, len(nodes), width)
                     whole = np.concatenate([n[None], sums]).astype(np.int64)
                     total[k] = total[k] + whole if k in total else whole
         for k, whole in total.items():
