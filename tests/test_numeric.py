@@ -333,3 +333,75 @@ def test_noise_is_shared_by_candidates_after_the_shuffle(spark, monkeypatch):
         monkeypatch.setattr(dc, "BROADCAST_BYTES", limit)
         made.append(dc.ensemble_decompose(series, cands, trials=16).orderBy("cand_id", "k", "t").collect())
     assert made[0] == made[1] and len(made[0]) > 960 and {r.status for r in made[0]} == {"Success"}
+
+
+def test_mean_envelope_is_the_mean_of_both_envelopes():
+    """One system for both splines gives the same bits; knots close together and far apart."""
+    from tidemark.operators import emd
+
+    rng = np.random.default_rng(8)
+    t = np.arange(400)
+    for x in (rng.normal(size=(5, 400)), np.sin(t / 9.0) + np.arange(5)[:, None] * np.sin(t / 31.0), rng.integers(0, 3, (5, 400))):
+        x = x.astype(float)
+        maxima, minima = emd.turning_points(x)
+        both = emd.envelopes(np.concatenate([x, x]), np.concatenate([maxima, minima]))
+        extrema = maxima | minima
+        got = emd.mean_envelope(x, np.flatnonzero(extrema), extrema.sum(1))
+        assert np.array_equal(got, (both[:5] + both[5:]) * 0.5)
+
+
+def test_short_series_decompose_in_one_task_as_stage_by_stage(spark, monkeypatch):
+    t = np.arange(120)
+    df = _series(spark, {"a": np.sin(t / 3.0) + t / 50, "b": np.cos(t / 5.0) * t, "flat": np.ones(120), "short": np.ones(3)})
+    cands = df.select("series_id", F.posexplode(F.array(F.lit(0.1), F.lit(0.4))).alias("cand_id", "epsilon")).distinct() \
+        .withColumn("seed", F.lit(7) + F.col("cand_id"))
+
+    def rows(most):
+        out = dc.ensemble_decompose(df, cands, trials=5, max_modes=most)
+        return sorted(map(tuple, out.collect()), key=lambda r: str(r[:2]) + str(r[6]) + str(r[4]).zfill(9))
+
+    monkeypatch.setattr(dc, "_stage", lambda *a: 1 / 0)
+    whole = {most: rows(most) for most in (None, 2)}
+    monkeypatch.undo()
+    monkeypatch.setattr(dc, "BLOCK_POINTS", 200)  # one trial a block, as without the limit
+    for most, want in whole.items():
+        assert rows(most) == want
+    assert {r[8] for r in want if r[0] == "short"} == {"Error"} and {r[5] for r in want if r[0] == "flat"} == {"residual"}
+
+
+def test_scores_of_whole_decompositions_are_those_of_their_components(spark):
+    from tidemark.operators import quality as qa
+
+    rng = np.random.default_rng(4)
+    df = _series(spark, {"a": rng.normal(size=200).cumsum(), "b": np.ones(200), "c": rng.normal(size=20)})
+    cands = df.select("series_id").distinct().selectExpr("series_id", "2L as cand_id", "0.3D as epsilon", "5L as seed")
+    ck = ["series_id", "cand_id"]
+    long = dc.components_of(dc.ensemble_decompose(df, cands, trials=4)).cache()
+    signal = df.join(cands, "series_id")
+    whole = qa.measure_whole(dc.whole_decompositions(df, cands, trials=4), ck)
+    for part in (qa.series_stats, qa.forecastability_score):
+        want, got = part(long, signal, ck), part(whole, None, ck)
+        got = got.select(want.columns)
+        for x, y in zip(got.orderBy(*ck).collect(), want.orderBy(*ck).collect(), strict=True):
+            assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], rel=1e-9, abs=1e-12)
+
+
+def test_forecastability_search_stores_no_components(spark, monkeypatch):
+    """Neither the decomposition nor the scoring of short series goes over rows of points, or mode by mode."""
+    from tidemark.operators import quality as qa
+    from tidemark.operators import search as se
+
+    df = _series(spark, {"a": np.sin(np.arange(150) / 4.0) + np.cos(np.arange(150) / 17.0)})
+    args = (df, [0.1, 0.4], qa.forecastability_score)
+    small = {"trials": 2, "refine_points": 3, "max_modes": 3, "epsilons": (0.2, 0.4)}
+    monkeypatch.setattr(qa.forecastability_score, "measure", None)
+    want = sorted(map(tuple, se.alpha_search(*args, **small).collect()))
+    monkeypatch.undo()
+    for name in ("_stage", "components_of"):
+        monkeypatch.setattr(dc, name, lambda *a: 1 / 0)
+    got = sorted(map(tuple, se.alpha_search(*args, **small).collect()))
+    assert len(got) == 2
+    for x, y in zip(got, want, strict=True):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:], rel=1e-9)
+    gap = df.where("t <> 5").withColumn("t", F.when(F.col("t") == 6, 7).otherwise(F.col("t")))  # a time that repeats
+    assert dc.whole_decompositions(gap, df.selectExpr("series_id", "0L as cand_id", "0.1D as epsilon", "1L as seed").distinct()) is None

@@ -1,8 +1,8 @@
 """Empirical mode decomposition kernel (NumPy), for many signals of one length at once.
 
 Extrema, natural cubic-spline envelopes and sifting work on [signals, points]
-arrays; the only loops are over knots (the tridiagonal solve, all signals side
-by side) and over sifting rounds.
+arrays; the only loops are over the steps of the cyclic reduction (all signals
+side by side) and over sifting rounds.
 """
 
 from __future__ import annotations
@@ -47,27 +47,34 @@ def n_extrema(x: np.ndarray) -> int:
     return int(maxima.sum() + minima.sum())
 
 
-def solve_dominant(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Tridiagonal system whose diagonal is at least twice its neighbours' sum, by
-    parallel cyclic reduction: every step couples unknowns twice as far apart
-    and squares the couplings, which vanish after a few steps."""
-    a, c, r = low / diagonal, high / diagonal, right / diagonal
-    far = 1
-    while far < len(r):
-        d = np.ones(len(r))
-        cross = a[far:] * c[:-far]
-        d[far:] -= cross
-        d[:-far] -= cross
-        new = r.copy()
-        new[far:] -= a[far:] * r[:-far]
-        new[:-far] -= c[:-far] * r[far:]
-        r = np.divide(new, d, out=new)
-        next_a, next_c = np.zeros(len(r)), np.zeros(len(r))
+def solve_dominant(low: np.ndarray, diagonal: np.ndarray, high: np.ndarray, right: np.ndarray, far: int = 1) -> np.ndarray:
+    """System whose unknowns are coupled to those ``far`` places before and after (1: tridiagonal) and whose
+    diagonal is at least twice these couplings' sum, by parallel cyclic reduction: every step couples unknowns
+    twice as far apart and squares the couplings, which vanish after a few steps."""
+    n = len(right)
+    r, a, c = right / diagonal, low / -diagonal, high / -diagonal
+    u, v, d, next_a, next_c = (np.empty(n) for _ in range(5))
+    most = 1.0
+    while far < n:
+        np.multiply(a[far:], r[:-far], out=u[far:])
+        np.multiply(c[:-far], r[far:], out=v[far:])
+        r[far:] += u[far:]
+        r[:-far] += v[far:]
+        if most < 1e-9:  # the divisors are 1, the next couplings below 1e-18
+            break
+        np.multiply(a[far:], c[:-far], out=u[far:])
+        d[:far] = 1.0
+        np.subtract(1.0, u[far:], out=d[far:])
+        d[:-far] -= u[far:]
+        r /= d
+        next_a[:far] = next_c[n - far:] = 0.0
         np.multiply(a[far:], a[:-far], out=next_a[far:])
         np.multiply(c[:-far], c[far:], out=next_c[:-far])
-        a, c = np.divide(-next_a, d), np.divide(-next_c, d)
+        a, next_a = np.divide(next_a, d, out=next_a), a
+        c, next_c = np.divide(next_c, d, out=next_c), c
         far *= 2
-        if max(np.abs(a).max(), np.abs(c).max()) < 1e-18:
+        most = max(a.max(), c.max())
+        if most < 1e-18:
             break
     return r
 
@@ -118,25 +125,94 @@ def envelopes(x: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return out.reshape(m, n)
 
 
+def mean_envelope(x: np.ndarray, found: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Mean of the upper and lower ``envelopes`` of each row, to the last bit; ``found``: the flat places of all its
+    extrema, ``count`` of them a row, four at least.
+
+    Maxima and minima take turns, so both splines are one system in which knots are coupled to the second next, and a
+    point lies in the pieces of the last two knots.  A row begins with one more knot for each spline."""
+    m, n = x.shape
+    stop = np.cumsum(count + 2)
+    start, k = stop - count - 2, stop[-1]
+    first, last = np.concatenate([start, start + 1]), np.concatenate([stop - 2, stop - 1])
+    place = np.arange(len(found)) + np.repeat(np.arange(2, 2 * m + 1, 2), count)
+    at, y = np.empty(k + 2), np.empty(k + 2)
+    at[place], y[place] = found, x.ravel()[found]
+    at[first], y[first] = np.tile(np.arange(m) * float(n), 2), y[first + 2]
+    at[k:], y[k:] = m * n, 0.0
+    h = at[2:] - at[:-2]
+    h[last] -= 1.0  # up to the end point, which takes the value of the last knot
+    slope = (y[2:] - y[:-2]) / h
+    slope[last] = 0.0
+    low, diagonal, high, right = np.empty(k), np.empty(k), h.copy(), np.empty(k)
+    low[2:] = h[:-2]
+    np.add(h[2:], h[:-2], out=diagonal[2:])
+    diagonal *= 2.0
+    np.subtract(slope[2:], slope[:-2], out=right[2:])
+    right *= 6.0
+    low[first], diagonal[first], high[first], right[first] = 0.0, 1.0, 0.0, 0.0
+    low[first + 2] = high[last] = 0.0
+    bend = solve_dominant(low, diagonal, high, right, 2)  # second derivatives; zero at both ends
+    following = np.empty(k)
+    following[:-2] = bend[2:]
+    following[last] = 0.0
+    # y + t (b + t (c + t d)) with t from the knot
+    d = following - bend
+    d /= 6 * h
+    following += 2 * bend
+    following *= h
+    following /= 6
+    b, c = np.subtract(slope, following, out=following), np.multiply(bend, 0.5, out=bend)
+    if 8 * k > m * n:  # short pieces: by the number of each point's piece
+        piece = np.zeros(m * n, np.intp)
+        piece[found] = 1
+        piece[::n] = 2
+        piece[0] = 0
+        np.cumsum(piece, out=piece)
+
+        def spread(v):
+            return v[piece]
+    else:
+        size = np.diff(at[1:k + 1]).astype(np.intp)
+
+        def spread(v):
+            return np.repeat(v, size)
+    place = np.arange(m * n, dtype=float)
+    both = []
+    for of in (slice(1, k), slice(0, k - 1)):  # pieces of the last knot and of the one before
+        t = np.subtract(place, spread(at[of]))
+        out = spread(d[of])
+        for part in (c, b, y):
+            out *= t
+            out += spread(part[of])
+        both.append(out)
+        out[n - 1::n] = y[stop - 1 if of.start else stop - 2]
+    mean = both[0]
+    mean += both[1]
+    mean *= 0.5
+    return mean.reshape(m, n)
+
+
 def first_modes(x: np.ndarray, max_sift: int = MAX_SIFT) -> np.ndarray:
     """First intrinsic mode of every row by sifting (Cauchy-type SD stop)."""
     h = np.array(x, dtype=float)
-    going = np.arange(len(h))
+    now, going, n = h, np.arange(len(h)), h.shape[1]
     for _ in range(max_sift):
-        maxima, minima = turning_points(h[going])
-        enough = (maxima.sum(1) >= 2) & (minima.sum(1) >= 2)
-        going, maxima, minima = going[enough], maxima[enough], minima[enough]
+        maxima, minima = turning_points(now)
+        maxima |= minima
+        count = np.diff(np.searchsorted(found := np.flatnonzero(maxima), np.arange(len(now) + 1) * n))
+        enough = count >= 4  # two maxima and two minima, as they take turns
+        if not enough.all():
+            now, going, count = now[enough], going[enough], count[enough]
+            found = np.flatnonzero(maxima[enough])
         if not len(going):
             break
-        now = h[going]
-        both = envelopes(np.concatenate([now, now]), np.concatenate([maxima, minima]))
-        mean = both[:len(now)]
-        mean += both[len(now):]
-        mean *= 0.5
+        mean = mean_envelope(now, found, count)
         change = np.einsum("ij,ij->i", mean, mean) / np.maximum(np.einsum("ij,ij->i", now, now), 1e-300)
-        now -= mean
+        now = np.subtract(now, mean, out=mean)
         h[going] = now
-        going = going[change >= SD_STOP]
+        on = change >= SD_STOP
+        now, going = now[on], going[on]
     return h
 
 
